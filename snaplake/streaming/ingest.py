@@ -29,12 +29,14 @@ def ingest_available(
     landing: str,
     checkpoint: str,
     files_per_batch: int | None = None,
+    **options: str,
 ) -> StreamingQuery:
     """Merge all files that have arrived under ``landing`` since the last call, then stop.
 
-    ``checkpoint`` belongs to this table alone. ``files_per_batch`` bounds a micro-batch.
+    ``checkpoint`` belongs to this table alone. ``files_per_batch`` bounds a micro-batch;
+    ``options`` go to the JSON reader.
     """
-    records = stream_snapshots(spark, target.table, landing, files_per_batch)
+    records = stream_snapshots(spark, target.table, landing, files_per_batch, **options)
     query = (
         parse(target.table, records)
         .writeStream.foreachBatch(upsert_batches(target, writer=checkpoint))

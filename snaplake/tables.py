@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from snaplake.functions.nested import (
-    aligned_value,
+    athlete_stats,
     entries_by_athlete,
     entry_where,
     group_entries,
     head,
-    named_value,
+    listed_stats,
+    listed_value,
+    names_of,
 )
 from snaplake.functions.scalars import (
     clock_seconds,
@@ -20,7 +22,6 @@ from snaplake.functions.scalars import (
     leading_date,
     lowered,
     pair_part,
-    real,
     trimmed,
     whole,
     zoneless_instant,
@@ -108,59 +109,48 @@ def _score_once_started(side: str):
     return F.when(F.col("comp.status.type.state") != "pre", whole(f"{side}.score.value"))
 
 
-def _standing(name: str, part: str):
-    return named_value("e.stats", name, part)
+def _listed(name: str, part: str):
+    return listed_value("listed", "names", name, part)
 
 
-def _standing_count(name: str):
-    return whole(_standing(name, "value"))
+def _count(name: str):
+    return _listed(name, "count")
 
 
-def _standing_rate(name: str):
-    return real(_standing(name, "value"))
+def _rate(name: str):
+    return _listed(name, "rate")
 
 
-def _box_count(name: str):
-    return whole(named_value("t.statistics", name))
+def _text(name: str):
+    return _listed(name, "text")
 
 
-def _box_rate(name: str):
-    return real(named_value("t.statistics", name, "value"))
+def _pair_part(name: str, separator: str, part: int):
+    return pair_part(_text(name), separator, part)
 
 
-def _box_pair(name: str, separator: str, part: int):
-    return pair_part(named_value("t.statistics", name), separator, part)
+def _clock(name: str):
+    return clock_seconds(_text(name))
 
 
-def _box_clock(name: str):
-    return clock_seconds(named_value("t.statistics", name))
+def _stat_list(reader, *recipe):
+    """Steps that turn a feed's stats into ``listed`` and ``names``."""
+    return let("listed", reader, *recipe), let("names", names_of, "listed")
 
 
-def _player_text(group: str, name: str):
-    return aligned_value(f"in_{group}.keys", f"in_{group}.stats", name)
+def _counts(**names: str) -> tuple[Field, ...]:
+    """Several BIGINT stats: column=name in the feed."""
+    return tuple(col(column, COUNT, _count, name) for column, name in names.items())
 
 
-def _player_count(group: str, name: str):
-    return whole(_player_text(group, name))
+def _group_counts(group: str, **names: str) -> tuple[Field, ...]:
+    return _counts(**{column: f"{group}/{name}" for column, name in names.items()})
 
 
-def _player_rate(group: str, name: str):
-    return real(_player_text(group, name))
-
-
-def _player_pair(group: str, name: str, separator: str, part: int):
-    return pair_part(_player_text(group, name), separator, part)
-
-
-def _counts(reader, *args, **names: str) -> tuple[Field, ...]:
-    """Several BIGINT columns read alike: column=name in the feed."""
-    return tuple(col(column, COUNT, reader, *args, name) for column, name in names.items())
-
-
-def _pair(reader, name: str, separator: str, first: str, second: str, *args) -> tuple[Field, ...]:
+def _pair(name: str, separator: str, first: str, second: str) -> tuple[Field, ...]:
     return (
-        col(first, COUNT, reader, *args, name, separator, 1),
-        col(second, COUNT, reader, *args, name, separator, 2),
+        col(first, COUNT, _pair_part, name, separator, 1),
+        col(second, COUNT, _pair_part, name, separator, 2),
     )
 
 
@@ -263,7 +253,11 @@ STANDINGS = Table(
     prefix="espn/standings",
     raw=STANDINGS_RAW,
     note="One row per team and season type",
-    steps=(each("conf", "children"), each("e", "conf.standings.entries")),
+    steps=(
+        each("conf", "children"),
+        each("e", "conf.standings.entries"),
+        *_stat_list(listed_stats, "e.stats", "value"),
+    ),
     fields=(
         key("season", COUNT, "conf.standings.season"),
         key("season_type", COUNT, "conf.standings.seasonType"),
@@ -271,28 +265,26 @@ STANDINGS = Table(
         key("team_id", TEXT, "e.team.id"),
         col("team_abbreviation", TEXT, "e.team.abbreviation"),
         col("team_name", TEXT, "e.team.displayName"),
-        *_counts(_standing_count, wins="wins", losses="losses", ties="ties"),
-        col("win_percent", RATE, _standing_rate, "winPercent"),
+        *_counts(wins="wins", losses="losses", ties="ties"),
+        col("win_percent", RATE, _rate, "winPercent"),
         *_counts(
-            _standing_count,
             points_for="pointsFor",
             points_against="pointsAgainst",
             point_differential="pointDifferential",
         ),
-        col("games_behind", RATE, _standing_rate, "gamesBehind"),
-        col("playoff_seed", COUNT, _standing_count, "playoffSeed"),
-        col("streak", TEXT, _standing, "streak", "displayValue"),
+        col("games_behind", RATE, _rate, "gamesBehind"),
+        col("playoff_seed", COUNT, _count, "playoffSeed"),
+        col("streak", TEXT, _text, "streak"),
         *_counts(
-            _standing_count,
             division_wins="divisionWins",
             division_losses="divisionLosses",
             division_ties="divisionTies",
         ),
-        col("overall_record", TEXT, _standing, "overall", "displayValue", note="wins-losses[-ties]"),
-        col("home_record", TEXT, _standing, "Home", "displayValue"),
-        col("road_record", TEXT, _standing, "Road", "displayValue"),
-        col("division_record", TEXT, _standing, "vs. Div.", "displayValue"),
-        col("conference_record", TEXT, _standing, "vs. Conf.", "displayValue"),
+        col("overall_record", TEXT, _text, "overall", note="wins-losses[-ties]"),
+        col("home_record", TEXT, _text, "Home"),
+        col("road_record", TEXT, _text, "Road"),
+        col("division_record", TEXT, _text, "vs. Div."),
+        col("conference_record", TEXT, _text, "vs. Conf."),
     ),
 )
 
@@ -354,47 +346,40 @@ GAME_TEAM_STATS = Table(
     prefix="espn/game_summaries",
     raw=SUMMARIES_RAW,
     note="Box score of one team in one game",
-    steps=(each("t", "boxscore.teams"),),
+    steps=(each("t", "boxscore.teams"), *_stat_list(listed_stats, "t.statistics")),
     fields=(
         key("game_id", TEXT),
         key("team_id", TEXT, "t.team.id"),
         col("team_abbreviation", TEXT, "t.team.abbreviation"),
         col("home_away", TEXT, "t.homeAway"),
         *_counts(
-            _box_count,
             first_downs="firstDowns",
             first_downs_passing="firstDownsPassing",
             first_downs_rushing="firstDownsRushing",
             first_downs_penalty="firstDownsPenalty",
         ),
-        *_pair(_box_pair, "thirdDownEff", "-", "third_down_conversions", "third_down_attempts"),
-        *_pair(_box_pair, "fourthDownEff", "-", "fourth_down_conversions", "fourth_down_attempts"),
-        *_counts(_box_count, total_offensive_plays="totalOffensivePlays", total_yards="totalYards"),
-        col("yards_per_play", RATE, _box_rate, "yardsPerPlay"),
-        *_counts(_box_count, total_drives="totalDrives", net_passing_yards="netPassingYards"),
-        *_pair(_box_pair, "completionAttempts", "/", "pass_completions", "pass_attempts"),
-        col("yards_per_pass", RATE, _box_rate, "yardsPerPass"),
-        col("interceptions_thrown", COUNT, _box_count, "interceptions", note="listed twice, the first counts"),
-        *_pair(_box_pair, "sacksYardsLost", "-", "sacks", "sack_yards_lost"),
-        *_counts(_box_count, rushing_yards="rushingYards", rushing_attempts="rushingAttempts"),
-        col("yards_per_rush_attempt", RATE, _box_rate, "yardsPerRushAttempt"),
-        *_pair(_box_pair, "redZoneAttempts", "-", "red_zone_scores", "red_zone_attempts"),
-        *_pair(_box_pair, "totalPenaltiesYards", "-", "penalties", "penalty_yards"),
+        *_pair("thirdDownEff", "-", "third_down_conversions", "third_down_attempts"),
+        *_pair("fourthDownEff", "-", "fourth_down_conversions", "fourth_down_attempts"),
+        *_counts(total_offensive_plays="totalOffensivePlays", total_yards="totalYards"),
+        col("yards_per_play", RATE, _rate, "yardsPerPlay"),
+        *_counts(total_drives="totalDrives", net_passing_yards="netPassingYards"),
+        *_pair("completionAttempts", "/", "pass_completions", "pass_attempts"),
+        col("yards_per_pass", RATE, _rate, "yardsPerPass"),
+        col("interceptions_thrown", COUNT, _count, "interceptions", note="listed twice, the first counts"),
+        *_pair("sacksYardsLost", "-", "sacks", "sack_yards_lost"),
+        *_counts(rushing_yards="rushingYards", rushing_attempts="rushingAttempts"),
+        col("yards_per_rush_attempt", RATE, _rate, "yardsPerRushAttempt"),
+        *_pair("redZoneAttempts", "-", "red_zone_scores", "red_zone_attempts"),
+        *_pair("totalPenaltiesYards", "-", "penalties", "penalty_yards"),
         *_counts(
-            _box_count,
             turnovers="turnovers",
             fumbles_lost="fumblesLost",
             defensive_touchdowns="defensiveTouchdowns",
         ),
-        col("possession_seconds", COUNT, _box_clock, "possessionTime"),
+        col("possession_seconds", COUNT, _clock, "possessionTime"),
     ),
 )
 
-PLAYER_GROUPS = (
-    "passing", "rushing", "receiving", "fumbles", "defensive",
-    "interceptions", "kickReturns", "puntReturns", "kicking", "punting",
-)
-
 PLAYER_GAME_STATS = Table(
     name="player_game_stats",
     prefix="espn/game_summaries",
@@ -404,7 +389,7 @@ PLAYER_GAME_STATS = Table(
         each("t", "boxscore.players"),
         let("entries", group_entries, "t.statistics"),
         each("player", entries_by_athlete, "entries"),
-        *(let(f"in_{g}", entry_where, "player.own", "group", g) for g in PLAYER_GROUPS),
+        *_stat_list(athlete_stats, "player.own"),
         let("athlete", lambda: head("player.own")["athlete"]),
     ),
     fields=(
@@ -417,72 +402,66 @@ PLAYER_GAME_STATS = Table(
         col("season", COUNT, "header.season.year"),
         col("season_type", COUNT, "header.season.type", note="1 preseason, 2 regular season, 3 playoffs"),
         col("week", COUNT, "header.week"),
-        *_pair(_player_pair, "completions/passingAttempts", "/", "pass_completions", "pass_attempts", "passing"),
-        *_counts(
-            _player_count, "passing",
+        *_pair("passing/completions/passingAttempts", "/", "pass_completions", "pass_attempts"),
+        *_group_counts(
+            "passing",
             passing_yards="passingYards",
             passing_tds="passingTouchdowns",
             interceptions_thrown="interceptions",
         ),
-        *_pair(_player_pair, "sacks-sackYardsLost", "-", "sacks_taken", "sack_yards_lost", "passing"),
-        col("passer_rating", RATE, _player_rate, "passing", "QBRating"),
-        col("qbr", RATE, _player_rate, "passing", "adjQBR"),
-        *_counts(
-            _player_count, "rushing",
+        *_pair("passing/sacks-sackYardsLost", "-", "sacks_taken", "sack_yards_lost"),
+        col("passer_rating", RATE, _rate, "passing/QBRating"),
+        col("qbr", RATE, _rate, "passing/adjQBR"),
+        *_group_counts(
+            "rushing",
             rushing_attempts="rushingAttempts",
             rushing_yards="rushingYards",
             rushing_tds="rushingTouchdowns",
             rushing_long="longRushing",
         ),
-        *_counts(
-            _player_count, "receiving",
+        *_group_counts(
+            "receiving",
             receptions="receptions",
             targets="receivingTargets",
             receiving_yards="receivingYards",
             receiving_tds="receivingTouchdowns",
             receiving_long="longReception",
         ),
-        *_counts(
-            _player_count, "fumbles",
+        *_group_counts(
+            "fumbles",
             fumbles="fumbles", fumbles_lost="fumblesLost", fumbles_recovered="fumblesRecovered",
         ),
-        *_counts(_player_count, "defensive", tackles_total="totalTackles", tackles_solo="soloTackles"),
-        col("def_sacks", RATE, _player_rate, "defensive", "sacks", note="half sacks count .5"),
-        col("tackles_for_loss", RATE, _player_rate, "defensive", "tacklesForLoss"),
-        *_counts(
-            _player_count, "defensive",
+        *_group_counts("defensive", tackles_total="totalTackles", tackles_solo="soloTackles"),
+        col("def_sacks", RATE, _rate, "defensive/sacks", note="half sacks count .5"),
+        col("tackles_for_loss", RATE, _rate, "defensive/tacklesForLoss"),
+        *_group_counts(
+            "defensive",
             passes_defended="passesDefended", qb_hits="QBHits", def_tds="defensiveTouchdowns",
         ),
-        *_counts(
-            _player_count, "interceptions",
+        *_group_counts(
+            "interceptions",
             def_interceptions="interceptions",
             def_interception_yards="interceptionYards",
             def_interception_tds="interceptionTouchdowns",
         ),
-        *_counts(
-            _player_count, "kickReturns",
+        *_group_counts(
+            "kickReturns",
             kick_returns="kickReturns",
             kick_return_yards="kickReturnYards",
             kick_return_tds="kickReturnTouchdowns",
         ),
-        *_counts(
-            _player_count, "puntReturns",
+        *_group_counts(
+            "puntReturns",
             punt_returns="puntReturns",
             punt_return_yards="puntReturnYards",
             punt_return_tds="puntReturnTouchdowns",
         ),
-        *_pair(
-            _player_pair, "fieldGoalsMade/fieldGoalAttempts", "/",
-            "field_goals_made", "field_goal_attempts", "kicking",
-        ),
-        col("field_goal_long", COUNT, _player_count, "kicking", "longFieldGoalMade"),
-        *_pair(
-            _player_pair, "extraPointsMade/extraPointAttempts", "/",
-            "extra_points_made", "extra_point_attempts", "kicking",
-        ),
-        col("kicking_points", COUNT, _player_count, "kicking", "totalKickingPoints"),
-        *_counts(
-            _player_count, "punting",
+        *_pair("kicking/fieldGoalsMade/fieldGoalAttempts", "/", "field_goals_made", "field_goal_attempts"),
+        col("field_goal_long", COUNT, _count, "kicking/longFieldGoalMade"),
+        *_pair("kicking/extraPointsMade/extraPointAttempts", "/", "extra_points_made", "extra_point_attempts"),
+        col("kicking_points", COUNT, _count, "kicking/totalKickingPoints"),
+        *_group_counts(
+            "punting",
             punts="punts", punt_yards="puntYards", punts_inside_20="puntsInside20",
         ),
     ),

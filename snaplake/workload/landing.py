@@ -19,6 +19,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Rows over all cores where the files have fewer splits than that, as small tables do.
+
+    Large tables have more splits than cores and are left alone, so nothing is shuffled for them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def _stat(name: str, value: str, display: str) -> str:
     return f"named_struct('name', '{name}', 'value', {value}, 'displayValue', {display})"
 
@@ -311,7 +320,7 @@ def team_box_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     teams = _array(side("away", BOX_AWAY, 0), side("home", BOX_HOME, 1))
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    return spread(table(spark, sf_dir, "lineitem")).selectExpr(
         "string(l_orderkey) AS game_id",
         f"named_struct('teams', {teams}) AS boxscore",
         f"{LINE_FILE} AS _source_file",
@@ -347,7 +356,7 @@ def player_box_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             "completions/passingAttempts passingYards yardsPerPassAttempt passingTouchdowns"
             " interceptions sacks-sackYardsLost adjQBR QBRating",
             athlete(passer, f"concat({q}, '/', {q} + 9)", f"{q} * 8", "'4.7'", f"{n} % 4", f"{n} % 3",
-                    f"concat({n}, '-', {q})", "IF(l_returnflag = 'A', '--', l_quantity)", "l_tax"),
+                    f"concat({n}, '-', {q})", "IF(l_returnflag = 'A', '--', string(l_quantity))", "l_tax"),
         ),
         group(
             "rushing",
@@ -388,7 +397,7 @@ def player_box_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"named_struct('team', {_team(BOX_AWAY)}, 'statistics', {away})",
         f"named_struct('team', {_team(BOX_HOME)}, 'statistics', {home})",
     )
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    return spread(table(spark, sf_dir, "lineitem")).selectExpr(
         "string(l_orderkey) AS game_id",
         _line_header(),
         f"named_struct('players', {players}) AS boxscore",

@@ -103,7 +103,7 @@ def parse_players(spark, sf_dir):
         concat(s_suppkey, g.mark, i) AS player_id, concat(s_name, ' ', i) AS full_name,
         g.name AS roster_group, upper(substr(g.name, 1, 2)) AS position, g.name AS position_name,
         CAST(i AS VARCHAR) AS jersey, CAST(20 + i AS BIGINT) AS age, CAST(70 + i AS BIGINT) AS height_in,
-        CASE WHEN i <> 2 THEN CAST(200 AS BIGINT) END AS weight_lbs,
+        CASE WHEN i <> 2 THEN CAST(200 + i // 4 AS BIGINT) END AS weight_lbs,
         CASE WHEN i <> 1 THEN CAST(i AS BIGINT) END AS experience_years,
         concat('College ', s_nationkey) AS college,
         CASE WHEN s_acctbal < 0 THEN 'Inactive' ELSE 'Active' END AS status
