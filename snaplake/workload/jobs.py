@@ -60,18 +60,17 @@ def landing_rosters(spark, sf_dir):
 
 
 @query("schedule_dedupe", """
-    SELECT CAST(o_orderkey AS VARCHAR) AS id, o_custkey % 32 AS listed_by
+    SELECT CAST(o_orderkey AS VARCHAR) AS id,
+        CAST(least(o_custkey % 32, (o_custkey + 1 + o_orderkey % 31) % 32) AS BIGINT) AS listed_by
     FROM orders
 """)
 def schedule_dedupe(spark, sf_dir):
-    """Every game is listed by both teams; the first listing in request order stays."""
-    events = landing.schedule_events(spark, sf_dir).select("id", "position")
-    home = landing.table(spark, sf_dir, "orders").select(
-        F.col("o_orderkey").cast("string").alias("id"), (F.col("o_custkey") % 32).alias("team"), "o_orderkey"
-    )
-    lists = home.select("id", "o_orderkey", F.explode(F.array("team", F.col("team") + 32)).alias("listed_by"))
-    assert events.columns == ["id", "position"]
-    return L.unique_events(lists, "listed_by", "o_orderkey").select("id", "listed_by")
+    """Every game is on both teams' schedules; the first listing in request order stays."""
+    events = landing.schedule_events(spark, sf_dir)
+    teams = F.get("competitions", F.lit(0))["competitors"]["team"]["id"]
+    listings = events.select("id", "position", F.explode(teams).alias("team"))
+    listings = listings.select("id", "position", F.col("team").cast("bigint").alias("listed_by"))
+    return L.unique_events(listings, "listed_by", "position").select("id", "listed_by")
 
 
 @query("first_wins_union", """
