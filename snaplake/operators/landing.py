@@ -181,7 +181,7 @@ def land_summaries(responses: DataFrame, carry: Sequence[str] = ()) -> DataFrame
 
 def unique_events(events: DataFrame, *position: str) -> DataFrame:
     """Each game once although both teams' schedules list it; the first in arrival order stays."""
-    return first_rows(events, ["id"], [F.col(p) for p in position])
+    return first_rows(events, ["id"], *position)
 
 
 def kickoff_and_completed(events: DataFrame) -> DataFrame:
@@ -210,4 +210,4 @@ def completed_games(games: DataFrame, now: Column) -> DataFrame:
 
 def sample_per_state(games: DataFrame, state: str, *position: str) -> DataFrame:
     """The first game of each state."""
-    return first_rows(games, [state], [F.col(p) for p in position])
+    return first_rows(games, [state], *position)

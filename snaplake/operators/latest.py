@@ -6,7 +6,7 @@ large share of the rows reaches its reducer as a handful of rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,35 +19,35 @@ GROUP_LIMIT = 1000
 SALTS = 64
 
 
-def row_hash(df: DataFrame) -> Column:
-    return F.xxhash64(*(F.col(f"`{c}`") for c in df.columns))
-
-
-def _whole_row(df: DataFrame) -> Column:
-    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
-
+def _extreme_row(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], pick: Callable[[Column], Column]
+) -> DataFrame:
+    """The row of each key whose ``order`` columns, then all its others, are extreme.
 
-def best_per_key(df: DataFrame, keys: Sequence[str], rank: Sequence[Column]) -> DataFrame:
-    """The row with the highest rank of each key; a NULL ranks below everything."""
-    best = F.max_by(_whole_row(df), F.struct(*rank))
-    return df.groupBy(*(F.col(k).alias(f"_key_{k}") for k in keys)).agg(best.alias("row")).select("row.*")
+    The order leads a struct of the whole row, so one aggregate finds the row and brings it along,
+    ties are broken by content, and the keys stay grouping columns: a filter on them moves below.
+    """
+    others = [c for c in df.columns if c not in keys and c not in order]
+    row = F.struct(*(F.col(f"`{c}`") for c in (*order, *others)))
+    found = df.groupBy(*keys).agg(pick(row).alias("_row"))
+    return found.select(*(F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns))
 
 
-def latest_rows(df: DataFrame, keys: Sequence[str], snapshot: str, file: str) -> DataFrame:
-    """Newest snapshot per key; equal snapshots go to the later file, then to the row hash."""
-    return best_per_key(df, keys, [F.col(snapshot), F.col(file), row_hash(df)])
+def latest_rows(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
+    """The row of each key that is greatest in ``order``; a NULL is below everything."""
+    return _extreme_row(df, keys, order, F.max)
 
 
 def dedupe_latest(df: DataFrame, table: Table) -> DataFrame:
+    """Newest snapshot per key; of equal snapshots the later file."""
     return latest_rows(df, table.keys, table.snapshot_column, table.file_column)
 
 
-def first_rows(df: DataFrame, keys: Sequence[str], position: Sequence[Column]) -> DataFrame:
-    """The earliest row of each key in arrival order; NULL and blank keys are dropped."""
+def first_rows(df: DataFrame, keys: Sequence[str], *position: str) -> DataFrame:
+    """The row of each key that comes first in arrival order; NULL and blank keys are dropped."""
     for k in keys:
         df = df.filter(F.col(k).isNotNull() & (F.col(k).cast("string") != ""))
-    first = F.min_by(_whole_row(df), F.struct(*position))
-    return df.groupBy(*(F.col(k).alias(f"_key_{k}") for k in keys)).agg(first.alias("row")).select("row.*")
+    return _extreme_row(df, keys, position, F.min)
 
 
 def top_n_per_group(
@@ -60,9 +60,10 @@ def top_n_per_group(
     if n < 1:
         raise ValueError("n must be at least 1")
     if n > GROUP_LIMIT:
-        salted = df.withColumn("_salt", F.pmod(row_hash(df), F.lit(SALTS)))
-        pre = Window.partitionBy(*keys, "_salt").orderBy(*order)
-        df = salted.withColumn("_n", F.row_number().over(pre)).filter(F.col("_n") <= n).drop("_n", "_salt")
+        salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(SALTS))
+        salted = df.withColumn("_salt", salt)
+        within = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))
+        df = salted.withColumn("_n", within).filter(F.col("_n") <= n).drop("_n", "_salt")
     number = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     return df.withColumn("rank", number).filter(F.col("rank") <= n)
 

@@ -36,35 +36,28 @@ def merge_rows(
 ) -> DataFrame:
     """Both sides, each unique by key, as one row per key plus ``_change``.
 
-    ``place`` names columns that follow from the key and say where a row is stored. The rows are
-    then shuffled by them alone, which serves the grouping and a write partitioned by them.
+    The row that stays is the greatest by (held with a NULL snapshot, snapshot, held): exactly the
+    rule above. ``place`` names columns that follow from the key and say where a row is stored; the
+    rows are then shuffled by them alone, which serves the grouping and a write partitioned by them.
     """
-    snapshot = F.col(table.snapshot_column)
-    columns = table.columns
 
-    def side(df: DataFrame, known: bool) -> DataFrame:
-        pinned = snapshot.isNull() if known else F.lit(False)
+    def side(df: DataFrame, is_held: bool) -> DataFrame:
+        pinned = F.col(table.snapshot_column).isNull() if is_held else F.lit(False)
         return df.select(
-            *place,
-            *columns,
-            F.lit(known).alias("_known"),
-            F.struct(
-                pinned.alias("pinned"), snapshot.alias("snapshot"), F.lit(known).alias("known")
-            ).alias("_rank"),
+            *place, *table.columns, pinned.alias("_pinned"), F.lit(is_held).alias("_held")
         )
 
     both = side(held, True).unionByName(side(fresh, False))
     if place:
         both = both.repartition(*place)
-    row = F.struct(*columns, "_known")
-    groups = [*place, *(F.col(k).alias(f"_key_{k}") for k in table.keys)]
-    merged = both.groupBy(*groups).agg(
-        F.max_by(row, F.col("_rank")).alias("row"), F.max("_known").alias("_was_known")
+    order = ["_pinned", table.snapshot_column, "_held"]
+    others = [c for c in table.columns if c not in table.keys and c not in order]
+    merged = both.groupBy(*place, *table.keys).agg(
+        F.max(F.struct(*order, *others)).alias("_row"), F.max("_held").alias("_was_held")
     )
-    change = (
-        F.when(~F.col("_was_known"), INSERTED).when(F.col("row._known"), KEPT).otherwise(UPDATED)
-    )
-    return merged.select(*place, *(f"row.{c}" for c in columns), change.alias("_change"))
+    change = F.when(~F.col("_was_held"), INSERTED).when(F.col("_row._held"), KEPT).otherwise(UPDATED)
+    columns = (F.col(c) if c in table.keys else F.col("_row")[c].alias(c) for c in table.columns)
+    return merged.select(*place, *columns, change.alias("_change"))
 
 
 def merge_latest(held: DataFrame, batch: DataFrame, table: Table) -> DataFrame:

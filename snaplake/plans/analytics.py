@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snaplake.functions.scalars import contains_text
-from snaplake.operators.latest import best_per_key, row_hash
+from snaplake.operators.latest import latest_rows
 
 REGULAR = 2  # season type of the regular season
 
@@ -108,10 +108,13 @@ def team_total(
 def team_allowed(
     box: DataFrame, games: DataFrame, season: int, team_id: str, stat: str, season_type: int = REGULAR
 ) -> DataFrame:
-    """What a team's opponents totalled against it."""
-    mine = box.filter(F.col("team_id") == team_id).select("game_id")
-    theirs = box.filter(F.col("team_id") != team_id).join(mine, "game_id")
-    return _with_season(theirs, games, season, season_type).agg(F.sum(stat).alias("total"))
+    """What a team's opponents totalled against it, game by game in one pass."""
+    played = F.col("team_id") == team_id
+    per_game = box.groupBy("game_id").agg(
+        F.some(played).alias("played"), F.sum(F.when(~played, F.col(stat))).alias("against")
+    )
+    theirs = _with_season(per_game.filter("played"), games, season, season_type)
+    return theirs.agg(F.sum("against").alias("total"))
 
 
 def news_mentions(news: DataFrame, name: str, days: int = 30, now: Column | None = None) -> DataFrame:
@@ -142,6 +145,5 @@ def with_position(stats: DataFrame, rosters: DataFrame) -> DataFrame:
     ``stats`` is doubled.
     """
     listed = rosters.select("season", "player_id", "position", "_snapshot_at", "team_id")
-    rank = [F.col("_snapshot_at"), F.col("team_id"), row_hash(listed)]
-    newest = best_per_key(listed, ["season", "player_id"], rank)
+    newest = latest_rows(listed, ["season", "player_id"], "_snapshot_at", "team_id")
     return stats.join(newest.select("season", "player_id", "position"), ["season", "player_id"])

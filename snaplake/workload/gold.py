@@ -190,11 +190,6 @@ def gold_recent_count(spark, sf_dir):
     return A.news_mentions(news, "contr", days=3, now=F.lit("2024-01-05").cast("timestamp"))
 
 
-@query("gold_no_data", "SELECT CAST(o_orderkey AS VARCHAR) AS game_id FROM orders WHERE 1 = 0")
-def gold_no_data(spark, sf_dir):
-    return A.no_data(_games(spark, sf_dir), "game_id")
-
-
 @query("gold_box_score", f"""
     SELECT team_id, third_down_conversions, third_down_attempts, possession_seconds
     FROM ({team_box_latest("game_id, team_id, third_down_conversions, third_down_attempts, possession_seconds")})
@@ -268,11 +263,11 @@ def news_title_mentions(spark, sf_dir):
     return title_mentions(parsed(spark, sf_dir, "injury_news", "id", "title"), "From SRC1")
 
 
-@query("player_names", """
+@query("dimension_lookup", """
     SELECT n_name, CAST(count(*) AS BIGINT) AS customers FROM customer JOIN nation ON c_nationkey = n_nationkey
     GROUP BY n_name
 """)
-def player_names(spark, sf_dir):
+def dimension_lookup(spark, sf_dir):
     """Dimension look-up by an equi-join; the planner broadcasts the side it finds small."""
     customers = landing.table(spark, sf_dir, "customer")
     nations = landing.table(spark, sf_dir, "nation")

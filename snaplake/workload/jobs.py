@@ -92,7 +92,7 @@ def first_wins_union(spark, sf_dir):
     early = listed.filter(F.col("first_season") < 1998)
     late = listed.filter(F.col("first_season") >= 1998)
     everyone = late.unionByName(early)
-    first = first_rows(everyone, ["id"], [F.col("first_season"), F.col("o_orderkey")])
+    first = first_rows(everyone, ["id"], "first_season", "o_orderkey")
     return first.select("id", "first_season", "name")
 
 
