@@ -46,12 +46,15 @@ class Field:
 
 @dataclass(frozen=True)
 class Step:
-    """One step from a landing record to a row: a named value, or one row per array element."""
+    """One step from a landing record to a row: named values, or one row per array element."""
 
-    alias: str
-    recipe: tuple
+    values: tuple[tuple[str, tuple], ...]
     each: bool = False
 
+    def apply(self, df: DataFrame) -> DataFrame:
+        made = ((alias, _cook(recipe)) for alias, recipe in self.values)
+        return df.select("*", *((F.explode(v) if self.each else v).alias(a) for a, v in made))
+
 
 def _cook(recipe: tuple) -> Column:
     first, *args = recipe
@@ -66,12 +69,12 @@ def key(name: str, type: DataType, *recipe, note: str = "") -> Field:
     return Field(name, type, recipe or (name,), note, key=True)
 
 
-def let(alias: str, *recipe) -> Step:
-    return Step(alias, recipe)
+def let(**recipes: tuple) -> Step:
+    return Step(tuple(recipes.items()))
 
 
 def each(alias: str, *recipe) -> Step:
-    return Step(alias, recipe, each=True)
+    return Step(((alias, recipe),), each=True)
 
 
 # Role and name of the audit columns, in table order.
@@ -143,6 +146,5 @@ class Table:
     def rows(self, df: DataFrame) -> DataFrame:
         """The landing records taken apart into one row per grain."""
         for step in self.steps:
-            value = _cook(step.recipe)
-            df = df.select("*", (F.explode(value) if step.each else value).alias(step.alias))
+            df = step.apply(df)
         return df

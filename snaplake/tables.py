@@ -5,14 +5,13 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from snaplake.functions.nested import (
+    aligned_value,
     athlete_stats,
     entries_by_athlete,
     entry_where,
     group_entries,
     head,
-    listed_stats,
-    listed_value,
-    names_of,
+    members,
 )
 from snaplake.functions.scalars import (
     clock_seconds,
@@ -22,6 +21,7 @@ from snaplake.functions.scalars import (
     leading_date,
     lowered,
     pair_part,
+    real,
     trimmed,
     whole,
     zoneless_instant,
@@ -109,38 +109,52 @@ def _score_once_started(side: str):
     return F.when(F.col("comp.status.type.state") != "pre", whole(f"{side}.score.value"))
 
 
-def _listed(name: str, part: str):
-    return listed_value("listed", "names", name, part)
+# A stat is picked from its list by name first and converted afterwards, as ``shown <name>`` for
+# display texts and ``exact <name>`` for values, so each list is searched once per stat and only
+# for the stats a query asks for.
 
 
-def _count(name: str):
-    return _listed(name, "count")
+def _picked(kind: str, name: str):
+    return F.col(f"`{kind} {name}`")
 
 
-def _rate(name: str):
-    return _listed(name, "rate")
+def _count(name: str, kind: str = "shown"):
+    return whole(_picked(kind, name))
 
 
-def _text(name: str):
-    return _listed(name, "text")
+def _rate(name: str, kind: str = "exact"):
+    return real(_picked(kind, name))
 
 
-def _pair_part(name: str, separator: str, part: int):
-    return pair_part(_text(name), separator, part)
+def _text(name: str, kind: str = "shown"):
+    return _picked(kind, name)
 
 
-def _clock(name: str):
-    return clock_seconds(_text(name))
+def _pair_part(name: str, kind: str, separator: str, part: int):
+    return pair_part(_picked(kind, name), separator, part)
 
 
-def _stat_list(reader, *recipe):
-    """Steps that turn a feed's stats into ``listed`` and ``names``."""
-    return let("listed", reader, *recipe), let("names", names_of, "listed")
+def _clock(name: str, kind: str = "shown"):
+    return clock_seconds(_picked(kind, name))
 
 
-def _counts(**names: str) -> tuple[Field, ...]:
+_PICKING = (_count, _rate, _text, _pair_part, _clock)
+
+
+def _picks(fields: tuple[Field, ...]):
+    """The step that picks every stat the fields convert."""
+    wanted = {}
+    for f in fields:
+        reader, *args = f.recipe
+        if reader in _PICKING:
+            kind = args[1] if len(args) > 1 else reader.__defaults__[0]
+            wanted[f"{kind} {args[0]}"] = (aligned_value, "names", kind, args[0])
+    return let(**wanted)
+
+
+def _counts(kind: str = "shown", **names: str) -> tuple[Field, ...]:
     """Several BIGINT stats: column=name in the feed."""
-    return tuple(col(column, COUNT, _count, name) for column, name in names.items())
+    return tuple(col(column, COUNT, _count, name, kind) for column, name in names.items())
 
 
 def _group_counts(group: str, **names: str) -> tuple[Field, ...]:
@@ -149,11 +163,24 @@ def _group_counts(group: str, **names: str) -> tuple[Field, ...]:
 
 def _pair(name: str, separator: str, first: str, second: str) -> tuple[Field, ...]:
     return (
-        col(first, COUNT, _pair_part, name, separator, 1),
-        col(second, COUNT, _pair_part, name, separator, 2),
+        col(first, COUNT, _pair_part, name, "shown", separator, 1),
+        col(second, COUNT, _pair_part, name, "shown", separator, 2),
+    )
+
+
+def _stat_lists(entries: str):
+    """A list of {name, value, displayValue} as three parallel arrays."""
+    return let(
+        names=(members, entries, "name"),
+        shown=(members, entries, "displayValue"),
+        exact=(members, entries, "value"),
     )
 
 
+def _first_athlete():
+    return head("player.own")["athlete"]
+
+
 def _game_core(season: str, season_type: str, week: str, *kickoff) -> tuple[Field, ...]:
     return (
         col("season", COUNT, season),
@@ -248,6 +275,37 @@ ROSTERS = Table(
     ),
 )
 
+_STANDING_FIELDS = (
+    key("season", COUNT, "conf.standings.season"),
+    key("season_type", COUNT, "conf.standings.seasonType"),
+    col("conference", TEXT, "conf.abbreviation"),
+    key("team_id", TEXT, "e.team.id"),
+    col("team_abbreviation", TEXT, "e.team.abbreviation"),
+    col("team_name", TEXT, "e.team.displayName"),
+    *_counts("exact", wins="wins", losses="losses", ties="ties"),
+    col("win_percent", RATE, _rate, "winPercent"),
+    *_counts(
+        "exact",
+        points_for="pointsFor",
+        points_against="pointsAgainst",
+        point_differential="pointDifferential",
+    ),
+    col("games_behind", RATE, _rate, "gamesBehind"),
+    col("playoff_seed", COUNT, _count, "playoffSeed", "exact"),
+    col("streak", TEXT, _text, "streak"),
+    *_counts(
+        "exact",
+        division_wins="divisionWins",
+        division_losses="divisionLosses",
+        division_ties="divisionTies",
+    ),
+    col("overall_record", TEXT, _text, "overall", note="wins-losses[-ties]"),
+    col("home_record", TEXT, _text, "Home"),
+    col("road_record", TEXT, _text, "Road"),
+    col("division_record", TEXT, _text, "vs. Div."),
+    col("conference_record", TEXT, _text, "vs. Conf."),
+)
+
 STANDINGS = Table(
     name="standings",
     prefix="espn/standings",
@@ -256,36 +314,10 @@ STANDINGS = Table(
     steps=(
         each("conf", "children"),
         each("e", "conf.standings.entries"),
-        *_stat_list(listed_stats, "e.stats", "value"),
-    ),
-    fields=(
-        key("season", COUNT, "conf.standings.season"),
-        key("season_type", COUNT, "conf.standings.seasonType"),
-        col("conference", TEXT, "conf.abbreviation"),
-        key("team_id", TEXT, "e.team.id"),
-        col("team_abbreviation", TEXT, "e.team.abbreviation"),
-        col("team_name", TEXT, "e.team.displayName"),
-        *_counts(wins="wins", losses="losses", ties="ties"),
-        col("win_percent", RATE, _rate, "winPercent"),
-        *_counts(
-            points_for="pointsFor",
-            points_against="pointsAgainst",
-            point_differential="pointDifferential",
-        ),
-        col("games_behind", RATE, _rate, "gamesBehind"),
-        col("playoff_seed", COUNT, _count, "playoffSeed"),
-        col("streak", TEXT, _text, "streak"),
-        *_counts(
-            division_wins="divisionWins",
-            division_losses="divisionLosses",
-            division_ties="divisionTies",
-        ),
-        col("overall_record", TEXT, _text, "overall", note="wins-losses[-ties]"),
-        col("home_record", TEXT, _text, "Home"),
-        col("road_record", TEXT, _text, "Road"),
-        col("division_record", TEXT, _text, "vs. Div."),
-        col("conference_record", TEXT, _text, "vs. Conf."),
+        _stat_lists("e.stats"),
+        _picks(_STANDING_FIELDS),
     ),
+    fields=_STANDING_FIELDS,
 )
 
 SCHEDULES = Table(
@@ -294,9 +326,11 @@ SCHEDULES = Table(
     raw=SCHEDULES_RAW,
     note="One row per scheduled game",
     steps=(
-        let("comp", head, "competitions"),
-        let("home", entry_where, "comp.competitors", "homeAway", "home"),
-        let("away", entry_where, "comp.competitors", "homeAway", "away"),
+        let(comp=(head, "competitions")),
+        let(
+            home=(entry_where, "comp.competitors", "homeAway", "home"),
+            away=(entry_where, "comp.competitors", "homeAway", "away"),
+        ),
     ),
     fields=(
         key("game_id", TEXT, "id"),
@@ -322,9 +356,11 @@ GAMES = Table(
     raw=SUMMARIES_RAW,
     note="One row per game that has kicked off",
     steps=(
-        let("comp", head, "header.competitions"),
-        let("home", entry_where, "comp.competitors", "homeAway", "home"),
-        let("away", entry_where, "comp.competitors", "homeAway", "away"),
+        let(comp=(head, "header.competitions")),
+        let(
+            home=(entry_where, "comp.competitors", "homeAway", "home"),
+            away=(entry_where, "comp.competitors", "homeAway", "away"),
+        ),
     ),
     fields=(
         key("game_id", TEXT),
@@ -341,42 +377,118 @@ GAMES = Table(
     ),
 )
 
+_TEAM_BOX_FIELDS = (
+    key("game_id", TEXT),
+    key("team_id", TEXT, "t.team.id"),
+    col("team_abbreviation", TEXT, "t.team.abbreviation"),
+    col("home_away", TEXT, "t.homeAway"),
+    *_counts(
+        first_downs="firstDowns",
+        first_downs_passing="firstDownsPassing",
+        first_downs_rushing="firstDownsRushing",
+        first_downs_penalty="firstDownsPenalty",
+    ),
+    *_pair("thirdDownEff", "-", "third_down_conversions", "third_down_attempts"),
+    *_pair("fourthDownEff", "-", "fourth_down_conversions", "fourth_down_attempts"),
+    *_counts(total_offensive_plays="totalOffensivePlays", total_yards="totalYards"),
+    col("yards_per_play", RATE, _rate, "yardsPerPlay"),
+    *_counts(total_drives="totalDrives", net_passing_yards="netPassingYards"),
+    *_pair("completionAttempts", "/", "pass_completions", "pass_attempts"),
+    col("yards_per_pass", RATE, _rate, "yardsPerPass"),
+    col("interceptions_thrown", COUNT, _count, "interceptions", note="listed twice, the first counts"),
+    *_pair("sacksYardsLost", "-", "sacks", "sack_yards_lost"),
+    *_counts(rushing_yards="rushingYards", rushing_attempts="rushingAttempts"),
+    col("yards_per_rush_attempt", RATE, _rate, "yardsPerRushAttempt"),
+    *_pair("redZoneAttempts", "-", "red_zone_scores", "red_zone_attempts"),
+    *_pair("totalPenaltiesYards", "-", "penalties", "penalty_yards"),
+    *_counts(
+        turnovers="turnovers",
+        fumbles_lost="fumblesLost",
+        defensive_touchdowns="defensiveTouchdowns",
+    ),
+    col("possession_seconds", COUNT, _clock, "possessionTime"),
+)
+
 GAME_TEAM_STATS = Table(
     name="game_team_stats",
     prefix="espn/game_summaries",
     raw=SUMMARIES_RAW,
     note="Box score of one team in one game",
-    steps=(each("t", "boxscore.teams"), *_stat_list(listed_stats, "t.statistics")),
-    fields=(
-        key("game_id", TEXT),
-        key("team_id", TEXT, "t.team.id"),
-        col("team_abbreviation", TEXT, "t.team.abbreviation"),
-        col("home_away", TEXT, "t.homeAway"),
-        *_counts(
-            first_downs="firstDowns",
-            first_downs_passing="firstDownsPassing",
-            first_downs_rushing="firstDownsRushing",
-            first_downs_penalty="firstDownsPenalty",
-        ),
-        *_pair("thirdDownEff", "-", "third_down_conversions", "third_down_attempts"),
-        *_pair("fourthDownEff", "-", "fourth_down_conversions", "fourth_down_attempts"),
-        *_counts(total_offensive_plays="totalOffensivePlays", total_yards="totalYards"),
-        col("yards_per_play", RATE, _rate, "yardsPerPlay"),
-        *_counts(total_drives="totalDrives", net_passing_yards="netPassingYards"),
-        *_pair("completionAttempts", "/", "pass_completions", "pass_attempts"),
-        col("yards_per_pass", RATE, _rate, "yardsPerPass"),
-        col("interceptions_thrown", COUNT, _count, "interceptions", note="listed twice, the first counts"),
-        *_pair("sacksYardsLost", "-", "sacks", "sack_yards_lost"),
-        *_counts(rushing_yards="rushingYards", rushing_attempts="rushingAttempts"),
-        col("yards_per_rush_attempt", RATE, _rate, "yardsPerRushAttempt"),
-        *_pair("redZoneAttempts", "-", "red_zone_scores", "red_zone_attempts"),
-        *_pair("totalPenaltiesYards", "-", "penalties", "penalty_yards"),
-        *_counts(
-            turnovers="turnovers",
-            fumbles_lost="fumblesLost",
-            defensive_touchdowns="defensiveTouchdowns",
-        ),
-        col("possession_seconds", COUNT, _clock, "possessionTime"),
+    steps=(each("t", "boxscore.teams"), _stat_lists("t.statistics"), _picks(_TEAM_BOX_FIELDS)),
+    fields=_TEAM_BOX_FIELDS,
+)
+
+_PLAYER_BOX_FIELDS = (
+    key("game_id", TEXT),
+    key("player_id", TEXT, "player.id"),
+    col("player_name", TEXT, "athlete.displayName"),
+    col("jersey", TEXT, "athlete.jersey"),
+    col("team_id", TEXT, "t.team.id"),
+    col("team_abbreviation", TEXT, "t.team.abbreviation"),
+    col("season", COUNT, "header.season.year"),
+    col("season_type", COUNT, "header.season.type", note="1 preseason, 2 regular season, 3 playoffs"),
+    col("week", COUNT, "header.week"),
+    *_pair("passing/completions/passingAttempts", "/", "pass_completions", "pass_attempts"),
+    *_group_counts(
+        "passing",
+        passing_yards="passingYards",
+        passing_tds="passingTouchdowns",
+        interceptions_thrown="interceptions",
+    ),
+    *_pair("passing/sacks-sackYardsLost", "-", "sacks_taken", "sack_yards_lost"),
+    col("passer_rating", RATE, _rate, "passing/QBRating", "shown"),
+    col("qbr", RATE, _rate, "passing/adjQBR", "shown"),
+    *_group_counts(
+        "rushing",
+        rushing_attempts="rushingAttempts",
+        rushing_yards="rushingYards",
+        rushing_tds="rushingTouchdowns",
+        rushing_long="longRushing",
+    ),
+    *_group_counts(
+        "receiving",
+        receptions="receptions",
+        targets="receivingTargets",
+        receiving_yards="receivingYards",
+        receiving_tds="receivingTouchdowns",
+        receiving_long="longReception",
+    ),
+    *_group_counts(
+        "fumbles",
+        fumbles="fumbles", fumbles_lost="fumblesLost", fumbles_recovered="fumblesRecovered",
+    ),
+    *_group_counts("defensive", tackles_total="totalTackles", tackles_solo="soloTackles"),
+    col("def_sacks", RATE, _rate, "defensive/sacks", "shown", note="half sacks count .5"),
+    col("tackles_for_loss", RATE, _rate, "defensive/tacklesForLoss", "shown"),
+    *_group_counts(
+        "defensive",
+        passes_defended="passesDefended", qb_hits="QBHits", def_tds="defensiveTouchdowns",
+    ),
+    *_group_counts(
+        "interceptions",
+        def_interceptions="interceptions",
+        def_interception_yards="interceptionYards",
+        def_interception_tds="interceptionTouchdowns",
+    ),
+    *_group_counts(
+        "kickReturns",
+        kick_returns="kickReturns",
+        kick_return_yards="kickReturnYards",
+        kick_return_tds="kickReturnTouchdowns",
+    ),
+    *_group_counts(
+        "puntReturns",
+        punt_returns="puntReturns",
+        punt_return_yards="puntReturnYards",
+        punt_return_tds="puntReturnTouchdowns",
+    ),
+    *_pair("kicking/fieldGoalsMade/fieldGoalAttempts", "/", "field_goals_made", "field_goal_attempts"),
+    col("field_goal_long", COUNT, _count, "kicking/longFieldGoalMade"),
+    *_pair("kicking/extraPointsMade/extraPointAttempts", "/", "extra_points_made", "extra_point_attempts"),
+    col("kicking_points", COUNT, _count, "kicking/totalKickingPoints"),
+    *_group_counts(
+        "punting",
+        punts="punts", punt_yards="puntYards", punts_inside_20="puntsInside20",
     ),
 )
 
@@ -387,84 +499,13 @@ PLAYER_GAME_STATS = Table(
     note="Box score of one player in one game; what was not recorded is NULL, not 0",
     steps=(
         each("t", "boxscore.players"),
-        let("entries", group_entries, "t.statistics"),
+        let(entries=(group_entries, "t.statistics")),
         each("player", entries_by_athlete, "entries"),
-        *_stat_list(athlete_stats, "player.own"),
-        let("athlete", lambda: head("player.own")["athlete"]),
-    ),
-    fields=(
-        key("game_id", TEXT),
-        key("player_id", TEXT, "player.id"),
-        col("player_name", TEXT, "athlete.displayName"),
-        col("jersey", TEXT, "athlete.jersey"),
-        col("team_id", TEXT, "t.team.id"),
-        col("team_abbreviation", TEXT, "t.team.abbreviation"),
-        col("season", COUNT, "header.season.year"),
-        col("season_type", COUNT, "header.season.type", note="1 preseason, 2 regular season, 3 playoffs"),
-        col("week", COUNT, "header.week"),
-        *_pair("passing/completions/passingAttempts", "/", "pass_completions", "pass_attempts"),
-        *_group_counts(
-            "passing",
-            passing_yards="passingYards",
-            passing_tds="passingTouchdowns",
-            interceptions_thrown="interceptions",
-        ),
-        *_pair("passing/sacks-sackYardsLost", "-", "sacks_taken", "sack_yards_lost"),
-        col("passer_rating", RATE, _rate, "passing/QBRating"),
-        col("qbr", RATE, _rate, "passing/adjQBR"),
-        *_group_counts(
-            "rushing",
-            rushing_attempts="rushingAttempts",
-            rushing_yards="rushingYards",
-            rushing_tds="rushingTouchdowns",
-            rushing_long="longRushing",
-        ),
-        *_group_counts(
-            "receiving",
-            receptions="receptions",
-            targets="receivingTargets",
-            receiving_yards="receivingYards",
-            receiving_tds="receivingTouchdowns",
-            receiving_long="longReception",
-        ),
-        *_group_counts(
-            "fumbles",
-            fumbles="fumbles", fumbles_lost="fumblesLost", fumbles_recovered="fumblesRecovered",
-        ),
-        *_group_counts("defensive", tackles_total="totalTackles", tackles_solo="soloTackles"),
-        col("def_sacks", RATE, _rate, "defensive/sacks", note="half sacks count .5"),
-        col("tackles_for_loss", RATE, _rate, "defensive/tacklesForLoss"),
-        *_group_counts(
-            "defensive",
-            passes_defended="passesDefended", qb_hits="QBHits", def_tds="defensiveTouchdowns",
-        ),
-        *_group_counts(
-            "interceptions",
-            def_interceptions="interceptions",
-            def_interception_yards="interceptionYards",
-            def_interception_tds="interceptionTouchdowns",
-        ),
-        *_group_counts(
-            "kickReturns",
-            kick_returns="kickReturns",
-            kick_return_yards="kickReturnYards",
-            kick_return_tds="kickReturnTouchdowns",
-        ),
-        *_group_counts(
-            "puntReturns",
-            punt_returns="puntReturns",
-            punt_return_yards="puntReturnYards",
-            punt_return_tds="puntReturnTouchdowns",
-        ),
-        *_pair("kicking/fieldGoalsMade/fieldGoalAttempts", "/", "field_goals_made", "field_goal_attempts"),
-        col("field_goal_long", COUNT, _count, "kicking/longFieldGoalMade"),
-        *_pair("kicking/extraPointsMade/extraPointAttempts", "/", "extra_points_made", "extra_point_attempts"),
-        col("kicking_points", COUNT, _count, "kicking/totalKickingPoints"),
-        *_group_counts(
-            "punting",
-            punts="punts", punt_yards="puntYards", punts_inside_20="puntsInside20",
-        ),
+        let(athlete=(_first_athlete,), stats=(athlete_stats, "player.own")),
+        let(names=(members, "stats", "name"), shown=(members, "stats", "text")),
+        _picks(_PLAYER_BOX_FIELDS),
     ),
+    fields=_PLAYER_BOX_FIELDS,
 )
 
 INJURY_NEWS = Table(

@@ -10,30 +10,16 @@ from snaplake.workload import landing
 from snaplake.workload.parsing import (
     GAMES_SQL,
     NEWS_SQL,
-    current,
-    parsed,
     player_box_latest,
     team_box_latest,
 )
 from snaplake.workload.registry import plain, query
+from snaplake.workload.silver import silver
 
 SEASON, STANDINGS_SEASON, WEEK = 1998, 2017, 6
 _SEASON_SQL = f"season = {SEASON} AND season_type = 2"
 
 
-def _games(spark, sf_dir):
-    """Games are landed once each, so no version has to be chosen."""
-    return parsed(spark, sf_dir, "games")
-
-
-def _standings(spark, sf_dir):
-    return parsed(spark, sf_dir, "standings")
-
-
-def _teams(spark, sf_dir):
-    return parsed(spark, sf_dir, "teams")
-
-
 _STANDINGS_SQL = """
     SELECT CAST(2015 + c_custkey % 10 AS BIGINT) AS season, CAST(2 + c_custkey % 2 AS BIGINT) AS season_type,
         CASE WHEN c_nationkey % 2 = 0 THEN 'AFC' ELSE 'NFC' END AS conference,
@@ -50,17 +36,17 @@ _THIS_STANDING = f"FROM ({_STANDINGS_SQL}) WHERE season = {STANDINGS_SEASON} AND
 
 @query("gold_team_abbreviation", "SELECT concat('T', s_suppkey) AS abbreviation FROM supplier WHERE s_suppkey = 25")
 def gold_team_abbreviation(spark, sf_dir):
-    return A.lookup(_teams(spark, sf_dir), "abbreviation", team_id="25")
+    return A.lookup(silver(spark, sf_dir, "teams"), "abbreviation", team_id="25")
 
 
 @query("gold_team_name", "SELECT s_name AS display_name FROM supplier WHERE concat('T', s_suppkey) = 'T7'")
 def gold_team_name(spark, sf_dir):
-    return A.lookup(_teams(spark, sf_dir), "display_name", abbreviation="T7")
+    return A.lookup(silver(spark, sf_dir, "teams"), "display_name", abbreviation="T7")
 
 
 @query("gold_most_wins", f"SELECT team_abbreviation, wins {_THIS_STANDING} ORDER BY wins DESC, team_id LIMIT 1")
 def gold_most_wins(spark, sf_dir):
-    return A.standings_leader(_standings(spark, sf_dir), STANDINGS_SEASON, "wins")
+    return A.standings_leader(silver(spark, sf_dir, "standings"), STANDINGS_SEASON, "wins")
 
 
 @query("gold_best_seed", f"""
@@ -68,14 +54,14 @@ def gold_most_wins(spark, sf_dir):
     ORDER BY playoff_seed ASC NULLS LAST, team_id LIMIT 1
 """)
 def gold_best_seed(spark, sf_dir):
-    standings = _standings(spark, sf_dir)
+    standings = silver(spark, sf_dir, "standings")
     return A.standings_leader(standings, STANDINGS_SEASON, "playoff_seed", conference="AFC", lowest=True)
 
 
 def _register_standing(name: str, column: str) -> None:
     @query(name, f"SELECT {column} {_THIS_STANDING} AND team_abbreviation = 'T12-1'")
     def standing(spark, sf_dir):
-        return A.team_standing(_standings(spark, sf_dir), STANDINGS_SEASON, "T12-1", column)
+        return A.team_standing(silver(spark, sf_dir, "standings"), STANDINGS_SEASON, "T12-1", column)
 
 
 _register_standing("gold_team_wins", "wins")
@@ -89,12 +75,12 @@ _FINISHED = f"FROM ({GAMES_SQL}) WHERE {_SEASON_SQL} AND completed"
     SELECT home_score {_FINISHED} AND week = {WEEK} ORDER BY game_ts_utc, game_id LIMIT 1
 """)
 def gold_first_by_time(spark, sf_dir):
-    return A.first_home_score(_games(spark, sf_dir), SEASON, WEEK)
+    return A.first_home_score(silver(spark, sf_dir, "games"), SEASON, WEEK)
 
 
 @query("gold_count", f"SELECT CAST(count(*) AS BIGINT) AS games {_FINISHED} AND week = {WEEK}")
 def gold_count(spark, sf_dir):
-    return A.finished_count(_games(spark, sf_dir), SEASON, WEEK)
+    return A.finished_count(silver(spark, sf_dir, "games"), SEASON, WEEK)
 
 
 @query("gold_highest_combined", f"""
@@ -102,14 +88,14 @@ def gold_count(spark, sf_dir):
     ORDER BY combined_score DESC NULLS LAST, game_id LIMIT 1
 """)
 def gold_highest_combined(spark, sf_dir):
-    return A.highest_combined_score(_games(spark, sf_dir), SEASON)
+    return A.highest_combined_score(silver(spark, sf_dir, "games"), SEASON)
 
 
 @query("gold_abs_diff", f"""
     SELECT CAST(count(*) AS BIGINT) AS games {_FINISHED} AND abs(home_score - away_score) >= 10
 """)
 def gold_abs_diff(spark, sf_dir):
-    return A.decided_by(_games(spark, sf_dir), SEASON, 10)
+    return A.decided_by(silver(spark, sf_dir, "games"), SEASON, 10)
 
 
 def _register_leader(name: str, stat: str, kind: str = "BIGINT", season: int = SEASON, n: int = 1) -> None:
@@ -121,8 +107,7 @@ def _register_leader(name: str, stat: str, kind: str = "BIGINT", season: int = S
         ORDER BY total DESC NULLS LAST, player_id LIMIT {n}
     """)
     def leader(spark, sf_dir):
-        stats = current(spark, sf_dir, "player_game_stats", "player_name", "season", "season_type", stat)
-        return A.player_leaders(stats, season, stat, n=n)
+        return A.player_leaders(silver(spark, sf_dir, "player_game_stats"), season, stat, n=n)
 
 
 _register_leader("gold_passing_yards", "passing_yards")
@@ -137,8 +122,8 @@ _register_leader("gold_top_receivers", "receiving_yards", n=10)
 _register_leader("gold_empty", "passing_tds", season=1950)
 
 
-def _box(spark, sf_dir, *columns):
-    return current(spark, sf_dir, "game_team_stats", "team_abbreviation", *columns)
+def _box(spark, sf_dir):
+    return silver(spark, sf_dir, "game_team_stats")
 
 
 def _team_sql(stat: str) -> str:
@@ -153,7 +138,7 @@ def _register_team_leader(name: str, stat: str) -> None:
         GROUP BY team_id, team_abbreviation ORDER BY total DESC NULLS LAST, team_id LIMIT 1
     """)
     def leader(spark, sf_dir):
-        return A.team_leaders(_box(spark, sf_dir, stat), _games(spark, sf_dir), SEASON, stat)
+        return A.team_leaders(_box(spark, sf_dir), silver(spark, sf_dir, "games"), SEASON, stat)
 
 
 _register_team_leader("gold_team_sacked", "sacks")
@@ -163,7 +148,7 @@ _register_team_leader("gold_team_turnovers", "turnovers")
 def _register_team_total(name: str, stat: str) -> None:
     @query(name, f"SELECT CAST(sum({stat}) AS BIGINT) AS total FROM ({_team_sql(stat)}) WHERE team_id = '7'")
     def total(spark, sf_dir):
-        return A.team_total(_box(spark, sf_dir, stat), _games(spark, sf_dir), SEASON, "7", stat)
+        return A.team_total(_box(spark, sf_dir), silver(spark, sf_dir, "games"), SEASON, "7", stat)
 
 
 _register_team_total("gold_sum_join", "total_yards")
@@ -177,7 +162,7 @@ _register_team_total("gold_sack_yards", "sack_yards_lost")
     JOIN g ON g.game_id = o.game_id WHERE g.season = {SEASON} AND g.season_type = 2
 """)
 def gold_yards_allowed(spark, sf_dir):
-    return A.team_allowed(_box(spark, sf_dir, "total_yards"), _games(spark, sf_dir), SEASON, "7", "total_yards")
+    return A.team_allowed(_box(spark, sf_dir), silver(spark, sf_dir, "games"), SEASON, "7", "total_yards")
 
 
 @query("gold_recent_count", f"""
@@ -186,7 +171,7 @@ def gold_yards_allowed(spark, sf_dir):
         AND (title ILIKE '%contr%' OR description ILIKE '%contr%')
 """)
 def gold_recent_count(spark, sf_dir):
-    news = parsed(spark, sf_dir, "injury_news")
+    news = silver(spark, sf_dir, "injury_news")
     return A.news_mentions(news, "contr", days=3, now=F.lit("2024-01-05").cast("timestamp"))
 
 
@@ -197,21 +182,21 @@ def gold_recent_count(spark, sf_dir):
 """)
 def gold_box_score(spark, sf_dir):
     columns = ("third_down_conversions", "third_down_attempts", "possession_seconds")
-    return A.game_box_score(_box(spark, sf_dir, *columns), "100").select("team_id", *columns)
+    return A.game_box_score(_box(spark, sf_dir), "100").select("team_id", *columns)
 
 
 @query("gold_schedule_counts", f"""
     SELECT season_type, week, CAST(count(*) AS BIGINT) AS row_count FROM ({GAMES_SQL}) GROUP BY ALL
 """)
 def gold_schedule_counts(spark, sf_dir):
-    return A.counts_by(parsed(spark, sf_dir, "schedules"), "season_type", "week")
+    return A.counts_by(silver(spark, sf_dir, "schedules"), "season_type", "week")
 
 
 @query("gold_standings_counts", f"""
     SELECT conference, CAST(count(*) AS BIGINT) AS row_count FROM ({_STANDINGS_SQL}) GROUP BY ALL
 """)
 def gold_standings_counts(spark, sf_dir):
-    return A.counts_by(_standings(spark, sf_dir), "conference")
+    return A.counts_by(silver(spark, sf_dir, "standings"), "conference")
 
 
 @query("position_enrichment", f"""
@@ -230,7 +215,7 @@ def position_enrichment(spark, sf_dir):
     A supplier's players stand for one player's listings: the latest listed one counts, which is
     an offense player where that group is larger than the defense.
     """
-    rosters = parsed(spark, sf_dir, "rosters")
+    rosters = silver(spark, sf_dir, "rosters")
     listed_at = F.make_dt_interval(secs=F.col("age") * 2 + (F.col("roster_group") == "defense").cast("int"))
     listings = rosters.select(
         (F.col("season") - 20).alias("season"),
@@ -239,7 +224,7 @@ def position_enrichment(spark, sf_dir):
         "team_id",
         (F.col("_snapshot_at") + listed_at).alias("_snapshot_at"),
     )
-    stats = current(spark, sf_dir, "player_game_stats", "season", "receptions")
+    stats = silver(spark, sf_dir, "player_game_stats").select("season", "player_id", "receptions")
     placed = A.with_position(stats, listings)
     return placed.groupBy("position").agg(
         F.count(F.lit(1)).alias("games"), F.sum("receptions").alias("receptions")
@@ -253,14 +238,14 @@ def position_enrichment(spark, sf_dir):
 """)
 def news_by_team(spark, sf_dir):
     """News and teams share the abbreviation only."""
-    teams = _teams(spark, sf_dir).withColumn("abbreviation", F.concat(F.lit("SRC"), "team_id"))
-    news = parsed(spark, sf_dir, "injury_news", "id", "team_id", "title")
+    teams = silver(spark, sf_dir, "teams").withColumn("abbreviation", F.concat(F.lit("SRC"), "team_id"))
+    news = silver(spark, sf_dir, "injury_news").select("id", "team_id", "title")
     return news_with_team(news, teams).select("id", "team_id", "title", "team_name")
 
 
 @query("news_title_mentions", f"SELECT id, title FROM ({NEWS_SQL}) WHERE title ILIKE '%From SRC1%'")
 def news_title_mentions(spark, sf_dir):
-    return title_mentions(parsed(spark, sf_dir, "injury_news", "id", "title"), "From SRC1")
+    return title_mentions(silver(spark, sf_dir, "injury_news").select("id", "title"), "From SRC1")
 
 
 @query("dimension_lookup", """

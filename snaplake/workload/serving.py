@@ -16,6 +16,7 @@ from snaplake.tables import TABLES
 from snaplake.workload import landing
 from snaplake.workload.parsing import NEWS_SQL, parsed
 from snaplake.workload.registry import plain, query
+from snaplake.workload.silver import silver
 from snaplake.workload.upserts import USER_STATE, _newest_sql, _states, _two_batches
 
 
@@ -151,7 +152,7 @@ _ORDER_SQL = "ORDER BY n.created_at DESC, n.id DESC"
 
 
 def _news(spark, sf_dir):
-    return parsed(spark, sf_dir, "injury_news")
+    return silver(spark, sf_dir, "injury_news")
 
 
 def _now():
@@ -194,7 +195,7 @@ def search_team(spark, sf_dir):
 """)
 def search_team_name(spark, sf_dir):
     """A part of the team's name instead of its abbreviation, through the teams table."""
-    teams = parsed(spark, sf_dir, "teams").withColumn("abbreviation", F.concat(F.lit("SRC"), "team_id"))
+    teams = silver(spark, sf_dir, "teams").withColumn("abbreviation", F.concat(F.lit("SRC"), "team_id"))
     return S.matching_news(_news(spark, sf_dir), team="00001", days=3, now=_now(), teams=teams).select("id")
 
 
