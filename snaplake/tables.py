@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from snaplake.functions.nested import (
     aligned_value,
-    athlete_stats,
     entries_by_athlete,
     entry_where,
     group_entries,
@@ -111,7 +110,7 @@ def _score_once_started(side: str):
 
 # A stat is picked from its list by name first and converted afterwards, as ``shown <name>`` for
 # display texts and ``exact <name>`` for values, so each list is searched once per stat and only
-# for the stats a query asks for.
+# for the stats a query asks for. A player's stats are named ``<group>/<key>``.
 
 
 def _picked(kind: str, name: str):
@@ -141,15 +140,34 @@ def _clock(name: str, kind: str = "shown"):
 _PICKING = (_count, _rate, _text, _pair_part, _clock)
 
 
-def _picks(fields: tuple[Field, ...]):
-    """The step that picks every stat the fields convert."""
+def _wanted(fields: tuple[Field, ...]) -> dict[tuple[str, str], None]:
+    """(kind, name) of every stat the fields convert."""
     wanted = {}
     for f in fields:
         reader, *args = f.recipe
         if reader in _PICKING:
-            kind = args[1] if len(args) > 1 else reader.__defaults__[0]
-            wanted[f"{kind} {args[0]}"] = (aligned_value, "names", kind, args[0])
-    return let(**wanted)
+            wanted[(args[1] if len(args) > 1 else reader.__defaults__[0], args[0])] = None
+    return wanted
+
+
+def _picks(fields: tuple[Field, ...]):
+    """The step that picks team stats out of the arrays of ``_stat_lists``."""
+    return let(**{
+        f"{kind} {name}": (aligned_value, "names", kind, name) for kind, name in _wanted(fields)
+    })
+
+
+def _player_picks(fields: tuple[Field, ...]):
+    """The steps that find a player's entry in each stat group and pick the stats from it."""
+    split = {name: name.split("/", 1) for _, name in _wanted(fields)}
+    entries = {
+        f"in_{group}": (aligned_value, "groups", "player.own", group) for group, _ in split.values()
+    }
+    picks = {
+        f"shown {name}": (aligned_value, f"in_{group}.keys", f"in_{group}.stats", stat)
+        for name, (group, stat) in split.items()
+    }
+    return let(**entries), let(**picks)
 
 
 def _counts(kind: str = "shown", **names: str) -> tuple[Field, ...]:
@@ -501,9 +519,8 @@ PLAYER_GAME_STATS = Table(
         each("t", "boxscore.players"),
         let(entries=(group_entries, "t.statistics")),
         each("player", entries_by_athlete, "entries"),
-        let(athlete=(_first_athlete,), stats=(athlete_stats, "player.own")),
-        let(names=(members, "stats", "name"), shown=(members, "stats", "text")),
-        _picks(_PLAYER_BOX_FIELDS),
+        let(athlete=(_first_athlete,), groups=(members, "player.own", "group")),
+        *_player_picks(_PLAYER_BOX_FIELDS),
     ),
     fields=_PLAYER_BOX_FIELDS,
 )
