@@ -10,9 +10,13 @@ from pyspark.sql import SparkSession
 # The news feed writes instants without a zone, so the session zone is part of the semantics.
 REQUIRED = {"spark.sql.session.timeZone": "UTC"}
 
-# The wide parsers generate large methods. The JVM never compiles one above 8000 bytes of bytecode;
-# with this limit Spark splits such a stage into smaller ones instead, which is several times faster.
-TUNING = {"spark.sql.codegen.hugeMethodLimit": "8000"}
+TUNING = {
+    # The wide parsers generate large methods. The JVM never compiles one above 8000 bytes of
+    # bytecode; with this limit Spark splits such a stage instead, which is several times faster.
+    "spark.sql.codegen.hugeMethodLimit": "8000",
+    # Split a hot join key also where that costs the shuffle of a later aggregate.
+    "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+}
 
 DEFAULTS = {
     "spark.sql.adaptive.enabled": "true",
