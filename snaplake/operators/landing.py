@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import ArrayType, StructType
 
 from snaplake.functions.nested import drop_members, head, keep_members, nested_size, or_empty
 from snaplake.functions.scalars import either, instant
@@ -27,18 +27,23 @@ COMPETITOR_DROPS = ("leaders", "record", "curatedRank")
 VENUE_DROPS = ("images",)
 TEAM_REF_KEEPS = ("id", "abbreviation", "displayName")
 ATHLETE_REF_KEEPS = ("id", "displayName", "jersey")
+HEADER_KEEPS = ("id", "season", "week")
+COMPETITION_KEEPS = ("id", "date", "neutralSite", "status")
+SIDE_KEEPS = ("id", "homeAway", "winner", "score")
 TRAILING_DAYS = 3
 MAX_TARGETS = 50
 
 
-def _members(df: DataFrame, path: str) -> list[str]:
-    """Member names of the struct, or of the array's structs, at a path."""
+def _present(df: DataFrame, path: str, names: Sequence[str]) -> list[str]:
+    """Those names the struct, or the array's structs, at a path really have."""
     kind = df.schema
     for step in path.split("."):
+        if not isinstance(kind, StructType) or step not in kind.names:
+            return []
         kind = kind[step].dataType
-        while hasattr(kind, "elementType"):
+        while isinstance(kind, ArrayType):
             kind = kind.elementType
-    return kind.names if isinstance(kind, StructType) else []
+    return [n for n in names if isinstance(kind, StructType) and n in kind.names]
 
 
 def _replace(struct: Column, **members: Column) -> Column:
@@ -69,9 +74,10 @@ def land_rosters(responses: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
         items = F.transform(or_empty(g["items"]), lambda p: drop_members(p, ROSTER_PLAYER_DROPS))
         return F.struct(g["position"].alias("position"), items.alias("items"))
 
+    team = _present(responses, "team", TEAM_REF_KEEPS)
     return responses.select(
         "season",
-        keep_members(F.col("team"), TEAM_REF_KEEPS).alias("team"),
+        keep_members(F.col("team"), team).alias("team"),
         F.transform(or_empty("athletes"), group).alias("athletes"),
         *carry,
     )
@@ -126,14 +132,16 @@ def land_schedule(events: DataFrame) -> DataFrame:
 
 def land_summaries(responses: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """Header, venue, team and player box score of each game summary; needs a ``game_id`` column."""
-    head_names = [n for n in ("id", "season", "week") if n in _members(responses, "header")]
-    wanted = ("id", "date", "neutralSite", "status")
-    comp_names = [n for n in wanted if n in _members(responses, "header.competitions")]
-    wanted = ("id", "homeAway", "winner", "score")
-    side_names = [n for n in wanted if n in _members(responses, "header.competitions.competitors")]
+    head_names = _present(responses, "header", HEADER_KEEPS)
+    comp_names = _present(responses, "header.competitions", COMPETITION_KEEPS)
+    side_names = _present(responses, "header.competitions.competitors", SIDE_KEEPS)
+    side_team = _present(responses, "header.competitions.competitors.team", TEAM_REF_KEEPS)
+    box_team = _present(responses, "boxscore.teams.team", TEAM_REF_KEEPS)
+    player_team = _present(responses, "boxscore.players.team", TEAM_REF_KEEPS)
+    athlete_names = _present(responses, "boxscore.players.statistics.athletes.athlete", ATHLETE_REF_KEEPS)
 
     def competitor(c: Column) -> Column:
-        team = keep_members(c["team"], TEAM_REF_KEEPS)
+        team = keep_members(c["team"], side_team)
         return F.struct(*(c[n].alias(n) for n in side_names), team.alias("team"))
 
     def competition(c: Column) -> Column:
@@ -143,12 +151,12 @@ def land_summaries(responses: DataFrame, carry: Sequence[str] = ()) -> DataFrame
     def team(t: Column) -> Column:
         return F.struct(
             t["homeAway"].alias("homeAway"),
-            keep_members(t["team"], TEAM_REF_KEEPS).alias("team"),
+            keep_members(t["team"], box_team).alias("team"),
             or_empty(t["statistics"]).alias("statistics"),
         )
 
     def athlete(a: Column) -> Column:
-        who = keep_members(a["athlete"], ATHLETE_REF_KEEPS)
+        who = keep_members(a["athlete"], athlete_names)
         return F.struct(who.alias("athlete"), a["stats"].alias("stats"))
 
     def stat_group(g: Column) -> Column:
@@ -157,7 +165,7 @@ def land_summaries(responses: DataFrame, carry: Sequence[str] = ()) -> DataFrame
 
     def players(p: Column) -> Column:
         return F.struct(
-            keep_members(p["team"], TEAM_REF_KEEPS).alias("team"),
+            keep_members(p["team"], player_team).alias("team"),
             F.transform(or_empty(p["statistics"]), stat_group).alias("statistics"),
         )
 

@@ -16,9 +16,16 @@ from snaplake.sources.snapshots import stream_snapshots
 from snaplake.sources.target import SnapshotTable
 
 
-def upsert_batches(target: SnapshotTable, writer: str) -> Callable[[DataFrame, int], None]:
+def upsert_batches(target: SnapshotTable) -> Callable[[DataFrame, int], None]:
+    """A ``foreachBatch`` function. Batches count per streaming query, so a batch is known by both.
+
+    The query's id comes with its checkpoint: a checkpoint made anew, also at the same path, has a
+    new one, and its batch 0 is not taken for the old one's.
+    """
+
     def apply(batch: DataFrame, batch_id: int) -> None:
-        target.upsert(batch, writer=writer, batch_id=batch_id)
+        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        target.upsert(batch, writer=query, batch_id=batch_id)
 
     return apply
 
@@ -39,7 +46,7 @@ def ingest_available(
     records = stream_snapshots(spark, target.table, landing, files_per_batch, **options)
     query = (
         parse(target.table, records)
-        .writeStream.foreachBatch(upsert_batches(target, writer=checkpoint))
+        .writeStream.foreachBatch(upsert_batches(target))
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()

@@ -1,4 +1,5 @@
 import os
+import shutil
 import time
 
 from snaplake.plans.parsers import PARSERS
@@ -35,6 +36,19 @@ def test_files_once_newer_wins_and_replay(spark, land, tmp_path):
     assert target.read().count() == 3
 
 
+def test_a_checkpoint_made_anew_at_the_same_path_loses_no_batch(spark, land, tmp_path):
+    root = land(TEAMS, [team("1", "A")], name="a")
+    target = SnapshotTable(spark, str(tmp_path / "teams"), TEAMS, buckets=4)
+    ingest_available(spark, target, root, str(tmp_path / "check"))
+    shutil.rmtree(tmp_path / "check")
+    (tmp_path / "landing" / TEAMS.prefix / "2026-09-20" / "a.json").unlink()
+    land(TEAMS, [team("2", "B")], name="b")
+    ingest_available(spark, target, root, str(tmp_path / "check"))
+    assert sorted(r["team_id"] for r in target.read().collect()) == ["1", "2"]
+    writers = {r["writer"] for r in target.history().collect()}
+    assert len(writers) == 2 and None not in writers
+
+
 def test_stream_equals_batch_for_every_shape(spark, land, tmp_path):
     for name, payload in (("schedules", SCHEDULES), ("player_game_stats", SUMMARIES), ("injury_news", NEWS)):
         table = TABLES[name]
