@@ -15,6 +15,7 @@ ZONELESS_FORMAT = "yyyy-MM-dd HH:mm:ss"
 FIRST_NUMBER_PATTERN = r"-?\d+(?:\.\d+)?"
 FILLER_PATTERN = r"(?i)(the |is |was |is the |are the )"
 CLOSING_PATTERN = r"[.,!?]$"
+OUTER_PATTERN = r"^\s+|\s+$"
 EXCERPT_CHARS = 100
 
 
@@ -71,6 +72,11 @@ def trimmed(value: Column | str) -> Column:
     return F.trim(as_column(value))
 
 
+def stripped(value: Column | str) -> Column:
+    """Text without outer whitespace of any kind."""
+    return F.regexp_replace(as_column(value), OUTER_PATTERN, "")
+
+
 def lowered(value: Column | str) -> Column:
     return F.lower(as_column(value))
 
@@ -115,10 +121,8 @@ def first_number(value: Column | str) -> Column:
 
 def bare_answer(value: Column | str) -> Column:
     """Answer text without filler words, closing punctuation and outer blanks."""
-    outer = r"^\s+|\s+$"
-    text = F.regexp_replace(as_column(value), outer, "")
-    text = F.regexp_replace(F.regexp_replace(text, FILLER_PATTERN, ""), CLOSING_PATTERN, "")
-    return F.regexp_replace(text, outer, "")
+    text = F.regexp_replace(stripped(value), FILLER_PATTERN, "")
+    return stripped(F.regexp_replace(text, CLOSING_PATTERN, ""))
 
 
 def without_markdown(value: Column | str) -> Column:

@@ -8,7 +8,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snaplake.functions.scalars import as_column, first_number, without_markdown
+from snaplake.functions.scalars import as_column, first_number, stripped, without_markdown
 
 # What counts as a refusal, and how far a number may be off.
 REFUSAL_PHRASES = (
@@ -38,8 +38,8 @@ def numeric_grade(answer: Column | str, expected: Column | str) -> Column:
 def string_grade(answer: Column | str, expected: Column | str) -> Column:
     """The expected text occurs in the answer, whatever the case and the markdown."""
     answer, wanted = as_column(answer), as_column(expected)
-    occurs = without_markdown(answer).contains(F.lower(F.trim(wanted)))
-    nothing = answer.isNull() | (F.trim(answer) == "")
+    occurs = without_markdown(answer).contains(F.lower(stripped(wanted)))
+    nothing = answer.isNull() | (stripped(answer) == "")
     return F.when(wanted.isNull(), nothing).otherwise(F.coalesce(occurs, F.lit(False)))
 
 

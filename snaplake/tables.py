@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from snaplake.functions.nested import (
     aligned_value,
+    athlete_starts,
     entries_by_athlete,
     entry_where,
     group_entries,
@@ -518,7 +519,8 @@ PLAYER_GAME_STATS = Table(
     steps=(
         each("t", "boxscore.players"),
         let(entries=(group_entries, "t.statistics")),
-        each("player", entries_by_athlete, "entries"),
+        let(starts=(athlete_starts, "entries")),
+        each("player", entries_by_athlete, "entries", "starts"),
         let(athlete=(_first_athlete,), groups=(members, "player.own", "group")),
         *_player_picks(_PLAYER_BOX_FIELDS),
     ),

@@ -273,7 +273,8 @@ def group_entries_pivot(spark, sf_dir):
     """Groups by athlete, without a shuffle: each athlete's own entries, then values by key."""
     teams = N.unnest(landing.player_box_records(spark, sf_dir), "boxscore.players", "t")
     entries = teams.select("game_id", N.group_entries("t.statistics").alias("entries"))
-    players = N.unnest(entries.select("game_id", N.entries_by_athlete("entries").alias("p")), "p", "player")
+    marked = entries.select("game_id", "entries", N.athlete_starts("entries").alias("starts"))
+    players = N.unnest(marked, N.entries_by_athlete("entries", "starts"), "player")
     receiving = N.entry_where("player.own", "group", "receiving")
     fumbles = N.entry_where("player.own", "group", "fumbles")
     return players.select(
