@@ -7,6 +7,8 @@ import uuid
 
 from pyspark.sql import SparkSession
 
+from snaplake.sources.files import Folder
+
 # The news feed writes instants without a zone, so the session zone is part of the semantics.
 REQUIRED = {"spark.sql.session.timeZone": "UTC"}
 
@@ -43,15 +45,30 @@ def prepare(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def work_dir(spark: SparkSession, label: str) -> str:
-    """A fresh path every executor can reach.
+_LOCAL_BASE: dict[str, str] = {}
+
+
+def _work_root(spark: SparkSession) -> str:
+    """This application's folder for intermediate data, on storage every executor can reach.
 
     The cluster names the shared folder in ``spark.checkpoint.dir``. Without it only local mode
     may go on, on a folder of its own machine; anywhere else that would lose data, so it raises.
     """
+    app = spark.sparkContext.applicationId
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.conf.get("spark.master", "").startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="snaplake-")
-    return f"{base.rstrip('/')}/snaplake/{label}-{uuid.uuid4().hex}"
+        base = _LOCAL_BASE.setdefault(app, "") or tempfile.mkdtemp(prefix="snaplake-")
+        _LOCAL_BASE[app] = base
+    return f"{base.rstrip('/')}/snaplake/{app}"
+
+
+def work_dir(spark: SparkSession, label: str) -> str:
+    """A fresh path for intermediate data."""
+    return f"{_work_root(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def remove_work(spark: SparkSession) -> None:
+    """Delete this application's intermediate data; whatever was read from it is gone, too."""
+    Folder(spark, _work_root(spark)).delete()

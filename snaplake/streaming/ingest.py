@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from snaplake.plans.parsers import parse
-from snaplake.sources.snapshots import stream_snapshots
-from snaplake.sources.target import SnapshotTable
+from snaplake.sources.snapshots import read_snapshots, stream_snapshots
+from snaplake.sources.target import Commit, SnapshotTable
 
 
 def upsert_batches(target: SnapshotTable) -> Callable[[DataFrame, int], None]:
@@ -30,6 +30,12 @@ def upsert_batches(target: SnapshotTable) -> Callable[[DataFrame, int], None]:
     return apply
 
 
+def ingest_batch(spark: SparkSession, target: SnapshotTable, landing: str, **options: str) -> Commit:
+    """Merge all landing files there are, without a checkpoint: a backfill or a repair."""
+    records = read_snapshots(spark, target.table, landing, **options)
+    return target.upsert(parse(target.table, records))
+
+
 def ingest_available(
     spark: SparkSession,
     target: SnapshotTable,

@@ -6,7 +6,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 
-from snaplake.session import build_session  # noqa: E402
+from snaplake.session import build_session, remove_work  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -15,7 +15,8 @@ def spark():
         "snaplake-tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "6g"}
     )
     session.sparkContext.setLogLevel("ERROR")
-    return session
+    yield session
+    remove_work(session)
 
 
 @pytest.fixture

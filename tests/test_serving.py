@@ -1,3 +1,4 @@
+import json
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -5,8 +6,10 @@ from pyspark.sql import functions as F
 
 from snaplake.plans import search as S
 from snaplake.plans.query import QueryRejected, guarded_sql, run_query
+from snaplake.plans.service import QueryService, load_catalog, to_json
 from snaplake.sources.catalog import Catalog, profile, reset_tables
 from snaplake.sources.target import SnapshotTable
+from snaplake.streaming.ingest import ingest_batch
 from snaplake.tables import TABLES
 from tests.test_merge import T1, T2, TEAM, batch  # noqa: F401
 
@@ -208,3 +211,24 @@ def test_search_by_team_name_and_team_join(news, spark):
     about = {r["id"]: (r["feed_team_id"], r["team_name"]) for r in S.news_with_team(news, teams).collect()}
     assert len(about) == 5 and about[3] == ("27", "Tampa Bay Buccaneers")
     assert S.title_mentions(news, "MAHOMES").count() == 1
+
+
+def test_service_over_an_ingested_lake(spark, land, tmp_path, paths):
+    table = TABLES["injury_news"]
+    now = datetime.now(timezone.utc)
+    items = [{"id": i, "created": (now - timedelta(days=d)).strftime("%Y-%m-%d %H:%M:%S"), "team_id": t, "title": f"{n} (knee)"}
+             for i, d, t, n in ((1, 0, "KC", "Mahomes"), (2, 3, "TB", "Evans"), (3, 40, "KC", "Old"))]
+    target = SnapshotTable(spark, str(tmp_path / "news"), table, buckets=4)
+    ingest_batch(spark, target, land(table, {"items": items}))
+    config = json.dumps({"tables": {"injury_news": target.path, "users": paths["users"]}})
+    service = QueryService(load_catalog(spark, config))
+    assert [t["table"] for t in service.list_tables()] == ["injury_news", "users"]
+    assert service.describe_table("injury_news")["version"] == 1
+    assert service.table_history("injury_news")[0]["rows_inserted"] == 3
+    assert service.query("SELECT count(*) AS n FROM injury_news")["rows"] == [[3]]
+    assert [r["title"] for r in service.search_news("KNEE")["results"]] == ["Mahomes (knee)", "Evans (knee)"]
+    assert service.search_news(team="kc", days=60)["count"] == 2
+    answer = json.loads(to_json([service.table_history("injury_news"), service.search_news(player="evans")]))
+    assert answer[1]["results"][0]["team_id"] == "TB"
+    with pytest.raises(ValueError, match="no tables"):
+        load_catalog(spark, "{}")

@@ -3,6 +3,7 @@ import re
 import pytest
 
 from snaplake.plans.parsers import PARSERS
+from snaplake.session import work_dir
 from snaplake.sources.catalog import table_ddl
 from snaplake.tables import RESETTABLE, TABLES
 
@@ -46,3 +47,32 @@ def test_ddl_makes_a_table_with_comments(spark, tmp_path):
     described = {r["col_name"]: r["comment"] for r in spark.sql("DESCRIBE nfl.schedules").collect()}
     assert described["game_ts_utc"] == "kickoff, UTC"
     spark.sql("DROP TABLE nfl.schedules")
+
+
+def test_intermediate_data_goes_to_the_shared_folder(spark, tmp_path):
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    first, second = work_dir(spark, "x"), work_dir(spark, "x")
+    assert first != second and spark.sparkContext.applicationId in first
+    if shared:
+        assert first.startswith(shared)
+
+
+def test_without_a_shared_folder_only_local_mode_goes_on():
+    class Fake:
+        class sparkContext:  # noqa: N801
+            applicationId = "app-1"
+
+        def __init__(self, **conf):
+            self._settings = conf
+            self.conf = self
+
+        def get(self, key, default=None):
+            return self._settings.get(key, default)
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        work_dir(Fake(**{"spark.master": "yarn"}), "x")
+    local = [work_dir(Fake(**{"spark.master": "local[2]"}), "x") for _ in range(2)]
+    assert local[0].rsplit("/", 1)[0] == local[1].rsplit("/", 1)[0]
+    assert work_dir(Fake(**{"spark.master": "yarn", "spark.checkpoint.dir": "hdfs://n/c/"}), "y").startswith(
+        "hdfs://n/c/snaplake/app-1/y-"
+    )
