@@ -187,12 +187,17 @@ def _pair(name: str, separator: str, first: str, second: str) -> tuple[Field, ..
     )
 
 
-def _stat_lists(entries: str):
-    """A list of {name, value, displayValue} as three parallel arrays."""
+def _stat_lists(entries: str, **others: tuple):
+    """A list of {name, value, displayValue} as three parallel arrays.
+
+    ``others`` are the small values of the same record that are still needed, so that the record
+    itself is not copied along.
+    """
     return let(
         names=(members, entries, "name"),
         shown=(members, entries, "displayValue"),
         exact=(members, entries, "value"),
+        **others,
     )
 
 
@@ -273,7 +278,7 @@ ROSTERS = Table(
     prefix="espn/rosters",
     raw=ROSTERS_RAW,
     note="One row per season, team and player ever listed; the current roster is the team's newest snapshot",
-    steps=(each("grp", "athletes"), each("p", "grp.items")),
+    steps=(each("grp", "athletes"), let(group_name=("grp.position",)), each("p", "grp.items")),
     fields=(
         key("season", COUNT, "season.year"),
         col("season_type", COUNT, "season.type"),
@@ -281,7 +286,7 @@ ROSTERS = Table(
         col("team_abbreviation", TEXT, "team.abbreviation"),
         key("player_id", TEXT, "p.id"),
         col("full_name", TEXT, "p.fullName"),
-        col("roster_group", TEXT, "grp.position", note="offense, defense, specialTeam and so on"),
+        col("roster_group", TEXT, "group_name", note="offense, defense, specialTeam and so on"),
         col("position", TEXT, "p.position.abbreviation"),
         col("position_name", TEXT, "p.position.name"),
         col("jersey", TEXT, "p.jersey"),
@@ -295,12 +300,12 @@ ROSTERS = Table(
 )
 
 _STANDING_FIELDS = (
-    key("season", COUNT, "conf.standings.season"),
-    key("season_type", COUNT, "conf.standings.seasonType"),
-    col("conference", TEXT, "conf.abbreviation"),
-    key("team_id", TEXT, "e.team.id"),
-    col("team_abbreviation", TEXT, "e.team.abbreviation"),
-    col("team_name", TEXT, "e.team.displayName"),
+    key("season", COUNT, "conf_season"),
+    key("season_type", COUNT, "conf_season_type"),
+    col("conference", TEXT, "conf_name"),
+    key("team_id", TEXT, "team.id"),
+    col("team_abbreviation", TEXT, "team.abbreviation"),
+    col("team_name", TEXT, "team.displayName"),
     *_counts("exact", wins="wins", losses="losses", ties="ties"),
     col("win_percent", RATE, _rate, "winPercent"),
     *_counts(
@@ -332,8 +337,13 @@ STANDINGS = Table(
     note="One row per team and season type",
     steps=(
         each("conf", "children"),
+        let(
+            conf_name=("conf.abbreviation",),
+            conf_season=("conf.standings.season",),
+            conf_season_type=("conf.standings.seasonType",),
+        ),
         each("e", "conf.standings.entries"),
-        _stat_lists("e.stats"),
+        _stat_lists("e.stats", team=("e.team",)),
         _picks(_STANDING_FIELDS),
     ),
     fields=_STANDING_FIELDS,
@@ -398,9 +408,9 @@ GAMES = Table(
 
 _TEAM_BOX_FIELDS = (
     key("game_id", TEXT),
-    key("team_id", TEXT, "t.team.id"),
-    col("team_abbreviation", TEXT, "t.team.abbreviation"),
-    col("home_away", TEXT, "t.homeAway"),
+    key("team_id", TEXT, "team.id"),
+    col("team_abbreviation", TEXT, "team.abbreviation"),
+    col("home_away", TEXT, "side"),
     *_counts(
         first_downs="firstDowns",
         first_downs_passing="firstDownsPassing",
@@ -433,7 +443,11 @@ GAME_TEAM_STATS = Table(
     prefix="espn/game_summaries",
     raw=SUMMARIES_RAW,
     note="Box score of one team in one game",
-    steps=(each("t", "boxscore.teams"), _stat_lists("t.statistics"), _picks(_TEAM_BOX_FIELDS)),
+    steps=(
+        each("t", "boxscore.teams"),
+        _stat_lists("t.statistics", team=("t.team",), side=("t.homeAway",)),
+        _picks(_TEAM_BOX_FIELDS),
+    ),
     fields=_TEAM_BOX_FIELDS,
 )
 
@@ -442,8 +456,8 @@ _PLAYER_BOX_FIELDS = (
     key("player_id", TEXT, "player.id"),
     col("player_name", TEXT, "athlete.displayName"),
     col("jersey", TEXT, "athlete.jersey"),
-    col("team_id", TEXT, "t.team.id"),
-    col("team_abbreviation", TEXT, "t.team.abbreviation"),
+    col("team_id", TEXT, "team.id"),
+    col("team_abbreviation", TEXT, "team.abbreviation"),
     col("season", COUNT, "header.season.year"),
     col("season_type", COUNT, "header.season.type", note="1 preseason, 2 regular season, 3 playoffs"),
     col("week", COUNT, "header.week"),
@@ -518,7 +532,7 @@ PLAYER_GAME_STATS = Table(
     note="Box score of one player in one game; what was not recorded is NULL, not 0",
     steps=(
         each("t", "boxscore.players"),
-        let(entries=(group_entries, "t.statistics")),
+        let(entries=(group_entries, "t.statistics"), team=("t.team",)),
         let(starts=(athlete_starts, "entries")),
         each("player", entries_by_athlete, "entries", "starts"),
         let(athlete=(_first_athlete,), groups=(members, "player.own", "group")),
