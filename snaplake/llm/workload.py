@@ -6,7 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snaplake.llm import bpe, decontaminate, lm, packing
+from snaplake.llm import bpe, decontaminate, lm, packing, repeats, simhash
+from snaplake.llm.store import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -14,7 +15,7 @@ ORACLES: dict[str, str] = {}
 
 def query(name: str, oracle: str | None = None):
     def register(build):
-        QUERIES[name] = build
+        QUERIES[name] = lambda spark, sf_dir: build(importable(spark), sf_dir)
         if oracle:
             ORACLES[name] = oracle
         return build
@@ -67,6 +68,16 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_held_out(table(spark, sf_dir, "documents"))
 
 
+@query("op4_simhash_dedup")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query("op5_repeated_strings")
+def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.report(table(spark, sf_dir, "documents"))
+
+
 @query("op7_pack_sequences")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
