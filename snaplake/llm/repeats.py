@@ -265,8 +265,8 @@ def report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
 
 def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
     """All documents and columns, without the repeated strings; characters that a cut splits go as a whole."""
-    place = docs.columns.index(text_column)
-    width = len(docs.columns)
+    names = docs.columns
+    place, width = names.index(text_column), len(names)
 
     def cut(part: Texts, gone: np.ndarray) -> Iterator[str]:
         for a, b in zip(part.starts, part.ends, strict=True):
@@ -279,7 +279,7 @@ def remove_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
             new = pa.array([t for part in blocks(old) for t in cut(part, _covered(part, first, last, at, length))], pa.string())
             columns = list(batch.columns[:width])
             columns[place] = pc.if_else(old.is_null(), old, new)
-            yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     keyed = _keyed(docs, id_column, text_column)
     named = docs.withColumn("_key", F.xxhash64(id_column, text_column))

@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from snaplake.llm import bpe, decontaminate, lm, packing, quality, repeats, simhash, syncmers
+from snaplake.llm import bpe, decontaminate, licenses, lm, packing, quality, repeats, simhash, syncmers, wrappers
 from snaplake.llm.store import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,9 +40,9 @@ _WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 DECONTAMINATE_SQL = f"""
 WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents),
 item AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
-at AS (SELECT item_id, w, least(len(w), 13) AS m, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i
+starts AS (SELECT item_id, w, least(len(w), 13) AS m, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i
        FROM item WHERE len(w) > 0),
-win AS (SELECT DISTINCT item_id, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS words FROM at),
+win AS (SELECT DISTINCT item_id, m, array_to_string(list_slice(w, i, i + m - 1), ' ') AS words FROM starts),
 place AS (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i
           FROM d, (SELECT DISTINCT m FROM win) WHERE len(w) >= m),
 hit AS (SELECT DISTINCT doc_id, i, m, item_id FROM (
@@ -68,6 +69,47 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_held_out(table(spark, sf_dir, "documents"))
 
 
+_TEMPLATE_ROWS = ", ".join(f"('{name}', '{notice}')" for name, notice in licenses.TEMPLATES)
+_HAS_MARKER = rf"(^|[^a-z0-9])({'|'.join(licenses.MARKERS)})([^a-z0-9]|$)"
+
+LICENSES_SQL = f"""
+WITH f AS (SELECT doc_id, concat(source, '/', array_to_string(string_split(doc_id::VARCHAR, ''), '/')) AS path, text FROM documents),
+l AS (SELECT doc_id, path, unnest(string_split(text, chr(10))) AS content, unnest(range(len(string_split(text, chr(10))))) AS line FROM f),
+n AS (SELECT * FROM l WHERE regexp_matches(lower(content), '{_HAS_MARKER}')),
+t AS (SELECT doc_id, path, line, unnest(regexp_extract_all(lower(content), '[a-z0-9]+')) AS term FROM n),
+total AS (SELECT count(*) AS n FROM n),
+idf AS (SELECT term, ln((1 + (SELECT n FROM total)) / (1 + count(DISTINCT (doc_id, line)))) + 1 AS idf FROM t GROUP BY term),
+p AS (SELECT license, unnest(regexp_extract_all(lower(notice), '[a-z0-9]+')) AS term
+      FROM (VALUES {_TEMPLATE_ROWS}) v(license, notice)),
+pw AS (SELECT license, term, count(*) * any_value(coalesce(idf, ln(1 + (SELECT n FROM total)) + 1)) AS pw
+       FROM p LEFT JOIN idf USING (term) GROUP BY ALL),
+lw AS (SELECT doc_id, path, line, term, count(*) * any_value(idf) AS w FROM t JOIN idf USING (term) GROUP BY ALL),
+cosine AS (SELECT doc_id, path, license, round(dot / (norm * pnorm), 6) AS similarity
+           FROM (SELECT doc_id, path, line, license, sum(w * pw) AS dot FROM lw JOIN pw USING (term) GROUP BY ALL)
+           JOIN (SELECT doc_id, line, sqrt(sum(w * w)) AS norm FROM lw GROUP BY ALL) USING (doc_id, line)
+           JOIN (SELECT license, sqrt(sum(pw * pw)) AS pnorm FROM pw GROUP BY ALL) USING (license)),
+own AS (SELECT doc_id, path, license, similarity FROM cosine WHERE similarity >= {licenses.THRESHOLD}
+        QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY similarity DESC, license) = 1),
+dirs AS (SELECT regexp_extract(path, '^(.*)/[^/]*$', 1) AS above, license AS given FROM own
+         QUALIFY row_number() OVER (PARTITION BY above ORDER BY similarity DESC, license, path, doc_id) = 1),
+up AS (SELECT doc_id, path, n AS depth, array_to_string(list_slice(string_split(path, '/'), 1, n), '/') AS above
+       FROM (SELECT doc_id, path, unnest(range(1, len(string_split(path, '/')))) AS n FROM f)),
+near AS (SELECT doc_id, above, given FROM up JOIN dirs USING (above)
+         QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY depth DESC) = 1)
+SELECT f.doc_id, f.path, own.license AS own_license, own.similarity, coalesce(own.license, near.given) AS license,
+       CASE WHEN own.license IS NULL THEN near.above END AS inherited_from
+FROM f LEFT JOIN own USING (doc_id) LEFT JOIN near USING (doc_id)
+"""
+
+
+@query("op3_license_scan", LICENSES_SQL)
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A document's path: its source, then the digits of its id, each a directory but the last."""
+    digits = F.array_join(F.split(F.col("doc_id").cast("string"), ""), "/")
+    docs = table(spark, sf_dir, "documents")
+    return licenses.scan(docs.withColumn("path", F.concat("source", F.lit("/"), digits)))
+
+
 @query("op4_simhash_dedup")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
@@ -78,6 +120,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeats.report(table(spark, sf_dir, "documents"))
 
 
+@query("op6_main_text")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages"))
+
+
 @query("op7_pack_sequences")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
