@@ -13,9 +13,8 @@ from pyspark.sql import functions as F
 
 from snaplake.spec import Table
 
-# Up to this n Spark cuts each group to n rows before the shuffle by itself
-# (spark.sql.optimizer.windowGroupLimitThreshold).
-GROUP_LIMIT = 1000
+# Up to the n in this setting Spark cuts each group to n rows before the shuffle by itself.
+GROUP_LIMIT_SETTING = "spark.sql.optimizer.windowGroupLimitThreshold"
 SALTS = 64
 
 
@@ -59,7 +58,7 @@ def top_n_per_group(
     """
     if n < 1:
         raise ValueError("n must be at least 1")
-    if n > GROUP_LIMIT:
+    if n > int(df.sparkSession.conf.get(GROUP_LIMIT_SETTING)):
         salt = F.pmod(F.xxhash64(*(F.col(f"`{c}`") for c in df.columns)), F.lit(SALTS))
         salted = df.withColumn("_salt", salt)
         within = F.row_number().over(Window.partitionBy(*keys, "_salt").orderBy(*order))

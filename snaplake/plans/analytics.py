@@ -108,13 +108,12 @@ def team_total(
 def team_allowed(
     box: DataFrame, games: DataFrame, season: int, team_id: str, stat: str, season_type: int = REGULAR
 ) -> DataFrame:
-    """What a team's opponents totalled against it, game by game in one pass."""
+    """What a team's opponents totalled against it, game by game in one pass over the season's games."""
     played = F.col("team_id") == team_id
-    per_game = box.groupBy("game_id").agg(
+    per_game = _with_season(box, games, season, season_type).groupBy("game_id").agg(
         F.some(played).alias("played"), F.sum(F.when(~played, F.col(stat))).alias("against")
     )
-    theirs = _with_season(per_game.filter("played"), games, season, season_type)
-    return theirs.agg(F.sum("against").alias("total"))
+    return per_game.filter("played").agg(F.sum("against").alias("total"))
 
 
 def news_mentions(news: DataFrame, name: str, days: int = 30, now: Column | None = None) -> DataFrame:

@@ -94,21 +94,25 @@ class Catalog:
 
 
 def profile(df: DataFrame) -> DataFrame:
-    """One row per column: counts, distinct estimate, extremes, moments and quartiles, in one scan."""
+    """One row per column: counts, distinct estimate, extremes, moments and quartiles, in one scan.
+
+    Maps have no order: their row has counts only.
+    """
 
     def summary(name: str, kind: DataType) -> Column:
         c = F.col(f"`{name}`")
-        numeric = isinstance(kind, NumericType)
+        numeric, ordered = isinstance(kind, NumericType), not isinstance(kind, MapType)
         number = c.cast("double") if numeric else F.lit(None).cast("double")
+        nothing = F.lit(None)
         quartiles = F.approx_percentile(number, [0.25, 0.5, 0.75])
         return F.struct(
             F.lit(name).alias("column_name"),
             F.lit(kind.simpleString()).alias("column_type"),
             F.count(F.lit(1)).alias("row_count"),
             F.count_if(c.isNull()).alias("null_count"),
-            F.approx_count_distinct(c).alias("approx_unique"),
-            F.min(c).cast(StringType()).alias("min"),
-            F.max(c).cast(StringType()).alias("max"),
+            (F.approx_count_distinct(c) if ordered else nothing.cast("bigint")).alias("approx_unique"),
+            (F.min(c) if ordered else nothing).cast(StringType()).alias("min"),
+            (F.max(c) if ordered else nothing).cast(StringType()).alias("max"),
             F.avg(number).alias("avg"),
             F.stddev_samp(number).alias("std"),
             F.get(quartiles, F.lit(0)).alias("q25"),
@@ -116,8 +120,7 @@ def profile(df: DataFrame) -> DataFrame:
             F.get(quartiles, F.lit(2)).alias("q75"),
         )
 
-    fields = [f for f in df.schema if not isinstance(f.dataType, MapType)]
-    one_row = df.agg(F.array(*(summary(f.name, f.dataType) for f in fields)).alias("columns"))
+    one_row = df.agg(F.array(*(summary(f.name, f.dataType) for f in df.schema)).alias("columns"))
     return one_row.select(F.inline("columns"))
 
 

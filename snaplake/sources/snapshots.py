@@ -43,7 +43,8 @@ def write_landing(
 ) -> None:
     """Append records as JSON, in day folders of the instant column ``moment`` if one is named."""
     if moment:
-        df = df.withColumn("landing_date", landing_day(moment))
+        # Rows of a day meet in few tasks, a large day in several: files follow bytes, not tasks x days.
+        df = df.withColumn("landing_date", landing_day(moment)).hint("rebalance", F.col("landing_date"))
     writer = df.write.mode("append")
     if moment:
         writer = writer.partitionBy("landing_date")

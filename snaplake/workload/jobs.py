@@ -89,8 +89,8 @@ def first_wins_union(spark, sf_dir):
         ident.alias("id"), F.year("o_orderdate").cast("bigint").alias("first_season"),
         F.concat(F.lit("order "), "o_orderkey").alias("name"), "o_orderkey",
     )
-    early = listed.filter(F.col("first_season") < 1998)
-    late = listed.filter(F.col("first_season") >= 1998)
+    is_early = F.coalesce(F.col("first_season") < 1998, F.lit(False))
+    early, late = listed.filter(is_early), listed.filter(~is_early)
     everyone = late.unionByName(early)
     first = first_rows(everyone, ["id"], "first_season", "o_orderkey")
     return first.select("id", "first_season", "name")

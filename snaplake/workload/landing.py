@@ -19,15 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Rows over all cores where the files have fewer splits than that, as small tables do.
-
-    Large tables have more splits than cores and are left alone, so nothing is shuffled for them.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def _stat(name: str, value: str, display: str) -> str:
     return f"named_struct('name', '{name}', 'value', {value}, 'displayValue', {display})"
 
@@ -62,7 +53,7 @@ def team_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         'isActive', s_acctbal >= 0,
         'logos', array(named_struct('href', concat('http://x/', s_suppkey))),
         'links', array('a', 'b'))"""
-    return spread(table(spark, sf_dir, "supplier")).selectExpr(
+    return table(spark, sf_dir, "supplier").selectExpr(
         f"array(named_struct('leagues', array(named_struct('teams', array("
         f"named_struct('team', {team})))))) AS sports",
         "concat('supplier/', s_suppkey) AS _source_file",
@@ -92,7 +83,7 @@ def player_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         'experience', named_struct('years', int(c_custkey % 20)),
         'hand', named_struct('type', IF(c_custkey % 3 = 0, 'LEFT', 'RIGHT')),
         'active', c_acctbal > 0, 'links', array('a'))"""
-    return spread(table(spark, sf_dir, "customer")).selectExpr(
+    return table(spark, sf_dir, "customer").selectExpr(
         f"array({athlete}) AS items",
         "concat('customer/', c_custkey) AS _source_file",
         "TIMESTAMP'2024-01-01 00:00:00' AS _snapshot_at",
@@ -120,7 +111,7 @@ def roster_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         group("defense", "sequence(1, 2)", "-d"),
         group("suspended", "filter(sequence(1, 1), x -> x > 1)", "-s"),
     )
-    return spread(table(spark, sf_dir, "supplier")).selectExpr(
+    return table(spark, sf_dir, "supplier").selectExpr(
         "named_struct('year', int(2015 + s_nationkey % 10), 'type', int(2)) AS season",
         f"named_struct('id', string(s_suppkey), 'abbreviation', concat('T', s_suppkey),"
         f" 'displayName', s_name, 'links', array('z')) AS team",
@@ -168,7 +159,7 @@ def standings_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     ids = "sequence(1, int(1 + c_custkey % 3))"
-    return spread(table(spark, sf_dir, "customer")).selectExpr(
+    return table(spark, sf_dir, "customer").selectExpr(
         "named_struct('year', int(2015 + c_custkey % 10)) AS season",
         _array(
             child("AFC", f"IF(c_nationkey % 2 = 0, {ids}, filter({ids}, x -> x < 0))"),
@@ -213,7 +204,7 @@ def schedule_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         'competitors', IF(o_orderkey % 2 = 0, array({home}, {away}), array({away}, {home})),
         'broadcasts', array('tv'), 'notes', array('n'), 'tickets', array('t'),
         'ticketsAvailable', true)"""
-    return spread(table(spark, sf_dir, "orders")).selectExpr(
+    return table(spark, sf_dir, "orders").selectExpr(
         "string(o_orderkey) AS id",
         f"concat({KICKOFF}, '12:00Z') AS date",
         "named_struct('year', int(year(o_orderdate) - IF(month(o_orderdate) <= 2, 1, 0))) AS season",
@@ -249,7 +240,7 @@ def game_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         'competitors', IF(o_orderkey % 2 = 0, array({home}, {away}), array({away}, {home})))"""
     season = """named_struct('year', int(year(o_orderdate) - IF(month(o_orderdate) <= 2, 1, 0)),
         'type', int(1 + o_custkey % 3))"""
-    return spread(table(spark, sf_dir, "orders")).selectExpr(
+    return table(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS game_id",
         f"named_struct('id', string(o_orderkey), 'season', {season},"
         f" 'week', int(month(o_orderdate)), 'competitions', array({competition})) AS header",
@@ -320,7 +311,7 @@ def team_box_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     teams = _array(side("away", BOX_AWAY, 0), side("home", BOX_HOME, 1))
-    return spread(table(spark, sf_dir, "lineitem")).selectExpr(
+    return table(spark, sf_dir, "lineitem").selectExpr(
         "string(l_orderkey) AS game_id",
         f"named_struct('teams', {teams}) AS boxscore",
         f"{LINE_FILE} AS _source_file",
@@ -328,6 +319,48 @@ def team_box_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# The names the feed gives to the stats of each group.
+STAT_KEYS = {
+    "passing": (
+        "completions/passingAttempts", "passingYards", "yardsPerPassAttempt", "passingTouchdowns",
+        "interceptions", "sacks-sackYardsLost", "adjQBR", "QBRating",
+    ),
+    "rushing": (
+        "rushingAttempts", "rushingYards", "yardsPerRushAttempt", "rushingTouchdowns",
+        "longRushing",
+    ),
+    "fumbles": (
+        "fumbles", "fumblesLost", "fumblesRecovered",
+    ),
+    "receiving": (
+        "receptions", "receivingYards", "yardsPerReception", "receivingTouchdowns", "longReception",
+        "receivingTargets",
+    ),
+    "defensive": (
+        "totalTackles", "soloTackles", "sacks", "tacklesForLoss", "passesDefended", "QBHits",
+        "defensiveTouchdowns",
+    ),
+    "interceptions": (
+        "interceptions", "interceptionYards", "interceptionTouchdowns",
+    ),
+    "kickReturns": (
+        "kickReturns", "kickReturnYards", "yardsPerKickReturn", "longKickReturn",
+        "kickReturnTouchdowns",
+    ),
+    "puntReturns": (
+        "puntReturns", "puntReturnYards", "yardsPerPuntReturn", "longPuntReturn",
+        "puntReturnTouchdowns",
+    ),
+    "kicking": (
+        "fieldGoalsMade/fieldGoalAttempts", "fieldGoalPct", "longFieldGoalMade",
+        "extraPointsMade/extraPointAttempts", "totalKickingPoints",
+    ),
+    "punting": (
+        "punts", "puntYards", "grossAvgPuntYards", "touchbacks", "puntsInside20", "longPunt",
+    ),
+}
+
+
 def player_box_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One game summary per line item with two teams and three players.
 
@@ -343,8 +376,8 @@ def player_box_records(spark: SparkSession, sf_dir: str) -> DataFrame:
             f" 'jersey', string({n})), 'stats', {texts})"
         )
 
-    def group(name: str, keys: str, *athletes: str) -> str:
-        names = _array(*(f"'{k}'" for k in keys.split()))
+    def group(name: str, *athletes: str) -> str:
+        names = _array(*(f"'{k}'" for k in STAT_KEYS[name]))
         return f"named_struct('name', '{name}', 'keys', {names}, 'athletes', {_array(*athletes)})"
 
     passer, receiver, kicker = (
@@ -353,51 +386,44 @@ def player_box_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     away = _array(
         group(
             "passing",
-            "completions/passingAttempts passingYards yardsPerPassAttempt passingTouchdowns"
-            " interceptions sacks-sackYardsLost adjQBR QBRating",
             athlete(passer, f"concat({q}, '/', {q} + 9)", f"{q} * 8", "'4.7'", f"{n} % 4", f"{n} % 3",
                     f"concat({n}, '-', {q})", "IF(l_returnflag = 'A', '--', string(l_quantity))", "l_tax"),
         ),
         group(
             "rushing",
-            "rushingAttempts rushingYards yardsPerRushAttempt rushingTouchdowns longRushing",
             athlete(passer, n, f"{q} - 10", "'3.0'", f"{n} % 2", q),
         ),
         # The array ends early: the last two keys have no value.
-        group("fumbles", "fumbles fumblesLost fumblesRecovered", athlete(passer, f"{n} % 2")),
+        group("fumbles", athlete(passer, f"{n} % 2")),
     )
     home = _array(
         group(
             "receiving",
-            "receptions receivingYards yardsPerReception receivingTouchdowns longReception receivingTargets",
             athlete(receiver, n, f"{q} * 4", "'9.9'", f"{n} % 3", q, f"{n} + 4"),
             athlete(kicker, "1", f"{q}", "'2.0'", "0", q, "2"),
         ),
         group(
             "defensive",
-            "totalTackles soloTackles sacks tacklesForLoss passesDefended QBHits defensiveTouchdowns",
             athlete(receiver, f"{n} + 3", n, f"concat({n} % 3, '.5')", "l_discount", f"{n} % 2", "''", "0"),
         ),
-        group("interceptions", "interceptions interceptionYards interceptionTouchdowns",
+        group("interceptions",
               athlete(receiver, f"{n} % 2", q, "0")),
-        group("kickReturns", "kickReturns kickReturnYards yardsPerKickReturn longKickReturn kickReturnTouchdowns",
+        group("kickReturns",
               athlete(kicker, n, f"{q} + 5", "'20.0'", q, f"{n} % 2")),
-        group("puntReturns", "puntReturns puntReturnYards yardsPerPuntReturn longPuntReturn puntReturnTouchdowns",
+        group("puntReturns",
               athlete(kicker, "2", "'-'", "'3.5'", "7", "0")),
         group(
             "kicking",
-            "fieldGoalsMade/fieldGoalAttempts fieldGoalPct longFieldGoalMade"
-            " extraPointsMade/extraPointAttempts totalKickingPoints",
             athlete(kicker, f"concat({n} % 3, '/', {n})", "'100.0'", q, "'4/4'", f"{n} % 3 * 3 + 4"),
         ),
-        group("punting", "punts puntYards grossAvgPuntYards touchbacks puntsInside20 longPunt",
+        group("punting",
               athlete(kicker, f"{n} % 6", f"{q} * 9", "'44.1'", "0", f"{n} % 3", "50")),
     )
     players = _array(
         f"named_struct('team', {_team(BOX_AWAY)}, 'statistics', {away})",
         f"named_struct('team', {_team(BOX_HOME)}, 'statistics', {home})",
     )
-    return spread(table(spark, sf_dir, "lineitem")).selectExpr(
+    return table(spark, sf_dir, "lineitem").selectExpr(
         "string(l_orderkey) AS game_id",
         _line_header(),
         f"named_struct('players', {players}) AS boxscore",

@@ -308,7 +308,7 @@ def recursive_flatten(spark, sf_dir):
     responses = landing.table(spark, sf_dir, "supplier").selectExpr(
         "s_suppkey", f"array({conference}) AS children"
     )
-    flat = N.flatten_groups(responses, "children", depth=3)
+    flat = N.flatten_groups(responses, "children")
     return flat.select("s_suppkey", "group", "conference", F.col("entry.team.id").alias("team_id"))
 
 

@@ -76,7 +76,7 @@ def capped_query(spark, sf_dir):
     return spark.createDataFrame(rows, "o_orderkey BIGINT, o_custkey BIGINT, truncated BOOLEAN")
 
 
-_CATALOG_TABLES = ("customer", "documents", "events", "lineitem", "orders", "part")
+_CATALOG_TABLES = landing.TABLES
 
 
 @query("table_views", " UNION ALL ".join(
@@ -103,7 +103,7 @@ def table_views(spark, sf_dir):
 """)
 def table_refresh(spark, sf_dir):
     """A view follows the table to its next version when the next query comes."""
-    target = SnapshotTable(spark, work_dir(spark, "refresh"), USER_STATE, buckets=8)
+    target = SnapshotTable(spark, work_dir(spark, "refresh"), USER_STATE)
     first, second = _two_batches(_states(spark, sf_dir))
     target.upsert(first)
     catalog = Catalog(spark, {"user_state": target})
@@ -114,20 +114,53 @@ def table_refresh(spark, sf_dir):
     return before.unionByName(after)
 
 
-@query("table_profile", " UNION ALL ".join(
-    f"""SELECT '{name}' AS column_name, CAST(count(*) AS BIGINT) AS row_count,
+def _profile_sql(name: str, numeric: bool) -> str:
+    number = "{0}" if numeric else "CAST(NULL AS DOUBLE)"
+    text = "CAST(NULL AS VARCHAR)" if numeric else "CAST({0} AS VARCHAR)"
+    return f"""SELECT '{name}' AS column_name, CAST(count(*) AS BIGINT) AS row_count,
         CAST(count(*) - count({name}) AS BIGINT) AS null_count,
-        CAST(min({name}) AS VARCHAR) AS min, CAST(max({name}) AS VARCHAR) AS max,
-        {f'round(avg({name}), 6)' if numeric else 'CAST(NULL AS DOUBLE)'} AS avg FROM orders"""
-    for name, numeric in (
-        ("o_orderkey", True), ("o_custkey", True), ("o_orderstatus", False), ("o_orderdate", False),
-        ("o_orderpriority", False),
-    )
-))
+        {text.format(f'min({name})')} AS min, {text.format(f'max({name})')} AS max,
+        CAST({number.format(f'min({name})')} AS DOUBLE) AS least, CAST({number.format(f'max({name})')} AS DOUBLE) AS most,
+        {f'round(avg({name}), 4)' if numeric else number} AS avg,
+        {f'round(stddev_samp({name}), 4)' if numeric else number} AS std,
+        TRUE AS near_unique, TRUE AS near_quartiles FROM orders"""
+
+
+_ORDERS = (
+    ("o_orderkey", True), ("o_custkey", True), ("o_orderstatus", False), ("o_totalprice", True),
+    ("o_orderdate", False), ("o_orderpriority", False),
+)
+
+
+@query("table_profile", " UNION ALL ".join(_profile_sql(*c) for c in _ORDERS))
 def table_profile(spark, sf_dir):
-    orders = landing.table(spark, sf_dir, "orders").drop("o_totalprice")
+    """Every column of orders. Extremes of numbers are compared as numbers; the estimates are held
+    against exact figures: distinct values within a fifth, the ranks of the quartiles within 2 %."""
+    orders = landing.table(spark, sf_dir, "orders")
     summary = profile(orders)
-    return summary.select("column_name", "row_count", "null_count", "min", "max", F.round("avg", 6).alias("avg"))
+    numbers = [name for name, numeric in _ORDERS if numeric]
+    estimates = {r.column_name: r for r in summary.collect()}  # one row per column
+    exact = orders.agg(
+        *(F.count_distinct(name).alias(f"{name}_n") for name, _ in _ORDERS),
+        *(
+            F.avg((F.col(name) <= F.lit(estimates[name][q])).cast("double")).alias(f"{name}_{q}")
+            for name in numbers for q in ("q25", "q50", "q75")
+        ),
+    ).first()
+
+    def near(name: str) -> tuple[str, bool, bool]:
+        unique = abs(estimates[name].approx_unique - exact[f"{name}_n"]) <= 0.2 * exact[f"{name}_n"]
+        wanted = {"q25": 0.25, "q50": 0.5, "q75": 0.75} if name in numbers else {}
+        return name, unique, all(abs(exact[f"{name}_{q}"] - p) <= 0.02 for q, p in wanted.items())
+
+    judged = spark.createDataFrame([near(name) for name, _ in _ORDERS], "column_name STRING, near_unique BOOLEAN, near_quartiles BOOLEAN")
+    numeric = F.col("column_name").isin(numbers)
+    return summary.join(judged, "column_name").select(
+        "column_name", "row_count", "null_count",
+        F.when(~numeric, F.col("min")).alias("min"), F.when(~numeric, F.col("max")).alias("max"),
+        F.when(numeric, F.col("min").cast("double")).alias("least"), F.when(numeric, F.col("max").cast("double")).alias("most"),
+        F.round("avg", 4).alias("avg"), F.round("std", 4).alias("std"), "near_unique", "near_quartiles",
+    )
 
 
 @query("table_ddl", """

@@ -51,9 +51,14 @@ def _states(spark, sf_dir, snapshot="ts"):
     return parse(USER_STATE, events)
 
 
+def _halves(df, condition):
+    """The rows that meet a condition, and all others: a row for which it is NULL is one of those."""
+    met = F.coalesce(condition, F.lit(False))
+    return df.filter(met), df.filter(~met)
+
+
 def _two_batches(states):
-    first = F.col("event_type").isin(*FIRST_TYPES)
-    return states.filter(first), states.filter(~first)
+    return _halves(states, F.col("event_type").isin(*FIRST_TYPES))
 
 
 def _shown(states):
@@ -127,8 +132,8 @@ def merge_null_snapshots(spark, sf_dir):
     return _shown(merge_latest(dedupe_latest(first, USER_STATE), second, USER_STATE))
 
 
-def _target(spark, table=USER_STATE, buckets=8):
-    return SnapshotTable(spark, work_dir(spark, table.name), table, buckets)
+def _target(spark, table=USER_STATE):
+    return SnapshotTable(spark, work_dir(spark, table.name), table)
 
 
 @query("upsert_two_batches", _NEWEST)
@@ -146,8 +151,8 @@ def upsert_older_ignored(spark, sf_dir):
     """The later half first, then the earlier half, which may only add users."""
     target, states = _target(spark), _states(spark, sf_dir)
     late = F.col("_snapshot_at") >= F.lit("2024-01-16").cast("timestamp")
-    target.upsert(states.filter(late))
-    target.upsert(states.filter(~late))
+    for half in _halves(states, late):
+        target.upsert(half)
     return _shown(target.read())
 
 
@@ -202,9 +207,8 @@ def stream_upsert(spark, sf_dir):
     """Events landed as JSON in two runs and ingested by a stream each time; then a replay."""
     root = work_dir(spark, "stream")
     events = landing.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
-    first = F.col("event_type").isin(*FIRST_TYPES)
-    target = SnapshotTable(spark, f"{root}/table", EVENT_LOG, buckets=8)
-    for part in (events.filter(first), events.filter(~first)):
+    target = SnapshotTable(spark, f"{root}/table", EVENT_LOG)
+    for part in _two_batches(events):
         write_landing(part, f"{root}/landing/{EVENT_LOG.prefix}", records_per_file=1_000_000)
         ingest_available(spark, target, f"{root}/landing", f"{root}/checkpoint", multiLine="false")
     # A lost checkpoint means that all files come again.
@@ -219,17 +223,25 @@ def stream_games(spark, sf_dir):
     root = work_dir(spark, "stream-games")
     records = landed(spark, sf_dir, "games").drop("_source_file", "_snapshot_at")
     write_landing(records, f"{root}/landing/{games.prefix}", records_per_file=100_000)
-    target = SnapshotTable(spark, f"{root}/table", games, buckets=8)
+    target = SnapshotTable(spark, f"{root}/table", games)
     ingest_available(spark, target, f"{root}/landing", f"{root}/checkpoint", multiLine="false")
     return plain(target.read().select(*(f.name for f in games.fields)))
 
 
 _KEYS = (
+    ("region", ("r_regionkey",)),
+    ("nation", ("n_nationkey",)),
     ("customer", ("c_custkey",)),
-    ("documents", ("doc_id",)),
-    ("events", ("event_id",)),
-    ("lineitem", ("l_orderkey", "l_linenumber")),
+    ("supplier", ("s_suppkey",)),
+    ("part", ("p_partkey",)),
     ("orders", ("o_orderkey",)),
+    ("lineitem", ("l_orderkey", "l_linenumber")),
+    ("events", ("event_id",)),
+    ("documents", ("doc_id",)),
+    ("embeddings", ("vec_id",)),
+    ("pages", ("page_id",)),
+    ("benchmark", ("item_id",)),
+    ("labels", ("doc_id",)),
     ("conversations", ("conv_id", "turn")),
 )
 

@@ -10,7 +10,7 @@ from snaplake.operators import reports as R
 from snaplake.plans.parsers import PARSERS
 from snaplake.sources.snapshots import export_csv, read_snapshots, write_landing
 from snaplake.tables import TABLES
-from tests.payloads import DEN, KC, PLAYERS, ROSTERS, SCHEDULES, STANDINGS, SUMMARIES, TEAMS
+from tests.payloads import ELKS, HERONS, PLAYERS, ROSTERS, SCHEDULES, STANDINGS, SUMMARIES, TEAMS
 
 
 @pytest.fixture
@@ -92,7 +92,7 @@ def test_schedule(read):
 
 def test_summaries(read, spark, land):
     response = json.loads(json.dumps(SUMMARIES[0]))
-    response["game_id"] = 401872931
+    response["game_id"] = 9001
     response["gameInfo"]["venue"]["images"] = ["x"]
     response["leaders"] = [1]
     response["boxscore"]["teams"][0]["team"]["logo"] = "x"
@@ -114,7 +114,7 @@ NOW = datetime(2026, 10, 5, tzinfo=timezone.utc)
 
 def game(ident, date, completed):
     return {"id": ident, "competitions": [{"date": date, "status": {"type": {"completed": completed, "state": "x"}},
-                                           "competitors": [{"homeAway": "home", "team": KC}, {"homeAway": "away", "team": DEN}]}]}
+                                           "competitors": [{"homeAway": "home", "team": HERONS}, {"homeAway": "away", "team": ELKS}]}]}
 
 
 @pytest.fixture

@@ -36,103 +36,108 @@ def test_schema_keys_and_audit(parse, name):
 
 def test_teams(parse):
     rows = keyed(parse("teams"), "team_id")
-    assert rows["22"]["abbreviation"] == "ARI" and rows["22"]["color"] == "#a40227"
-    assert rows["22"]["alternate_color"] == "#ffffff" and rows["22"]["is_active"] is True
-    assert rows["1"]["color"] is None and rows["33"]["is_active"] is False
+    herons = rows["501"]
+    assert (herons["abbreviation"], herons["color"], herons["alternate_color"], herons["is_active"]) == ("HER", "#0b5f7c", "#fefefe", True)
+    assert rows["502"]["color"] is None and rows["503"]["is_active"] is False
 
 
 def test_players(parse):
     rows = keyed(parse("players"), "player_id")
-    kasay = rows["139"]
-    assert (kasay["height_in"], kasay["weight_lbs"], kasay["experience_years"]) == (70, 210, 22)
-    assert kasay["date_of_birth"] == date(1969, 10, 27) and kasay["hand"] == "right"
-    assert (kasay["birth_city"], kasay["birth_state"], kasay["birth_country"]) == ("Athens", "GA", None)
-    assert rows["286"]["birth_city"] is None and rows["286"]["date_of_birth"] is None
+    brook = rows["8001"]
+    assert (brook["height_in"], brook["weight_lbs"], brook["experience_years"], brook["hand"]) == (68, 171, 9, "left")
+    assert brook["date_of_birth"] == date(1995, 2, 3)
+    assert [brook[f"birth_{part}"] for part in ("city", "state", "country")] == ["Lowmere", "LM", None]
+    assert rows["8002"]["birth_city"] is None and rows["8002"]["date_of_birth"] is None
 
 
 def test_rosters(parse):
     rows = keyed(parse("rosters"), "player_id")
-    assert set(rows) == {"4912218", "2", "3"}
-    allen = rows["4912218"]
-    assert (allen["season"], allen["season_type"], allen["team_id"]) == (2026, 2, "12")
-    assert (allen["position"], allen["position_name"], allen["college"]) == ("WR", "Wide Receiver", "Cincinnati")
-    assert (allen["height_in"], allen["weight_lbs"], allen["age"], allen["experience_years"]) == (71, 180, 23, 0)
-    assert rows["3"]["roster_group"] == "practiceSquad" and rows["3"]["position"] is None
+    assert set(rows) == {"8003", "8004", "8005"}
+    dunn = rows["8003"]
+    assert (dunn["season"], dunn["season_type"], dunn["team_id"]) == (2031, 3, "502")
+    assert (dunn["position"], dunn["position_name"], dunn["college"]) == ("LB", "Linebacker", "Hillside")
+    assert (dunn["height_in"], dunn["weight_lbs"], dunn["age"], dunn["experience_years"]) == (74, 233, 27, 5)
+    assert rows["8005"]["roster_group"] == "injured" and rows["8005"]["position"] is None
 
 
 def test_standings(parse):
     rows = keyed(parse("standings"), "team_id")
-    kc = rows["12"]
-    assert (kc["wins"], kc["losses"], kc["ties"], kc["win_percent"]) == (3, 0, 0, 1.0)
-    assert (kc["points_for"], kc["points_against"], kc["point_differential"]) == (88, 50, 38)
-    assert (kc["games_behind"], kc["playoff_seed"], kc["streak"]) == (0.0, 1, "W3")
-    assert (kc["division_wins"], kc["division_losses"]) == (1, 0)
-    records = ("overall_record", "home_record", "road_record", "division_record", "conference_record")
-    assert [kc[r] for r in records] == ["3-0", "2-0", "1-0", "1-0", "3-0"]
-    assert rows["16"]["conference"] == "NFC" and rows["16"]["wins"] is None and rows["16"]["streak"] is None
+    herons = rows["501"]
+    numbers = {
+        "wins": 7, "losses": 5, "ties": 1, "win_percent": 0.577, "points_for": 241, "points_against": 259,
+        "point_differential": -18, "games_behind": 1.5, "playoff_seed": 4, "division_wins": 2, "division_losses": 3,
+    }
+    assert {name: herons[name] for name in numbers} == numbers and herons["streak"] == "L2"
+    records = {"overall": "7-5-1", "home": "4-2", "road": "3-3-1", "division": "2-3", "conference": "5-4"}
+    assert {name: herons[f"{name}_record"] for name in records} == records
+    assert rows["503"]["conference"] == "INL" and rows["503"]["wins"] is None and rows["503"]["streak"] is None
 
 
 def test_schedules(parse):
     rows = keyed(parse("schedules"), "game_id")
-    played, coming = rows["401872931"], rows["401872976"]
-    assert played["game_ts_utc"] == datetime(2026, 9, 15, 0, 15)
-    assert (played["home_team_abbreviation"], played["home_score"]) == ("KC", 31)
-    assert (played["away_team_abbreviation"], played["away_score"]) == ("DEN", 10)
-    assert coming["game_ts_utc"] == datetime(2026, 10, 4, 20, 25, 30)
+    played, coming = rows["9001"], rows["9002"]
+    assert played["game_ts_utc"] == datetime(2031, 11, 2, 18, 5)
+    assert [played[f"{side}_team_abbreviation"] for side in ("home", "away")] == ["HER", "ELK"]
+    assert [played[f"{side}_score"] for side in ("home", "away")] == [23, 26]
+    assert coming["game_ts_utc"] == datetime(2031, 12, 7, 21, 0, 45)
     assert coming["home_score"] is None and coming["away_score"] is None and coming["completed"] is False
 
 
 def test_games(parse):
     game = parse("games").first()
-    assert (game["home_team_id"], game["home_score"], game["away_team_id"], game["away_score"]) == ("12", 31, "7", 10)
-    assert (game["venue"], game["venue_city"], game["attendance"]) == ("Arrowhead Stadium", "Kansas City", 73543)
+    assert [game[c] for c in ("home_team_id", "home_score", "away_team_id", "away_score")] == ["501", 23, "502", 26]
+    assert [game[c] for c in ("venue", "venue_city", "attendance")] == ["Pier Field", "Lowmere", 41250]
 
 
 def test_game_team_stats(parse):
     rows = keyed(parse("game_team_stats"), "team_id")
-    den, kc = rows["7"], rows["12"]
-    assert (den["home_away"], kc["home_away"]) == ("away", "home")
-    assert (den["third_down_conversions"], den["third_down_attempts"]) == (2, 12)
-    assert (kc["third_down_conversions"], kc["third_down_attempts"]) == (9, 17)
-    assert (den["pass_completions"], den["pass_attempts"], den["total_yards"]) == (17, 28, 176)
-    assert (den["sacks"], den["sack_yards_lost"], den["penalties"], den["penalty_yards"]) == (4, 16, 7, 52)
-    assert den["yards_per_play"] == 3.7446808511 and den["interceptions_thrown"] == 1 and den["turnovers"] == 2
-    assert den["possession_seconds"] + kc["possession_seconds"] == 3600
-    assert kc["first_downs_penalty"] is None
-    assert (kc["red_zone_scores"], kc["red_zone_attempts"]) == (3, None)
+    elks, herons = rows["502"], rows["501"]
+    assert (elks["home_away"], herons["home_away"]) == ("away", "home")
+    want = {
+        "third_down_conversions": 6, "third_down_attempts": 15, "pass_completions": 22, "pass_attempts": 36, "total_yards": 355,
+        "sacks": 3, "sack_yards_lost": 19, "penalties": 5, "penalty_yards": 38, "yards_per_play": 5.6349206349,
+        "interceptions_thrown": 2, "turnovers": 3, "possession_seconds": 1930,
+    }
+    assert {name: elks[name] for name in want} == want
+    assert (herons["third_down_conversions"], herons["third_down_attempts"], herons["possession_seconds"]) == (7, 14, 1670)
+    assert herons["first_downs_penalty"] is None
+    assert (herons["red_zone_scores"], herons["red_zone_attempts"]) == (2, None)
 
 
 def test_player_game_stats(parse):
     rows = keyed(parse("player_game_stats"), "player_id")
-    nix = rows["4426338"]
-    assert (nix["player_name"], nix["jersey"], nix["team_abbreviation"]) == ("Bo Nix", "10", "DEN")
-    assert (nix["pass_completions"], nix["pass_attempts"], nix["passing_yards"], nix["passing_tds"]) == (17, 28, 131, 1)
-    assert (nix["sacks_taken"], nix["sack_yards_lost"], nix["qbr"], nix["passer_rating"]) == (4, 16, 11.4, 69.2)
-    assert (nix["fumbles"], nix["fumbles_lost"], nix["fumbles_recovered"]) == (3, 1, 1)
-    assert nix["interceptions_thrown"] == 1 and nix["def_interceptions"] is None and nix["rushing_yards"] is None
-    jones = rows["4039059"]
-    assert jones["def_interceptions"] == 1 and jones["interceptions_thrown"] is None
-    johnson = rows["4832955"]
-    assert (johnson["rushing_attempts"], johnson["rushing_yards"], johnson["rushing_long"]) == (8, 24, 6)
-    assert (johnson["receptions"], johnson["targets"], johnson["receiving_long"]) == (2, 2, 25)
-    assert rows["4567048"]["rushing_yards"] == 173 and rows["77"]["def_sacks"] == 0.5
-    butker = rows["3055899"]
-    assert (butker["field_goals_made"], butker["field_goal_attempts"], butker["field_goal_long"]) == (1, 1, 28)
-    assert (butker["extra_points_made"], butker["extra_point_attempts"], butker["kicking_points"]) == (4, 4, 7)
+    want = {
+        "8014": {
+            "player_name": "Oz Pryce", "jersey": "14", "team_abbreviation": "ELK", "pass_completions": 22, "pass_attempts": 36,
+            "passing_yards": 263, "passing_tds": 2, "sacks_taken": 3, "sack_yards_lost": 19, "qbr": 58.1, "passer_rating": 84.7,
+            "fumbles": 2, "fumbles_lost": 1, "fumbles_recovered": 0, "interceptions_thrown": 2, "def_interceptions": None,
+            "rushing_yards": None,
+        },
+        "8015": {"def_interceptions": 2, "interceptions_thrown": None},
+        "8010": {
+            "rushing_attempts": 2, "rushing_yards": 11, "rushing_long": 9, "receptions": 5, "targets": 8, "receiving_long": 27,
+        },
+        "8011": {"rushing_yards": 88},
+        "8013": {"def_sacks": 1.5},
+        "8012": {
+            "field_goals_made": 3, "field_goal_attempts": 4, "field_goal_long": 47, "extra_points_made": 2,
+            "extra_point_attempts": 2, "kicking_points": 11,
+        },
+    }
+    assert {who: {name: rows[who][name] for name in stats} for who, stats in want.items()} == want
 
 
 def test_player_placeholders_and_short_arrays(parse):
-    record = {**SUMMARIES[0], "boxscore": {"players": [{"team": {"id": "12"}, "statistics": [
-        group("passing", "completions/passingAttempts adjQBR QBRating", athlete("9", "X", "1", "3/5", "--")),
-        {"name": "rushing", "keys": ["rushingYards"], "athletes": None}]}]}}
+    passing = group("passing", ("completions/passingAttempts", "adjQBR", "QBRating"), athlete("8020", "S", "1", "8/11", "--"))
+    nobody = {"name": "rushing", "keys": ["rushingYards"], "athletes": None}
+    record = {**SUMMARIES[0], "boxscore": {"players": [{"team": {"id": "501"}, "statistics": [passing, nobody]}]}}
     row = parse("player_game_stats", [record]).first()
-    assert (row["pass_completions"], row["pass_attempts"], row["qbr"], row["passer_rating"]) == (3, 5, None, None)
+    assert (row["pass_completions"], row["pass_attempts"], row["qbr"], row["passer_rating"]) == (8, 11, None, None)
 
 
 def test_injury_news(parse):
     rows = keyed(parse("injury_news"), "id")
-    first = rows[611847]
-    assert first["created_at"] == datetime(2026, 10, 2, 16, 5, 28) and first["player_id"] == 19844
-    assert (first["title"], first["description"]) == ("Report on a knee", "Limited in practice.")
-    assert first["categories"] == ["Commentary", "News", "Injury"]
-    assert rows[611846]["created_at"] is None
+    dated = rows[7001]
+    assert dated["created_at"] == datetime(2031, 11, 5, 7, 40, 11) and dated["player_id"] == 8010
+    assert (dated["title"], dated["description"], dated["categories"]) == ("Ankle report", "Full practice.", ["Health", "Brief"])
+    assert rows[7002]["created_at"] is None
