@@ -21,7 +21,7 @@ ALLOWED_PLANS = {
     "LateralJoin", "LocalLimit", "LocalRelation", "Offset", "OneRowRelation", "Pivot", "Project",
     "Sample", "Sort", "SubqueryAlias", "Union", "UnresolvedHaving", "UnresolvedInlineTable",
     "UnresolvedRelation", "UnresolvedSubqueryColumnAliases", "UnresolvedTableValuedFunction",
-    "UnresolvedHint", "UnresolvedWith", "Unpivot", "Window", "WithWindowDefinition",
+    "UnresolvedWith", "Unpivot", "Window", "WithWindowDefinition",
 }
 DESCRIBING_PLANS = {"DescribeRelation", "ShowColumns"}
 TABLE_FUNCTIONS = {
@@ -58,10 +58,12 @@ class _Guard:
             if _kind(inner) == "ExplainCommand":
                 raise QueryRejected("EXPLAIN takes a query")
             self.check(inner)
+        elif kind == "DescribeQueryCommand":
+            self._plan(plan.plan(), self._names)
         elif kind in DESCRIBING_PLANS:
             for child in _items(plan.children()):
                 if _kind(child) not in {"UnresolvedTable", "UnresolvedTableOrView"}:
-                    raise QueryRejected(f"only tables can be described (got {_kind(child)})")
+                    raise QueryRejected(f"DESCRIBE is for tables and queries, not for {_kind(child)}")
                 self._name(_items(child.multipartIdentifier()), self._names)
         else:
             self._plan(plan, self._names)
@@ -69,12 +71,12 @@ class _Guard:
     def _name(self, parts: list[str], names: set[str]) -> None:
         if len(parts) != 1 or parts[0].lower() not in names:
             known = ", ".join(sorted(self._names))
-            raise QueryRejected(f"unknown table {'.'.join(parts)!r}; available: {known}")
+            raise QueryRejected(f"no table {'.'.join(parts)!r} here, only {known}")
 
     def _plan(self, plan, names: set[str]) -> None:
         kind = _kind(plan)
         if kind not in ALLOWED_PLANS:
-            raise QueryRejected(f"only read-only queries are allowed (got {kind})")
+            raise QueryRejected(f"a statement may only read; {kind} does more")
         if kind == "UnresolvedWith":
             names = names | self._with_names(plan, names)
         elif kind == "UnresolvedRelation":
@@ -117,16 +119,17 @@ def _parsed(catalog: Catalog, sql: str):
         return catalog.spark._jsparkSession.sessionState().sqlParser().parsePlan(sql)
     except ParseException as error:
         if ";" in sql.strip().rstrip(";"):
-            raise QueryRejected("send exactly one SQL statement") from error
+            raise QueryRejected("one statement at a time") from error
         raise QueryRejected(str(error).split("\n", 1)[0]) from error
 
 
 def guarded_sql(catalog: Catalog, sql: str) -> DataFrame:
     """The statement as a DataFrame, if it only reads catalog tables; else ``QueryRejected``."""
     catalog.refresh()
-    summarize = re.fullmatch(rf"\s*SUMMARIZE\s+({NAME_PATTERN})\s*;?\s*", sql, re.IGNORECASE)
+    summarize = re.fullmatch(r"\s*SUMMARIZE\s+(.+?)[\s;]*", sql, re.IGNORECASE | re.DOTALL)
     if summarize:
-        return profile(catalog.table(summarize.group(1)))
+        whole = re.fullmatch(NAME_PATTERN, summarize[1])
+        return profile(catalog.table(summarize[1]) if whole else guarded_sql(catalog, summarize[1]))
     if re.fullmatch(r"\s*SHOW\s+TABLES\s*;?\s*", sql, re.IGNORECASE):
         return catalog.list_tables()
     statement = sql.strip().rstrip(";")

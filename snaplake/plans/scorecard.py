@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from snaplake.functions.scalars import as_column, first_number, stripped, without_markdown
@@ -20,19 +20,22 @@ ABSOLUTE_TOLERANCE = 1.0
 
 NUMERIC, STRING, REFUSAL = "numeric", "exact_string", "refusal"
 WRONG_VALUE, BAD_REFUSAL, UNKNOWN, CRASH = "wrong_value", "bad_refusal", "unknown_match_type", "crash"
+GRADE_ERROR = "grade_error"
 
 
 def numeric_grade(answer: Column | str, expected: Column | str) -> Column:
     """First number of the answer within 5 % or 1 of the expected one, whichever allows more.
 
-    Expected 0 asks for exactly 0; an expected NULL is met by no answer or a bare ``0``.
+    Expected 0 asks for exactly 0; an expected NULL is met by no answer or a bare ``0``. Nothing meets
+    an expected text that is no number.
     """
-    answer, wanted = as_column(answer), as_column(expected).try_cast("double")
+    answer, expected = as_column(answer), as_column(expected)
+    wanted = expected.try_cast("double")
     found = first_number(answer)
     allowed = F.greatest(F.abs(wanted) * RELATIVE_TOLERANCE, F.lit(ABSOLUTE_TOLERANCE))
     near = F.when(wanted == 0, found == 0).otherwise(F.abs(found - wanted) <= allowed)
     nothing = answer.isNull() | (answer == "0")
-    return F.when(wanted.isNull(), nothing).otherwise(F.coalesce(near, F.lit(False)))
+    return F.when(expected.isNull(), nothing).otherwise(F.coalesce(near, F.lit(False)))
 
 
 def string_grade(answer: Column | str, expected: Column | str) -> Column:
@@ -52,8 +55,10 @@ def refusal_grade(answer: Column | str) -> Column:
 def grade(answers: DataFrame) -> DataFrame:
     """Adds ``correct`` and ``failure`` to rows with match, expected, answer and error.
 
-    ``expected`` is text. A missing answer or an error is a crash, whatever was expected.
+    ``expected`` is text. A missing answer or an error is a crash, whatever was expected; an expected
+    number that cannot be read is an error of the grading.
     """
+    unreadable = F.col("expected").isNotNull() & F.col("expected").try_cast("double").isNull()
     match = F.col("match")
     crashed = F.col("error").isNotNull() | F.col("answer").isNull()
     correct = (
@@ -66,6 +71,7 @@ def grade(answers: DataFrame) -> DataFrame:
     failure = (
         F.when(crashed, CRASH)
         .when(F.col("correct"), F.lit(None).cast("string"))
+        .when((match == NUMERIC) & unreadable, GRADE_ERROR)
         .when(match.isin(NUMERIC, STRING), WRONG_VALUE)
         .when(match == REFUSAL, BAD_REFUSAL)
         .otherwise(UNKNOWN)
@@ -102,8 +108,26 @@ def overall(judged: DataFrame) -> DataFrame:
     return judged.agg(*_accuracy())
 
 
-def by_category(judged: DataFrame) -> DataFrame:
-    return judged.groupBy("category").agg(*_accuracy())
+def by_category(judged: DataFrame, *keys: str) -> DataFrame:
+    return judged.groupBy(*keys, "category").agg(*_accuracy())
+
+
+RESULT_SCHEMA = """
+    label STRING, questions ARRAY<STRUCT<id: STRING, category: STRING,
+        verdicts: ARRAY<STRUCT<correct: BOOLEAN, failure: STRING>>>>
+"""
+
+
+def stored_verdicts(spark: SparkSession, path: str) -> DataFrame:
+    """One row per label and question of stored result files, judged anew from the verdict of each run.
+
+    A result file is one JSON object. A question without runs counts as correct, as nothing failed.
+    """
+    files = spark.read.schema(RESULT_SCHEMA).option("multiLine", True).json(path)
+    questions = files.select("label", F.explode("questions").alias("q"))
+    runs = questions.select("label", "q.id", "q.category", F.explode_outer("q.verdicts").alias("v"))
+    graded = runs.select("label", "id", "category", F.coalesce("v.correct", F.col("v").isNull()).alias("correct"), "v.failure")
+    return verdicts(graded, "label", "id", "category")
 
 
 def by_failure(judged: DataFrame) -> DataFrame:

@@ -80,11 +80,13 @@ def search_envelope(news: DataFrame, *, limit: int = DEFAULT_ARTICLES, **filters
 
 
 def news_with_team(news: DataFrame, teams: DataFrame) -> DataFrame:
-    """Articles with the team they are about; the feeds share the abbreviation, not the id."""
-    about = teams.select(
-        F.col("abbreviation").alias("_abbreviation"),
-        F.col("team_id").alias("feed_team_id"),
-        F.col("display_name").alias("team_name"),
+    """Articles with the team they are about; the feeds share the abbreviation, not the id.
+
+    Of several teams with one abbreviation the one with the least id counts, so no article is doubled.
+    """
+    team = F.min(F.struct("team_id", "display_name"))
+    about = teams.groupBy(F.col("abbreviation").alias("_abbreviation")).agg(team.alias("_team")).select(
+        "_abbreviation", F.col("_team.team_id").alias("feed_team_id"), F.col("_team.display_name").alias("team_name")
     )
     return news.join(about, F.col("team_id") == F.col("_abbreviation")).drop("_abbreviation")
 

@@ -11,21 +11,24 @@ from snaplake.plans.search import DEFAULT_ARTICLES, DEFAULT_DAYS, search_envelop
 from snaplake.sources.catalog import Catalog
 from snaplake.sources.files import Folder
 from snaplake.sources.target import SnapshotTable
-from snaplake.tables import INJURY_NEWS, TABLES
+from snaplake.tables import INJURY_NEWS
+
+
+TEAMS_NAME = "teams"
 
 
 def load_catalog(spark: SparkSession, config: str) -> Catalog:
     """A catalog from JSON text ``{"tables": {name: path}}``.
 
-    A path that holds commits is an upsert target of the table of that name, any other is parquet.
+    A path that holds commits is an upsert target, under whatever name; any other is parquet.
     """
     tables = json.loads(config).get("tables") or {}
 
-    def source(name: str, path: str) -> str | SnapshotTable:
-        committed = name in TABLES and Folder(spark, f"{path}/_commits").names(".json")
-        return SnapshotTable(spark, path, TABLES[name]) if committed else path
+    def source(path: str) -> str | SnapshotTable:
+        committed = Folder(spark, f"{path}/_commits").names(".json")
+        return SnapshotTable(spark, path) if committed else path
 
-    return Catalog(spark, {name: source(name, path) for name, path in tables.items()})
+    return Catalog(spark, {name: source(path) for name, path in tables.items()})
 
 
 class QueryService:
@@ -52,10 +55,12 @@ class QueryService:
         days: int = DEFAULT_DAYS,
         limit: int = DEFAULT_ARTICLES,
     ) -> dict:
+        """``team`` may be part of a team's name if the catalog has a teams table."""
         self.catalog.refresh()
         news = self.catalog.table(INJURY_NEWS.name)
+        teams = self.catalog.table(TEAMS_NAME) if TEAMS_NAME in self.catalog.names else None
         return search_envelope(
-            news, query_text=query_text, player=player, team=team, days=days, limit=limit
+            news, query_text=query_text, player=player, team=team, days=days, limit=limit, teams=teams
         )
 
 

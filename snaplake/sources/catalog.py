@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, MapType, NumericType, StringType
 
+from snaplake.session import prepare
 from snaplake.sources.files import Folder
 from snaplake.sources.target import SnapshotTable
 from snaplake.spec import Table
@@ -19,16 +20,17 @@ NAME_PATTERN = r"[A-Za-z_][A-Za-z0-9_]*"  # fixed value: what a table may be cal
 class Catalog:
     """``sources`` maps a name to a parquet path or to a ``SnapshotTable``.
 
-    A view reads lazily, so columns and filters of a query reach the scan.
+    A view reads lazily, so columns and filters of a query reach the scan. Views live in a session of
+    the catalog's own, so catalogs do not see each other's.
     """
 
     def __init__(self, spark: SparkSession, sources: dict[str, str | SnapshotTable]):
         if not sources:
-            raise ValueError("no tables given")
+            raise ValueError("a catalog needs a table")
         for name in sources:
             if not re.fullmatch(NAME_PATTERN, name):
-                raise ValueError(f"invalid table name {name!r}: use letters, digits and underscores")
-        self.spark = spark
+                raise ValueError(f"{name!r} cannot name a table: a letter or _, then letters, digits and _")
+        self.spark = prepare(spark.newSession())
         self._sources = dict(sources)
         self._shown: dict[str, int] = {}
         self.refresh()
@@ -38,22 +40,26 @@ class Catalog:
         return list(self._sources)
 
     def refresh(self) -> list[str]:
-        """Point each view at the newest version; returns the names of the views that moved."""
+        """Point each view at what there is now; returns the names of the merged tables that moved.
+
+        Parquet sources have no version: their files are listed anew.
+        """
         moved = []
         for name, source in self._sources.items():
-            version = source.version() if isinstance(source, SnapshotTable) else 0
-            if self._shown.get(name) == version:
+            if not isinstance(source, SnapshotTable):
+                self.spark.read.parquet(source).createOrReplaceTempView(name)
+                self._shown[name] = 0
                 continue
-            held = isinstance(source, SnapshotTable)
-            df = source.read(version) if held else self.spark.read.parquet(source)
-            df.createOrReplaceTempView(name)
-            self._shown[name] = version
-            moved.append(name)
+            version = source.version()
+            if self._shown.get(name) != version:
+                source.read(version, self.spark).createOrReplaceTempView(name)
+                self._shown[name] = version
+                moved.append(name)
         return moved
 
     def _source(self, name: str) -> str | SnapshotTable:
         if name not in self._sources:
-            raise ValueError(f"unknown table {name!r}; available: {', '.join(self._sources)}")
+            raise ValueError(f"no table {name!r} here, only {', '.join(self._sources)}")
         return self._sources[name]
 
     def table(self, name: str) -> DataFrame:
@@ -77,12 +83,12 @@ class Catalog:
             "table": name,
             "path": self._path(name),
             "version": self._shown[name],
-            "description": held.table.note if held else None,
-            "partition_columns": [],
-            "num_files": len(df.inputFiles()),
+            "description": held.note if held else None,
+            "partition_columns": list(held.partitions) if held else [],
+            "num_files": len(df._jdf.inputFiles()),  # counted where Spark's listing is; no name comes here
             "columns": [
                 {"name": f.name, "type": f.dataType.simpleString(), "nullable": f.nullable}
-                for f in (held.table.schema if held else df.schema)
+                for f in (held.schema if held else df.schema)
             ],
         }
 

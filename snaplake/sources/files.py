@@ -22,6 +22,14 @@ class Folder:
         found = (s.getPath().getName() for s in self._fs.listStatus(self._path))
         return sorted(n for n in found if n.endswith(suffix) and not n.startswith((".", "_")))
 
+    def stamp(self) -> tuple[tuple[str, int, int], ...]:
+        """Name, size and time of what lies in the folder: tells whether it has changed."""
+        found = self._fs.listStatus(self._path) if self._fs.exists(self._path) else []
+        return tuple(sorted((s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in found))
+
+    def holds(self, name: str) -> bool:
+        return self._fs.exists(self._at(name))
+
     def read(self, name: str) -> str:
         stream = self._fs.open(self._at(name))
         try:

@@ -1,9 +1,11 @@
-"""A keyed parquet table that takes upserts: bucket directories plus one commit file per version.
-
-``data/<attempt>/_bucket=<n>/*.parquet`` holds rows, ``_commits/<version>.json`` says which attempt
-holds each bucket in that version. An upsert rewrites the buckets its keys fall in and carries the
-others over, so its cost follows the batch. Data without a commit file is never read: a job lost
-half way leaves the table as it was. One writer per table at a time.
+"""A keyed parquet table that takes upserts: place directories plus one commit file per version.
+
+A place is a value of the table's partition columns and a bucket of its keys. ``data/attempt_=<id>/
+<partition>=<value>/_bucket=<n>/*.parquet`` holds rows sorted by key, ``_commits/<version>.json`` says
+which attempt holds each place in that version. An upsert first finds which rows of the batch change
+anything, by a scan of the held keys and snapshots in the batch's buckets; it then rewrites the places
+those rows are in or leave, and none if there are no such rows. Data without a commit file is never
+read: a job lost half way leaves the table as it was. One writer per table at a time.
 """
 
 from __future__ import annotations
@@ -13,16 +15,18 @@ import uuid
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructField, StructType
+from pyspark.sql.types import DateType, IntegralType, StructField, StructType
 
 from snaplake.operators.latest import dedupe_latest
-from snaplake.operators.merge import INSERTED, UPDATED, bucket_of, merge_rows, require_keys
+from snaplake.operators.merge import bucket_of, require_keys
 from snaplake.sources.files import Folder
 from snaplake.spec import Table
 
-BUCKET = "_bucket"
+BUCKET, ATTEMPT = "_bucket", "attempt_"
+NULL_PLACE = "__HIVE_DEFAULT_PARTITION__"  # fixed value: how Spark's writers name a NULL
+ROWS_PER_FILE = 1_000_000
 
 HISTORY_SCHEMA = """
     version BIGINT, committed_at TIMESTAMP, operation STRING, writer STRING, batch_id BIGINT,
@@ -40,9 +44,13 @@ class Commit:
 
 
 class SnapshotTable:
-    """``buckets`` is fixed when the table is created; aim at some 512 MB of data in each."""
+    """``table`` may be left out to read what is there under whatever name.
+
+    ``buckets`` counts per partition and is fixed with the first commit; without it, it follows the rows
+    of the first batch. Later growth makes several files of a bucket.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, table: Table, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, table: Table | None = None, buckets: int | None = None):
         self.spark = spark
         self.table = table
         self.path = path.rstrip("/")
@@ -53,84 +61,137 @@ class SnapshotTable:
         """Number of the newest commit, 0 before the first."""
         return max((int(name.split(".")[0]) for name in self._commits.names(".json")), default=0)
 
+    def _record(self, version: int) -> dict:
+        return json.loads(self._commits.read(f"{version:08d}.json"))
+
     def commit(self, version: int | None = None) -> Commit:
         version = self.version() if version is None else version
         if version == 0:
-            return Commit(0, self.buckets)
-        found = json.loads(self._commits.read(f"{version:08d}.json"))
+            return Commit(0, self.buckets or 0)
+        found = self._record(version)
         return Commit(version, found["buckets"], found["rows_total"], found["places"], found["batches"])
 
-    def read(self, version: int | None = None) -> DataFrame:
-        return self._rows(self.commit(version))
+    @property
+    def schema(self) -> StructType:
+        return self.table.schema if self.table else StructType.fromJson(self._record(self.version())["schema"])
 
-    def _rows(self, commit: Commit, buckets: list[int] | None = None) -> DataFrame:
-        wanted = commit.places if buckets is None else {
-            b: commit.places[b] for b in map(str, buckets) if b in commit.places
-        }
-        paths = [f"{self.path}/data/{place}/{BUCKET}={b}" for b, place in sorted(wanted.items())]
-        schema = StructType([StructField(f.name, f.dataType) for f in self.table.schema])
+    @property
+    def note(self) -> str:
+        return self.table.note if self.table else self._record(self.version())["note"]
+
+    @property
+    def partitions(self) -> tuple[str, ...]:
+        return self.table.partitions if self.table else tuple(self._record(self.version())["partitions"])
+
+    def read(self, version: int | None = None, spark: SparkSession | None = None) -> DataFrame:
+        return self._rows(self.commit(version).places, spark).select(*self.schema.fieldNames())
+
+    def _rows(self, places: dict[str, str], spark: SparkSession | None = None) -> DataFrame:
+        """The rows of some places, with their bucket."""
+        spark = spark or self.spark
+        schema = StructType([StructField(f.name, f.dataType) for f in self.schema])
+        data = f"{self.path}/data"
+        paths = [f"{data}/{ATTEMPT}={attempt}/{place}" for place, attempt in sorted(places.items())]
         if not paths:
-            return self.spark.createDataFrame([], schema)
-        return self.spark.read.schema(schema).parquet(*paths)
+            return spark.createDataFrame([], schema).withColumn(BUCKET, F.lit(0))
+        return spark.read.schema(schema).option("basePath", data).parquet(*paths)
 
     def upsert(self, batch: DataFrame, writer: str | None = None, batch_id: int | None = None) -> Commit:
         """Merge parsed rows. A (writer, batch_id) already committed is skipped."""
         before = self.commit()
         if writer and batch_id is not None and batch_id <= before.batches.get(writer, -1):
             return before
-        keys = self.table.keys
-        bucket = bucket_of(keys, before.buckets).alias(BUCKET)
-        checked = require_keys(batch.select(*self.table.columns), self.table)
-        fresh = dedupe_latest(checked, self.table).select(bucket, "*").persist()
+        table = self.table
+        for name in table.partitions:
+            if not isinstance(table.schema[name].dataType, (IntegralType, DateType)):
+                raise ValueError(f"{name} cannot partition {table.full_name}: only whole numbers and days can")
+        checked = require_keys(batch.select(*table.columns), table)
+        fresh = dedupe_latest(checked, table).persist()
         try:
-            touched = [r[BUCKET] for r in fresh.select(BUCKET).distinct().collect()]
-            if not touched:
-                return before
-            return self._write(before, fresh, touched, writer, batch_id)
+            if not before.buckets:
+                before = Commit(before.version, max(1, -(-fresh.count() // ROWS_PER_FILE)))
+            changed = self._changed(before, fresh).persist()
+            try:
+                return self._write(before, fresh, changed, writer, batch_id)
+            finally:
+                changed.unpersist()
         finally:
             fresh.unpersist()
 
+    def _changed(self, before: Commit, fresh: DataFrame) -> DataFrame:
+        """The rows that are new or strictly newer, with the place they are for and the one they leave."""
+        table = self.table
+        bucket = bucket_of(table.keys, before.buckets)
+        placed = fresh.withColumn("_to", F.struct(*table.partitions, bucket.alias(BUCKET)))
+        buckets = {r[0] for r in placed.select(f"_to.{BUCKET}").distinct().collect()}  # at most the bucket count
+        mine = {p: a for p, a in before.places.items() if int(p.rpartition("=")[2]) in buckets}
+        held = self._rows(mine).select(
+            *table.keys,
+            F.col(table.snapshot_column).alias("_held_at"),
+            F.struct(*table.partitions, BUCKET).alias("_from"),
+        )
+        newer = F.col("_held_at").isNotNull() & (F.col(table.snapshot_column) > F.col("_held_at"))
+        return placed.join(held, list(table.keys), "left").where(F.col("_from").isNull() | newer)
+
+    def _place(self, at: Row) -> str:
+        return "/".join(f"{name}={NULL_PLACE if at[name] is None else at[name]}" for name in (*self.table.partitions, BUCKET))
+
     def _write(
-        self, before: Commit, fresh: DataFrame, touched: list[int], writer: str | None, batch_id: int | None
+        self, before: Commit, fresh: DataFrame, changed: DataFrame, writer: str | None, batch_id: int | None
     ) -> Commit:
-        place = bucket_of(self.table.keys, before.buckets).alias(BUCKET)
-        held = self._rows(before, touched).select(place, "*")
-        seen = Observation()
-        merged = merge_rows(held, fresh, self.table, place=[BUCKET]).observe(
-            seen,
-            F.count_if(F.col("_change") == INSERTED).alias("inserted"),
-            F.count_if(F.col("_change") == UPDATED).alias("updated"),
-        )
+        table = self.table
+        moves = changed.groupBy("_to", "_from").agg(F.count(F.lit(1)).alias("n")).collect()  # at most places x places
+        if not moves and fresh.isEmpty():
+            return before
+        inserted = sum(r.n for r in moves if r["_from"] is None)
+        updated = sum(r.n for r in moves) - inserted
+        touched = sorted({self._place(at) for r in moves for at in (r["_to"], r["_from"]) if at is not None})
         attempt = f"{before.version + 1:08d}-{uuid.uuid4().hex}"
-        merged.drop("_change").write.partitionBy(BUCKET).parquet(f"{self.path}/data/{attempt}")
-        counts = seen.get
-        changed = counts["inserted"] + counts["updated"] > 0
-        places = {**before.places, **{str(b): attempt for b in touched}} if changed else before.places
+        places = dict(before.places)
+        if touched:
+            self._rewrite(before, changed, touched, f"{self.path}/data/{ATTEMPT}={attempt}")
+            data = Folder(self.spark, f"{self.path}/data/{ATTEMPT}={attempt}")
+            for place in touched:
+                if data.holds(place):
+                    places[place] = attempt
+                else:  # all its rows have moved
+                    places.pop(place, None)
         batches = before.batches
         if writer and batch_id is not None:
             batches = {**batches, writer: batch_id}
-        after = Commit(
-            before.version + 1, before.buckets, before.rows_total + counts["inserted"], places, batches
-        )
+        after = Commit(before.version + 1, before.buckets, before.rows_total + inserted, places, batches)
         record = {
             "version": after.version,
             "committed_at": datetime.now(timezone.utc).isoformat(timespec="milliseconds"),
             "operation": "UPSERT",
             "writer": writer,
             "batch_id": batch_id,
-            "rows_inserted": counts["inserted"],
-            "rows_updated": counts["updated"],
+            "rows_inserted": inserted,
+            "rows_updated": updated,
             "rows_total": after.rows_total,
-            "buckets_written": len(touched) if changed else 0,
+            "buckets_written": len(touched),
             "buckets": after.buckets,
             "places": after.places,
             "batches": after.batches,
+            "schema": table.schema.jsonValue(),
+            "note": table.note,
+            "partitions": list(table.partitions),
         }
         self._commits.create(f"{after.version:08d}.json", json.dumps(record))
-        if not changed:
-            Folder(self.spark, f"{self.path}/data").delete(attempt)
         return after
 
+    def _rewrite(self, before: Commit, changed: DataFrame, touched: list[str], path: str) -> None:
+        """The touched places anew: what they held, less the changed keys, and the changed rows."""
+        table = self.table
+        held = self._rows({p: before.places[p] for p in touched if p in before.places}).select(*table.columns, BUCKET)
+        stay = held.join(changed.select(*table.keys), list(table.keys), "left_anti")
+        rows = stay.unionByName(changed.select(*table.columns, F.col(f"_to.{BUCKET}").alias(BUCKET)))
+        per_place = before.rows_total // max(1, len(before.places))
+        part = F.pmod(F.xxhash64(F.lit(1), *table.keys), F.lit(1 + per_place // ROWS_PER_FILE))
+        place = [*table.partitions, BUCKET]
+        rows = rows.repartition(*place, part).sortWithinPartitions(*place, *table.keys)
+        rows.write.partitionBy(*place).parquet(path)
+
     def history(self, limit: int = 10) -> DataFrame:
         """Newest commits first; ``limit`` is held between 1 and 100."""
         rows = max(1, min(limit, 100))

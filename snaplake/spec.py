@@ -99,6 +99,7 @@ class Table:
     note: str = ""
     audit: tuple[tuple[str, str], ...] = AUDIT
     database: str = "nfl"
+    partitions: tuple[str, ...] = ()  # columns whose values, with the keys, say where a row is stored
 
     @property
     def full_name(self) -> str:

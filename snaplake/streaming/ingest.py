@@ -16,6 +16,9 @@ from snaplake.sources.snapshots import read_snapshots, stream_snapshots
 from snaplake.sources.target import Commit, SnapshotTable
 
 
+FILES_PER_BATCH = 1000
+
+
 def upsert_batches(target: SnapshotTable) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function. Batches count per streaming query, so a batch is known by both.
 
@@ -41,13 +44,13 @@ def ingest_available(
     target: SnapshotTable,
     landing: str,
     checkpoint: str,
-    files_per_batch: int | None = None,
+    files_per_batch: int | None = FILES_PER_BATCH,
     **options: str,
 ) -> StreamingQuery:
     """Merge all files that have arrived under ``landing`` since the last call, then stop.
 
-    ``checkpoint`` belongs to this table alone. ``files_per_batch`` bounds a micro-batch;
-    ``options`` go to the JSON reader.
+    ``checkpoint`` belongs to this table alone. ``files_per_batch`` bounds a micro-batch (None: all files
+    that have arrived are one); ``options`` go to the JSON reader.
     """
     records = stream_snapshots(spark, target.table, landing, files_per_batch, **options)
     query = (

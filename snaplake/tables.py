@@ -275,6 +275,7 @@ PLAYERS = Table(
 
 ROSTERS = Table(
     name="rosters",
+    partitions=("season",),
     prefix="espn/rosters",
     raw=ROSTERS_RAW,
     note="One row per season, team and player ever listed; the current roster is the team's newest snapshot",
@@ -332,6 +333,7 @@ _STANDING_FIELDS = (
 
 STANDINGS = Table(
     name="standings",
+    partitions=("season",),
     prefix="espn/standings",
     raw=STANDINGS_RAW,
     note="One row per team and season type",
@@ -351,6 +353,7 @@ STANDINGS = Table(
 
 SCHEDULES = Table(
     name="schedules",
+    partitions=("season",),
     prefix="espn/schedules",
     raw=SCHEDULES_RAW,
     note="One row per scheduled game",
@@ -381,6 +384,7 @@ SCHEDULES = Table(
 
 GAMES = Table(
     name="games",
+    partitions=("season",),
     prefix="espn/game_summaries",
     raw=SUMMARIES_RAW,
     note="One row per game that has kicked off",
@@ -527,6 +531,7 @@ _PLAYER_BOX_FIELDS = (
 
 PLAYER_GAME_STATS = Table(
     name="player_game_stats",
+    partitions=("season",),
     prefix="espn/game_summaries",
     raw=PLAYER_BOX_RAW,
     note="Box score of one player in one game; what was not recorded is NULL, not 0",

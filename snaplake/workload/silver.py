@@ -1,25 +1,30 @@
 """The parsed tables, written once per session and read by the analytic queries.
 
-As with any ingest, a table is parsed and de-duplicated once; queries then scan the columns they
-need, with their filters pushed into the files.
+As with any ingest, a table is parsed and de-duplicated once; queries then scan the columns and
+partitions they need. It is written anew when the source files have changed or it has been removed.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructField, StructType
 
 from snaplake.operators.latest import dedupe_latest
 from snaplake.session import work_dir
+from snaplake.sources.files import Folder
 from snaplake.tables import TABLES
 from snaplake.workload.parsing import parsed
 
-_WRITTEN: dict[tuple[str, str, str], str] = {}
+_WRITTEN: dict[tuple, str] = {}
 
 
 def silver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    place = (spark.sparkContext.applicationId, sf_dir, name)
-    if place not in _WRITTEN:
+    table = TABLES[name]
+    place = (spark.sparkContext.applicationId, sf_dir, Folder(spark, sf_dir).stamp(), name)
+    if place not in _WRITTEN or not Folder(spark, _WRITTEN[place]).names():
         path = work_dir(spark, f"silver-{name}")
-        dedupe_latest(parsed(spark, sf_dir, name), TABLES[name]).write.parquet(path)
+        rows = dedupe_latest(parsed(spark, sf_dir, name), table)
+        rows.hint("rebalance", *table.partitions).write.partitionBy(*table.partitions).parquet(path)
         _WRITTEN[place] = path
-    return spark.read.parquet(_WRITTEN[place])
+    schema = StructType([StructField(f.name, f.dataType) for f in table.schema])
+    return spark.read.schema(schema).parquet(_WRITTEN[place]).select(*table.columns)

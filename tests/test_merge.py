@@ -12,7 +12,7 @@ from snaplake.plans.parsers import PARSERS
 from snaplake.sources.files import Folder
 from snaplake.sources.snapshots import read_snapshots
 from snaplake.sources.target import SnapshotTable
-from snaplake.spec import TEXT, Table, col, key
+from snaplake.spec import COUNT, TEXT, Table, col, key
 from snaplake.tables import TABLES
 from tests.payloads import SUMMARIES
 
@@ -112,7 +112,7 @@ def test_target_versions_history_and_untouched_buckets(spark, batch, tmp_path):
     first = target.upsert(batch(*((str(i), f"v{i}", T1, "a") for i in range(40))))
     second = target.upsert(batch(("3", "new", T2, "b"), ("99", "added", T2, "b")))
     assert (second.version, second.rows_total) == (2, 41)
-    moved = {b for b in second.places if second.places[b] != first.places.get(b)}
+    moved = {p for p in second.places if second.places[p] != first.places.get(p)}
     assert 1 <= len(moved) <= 2
     assert target.read(1).count() == 40 and target.read().count() == 41
     newest = target.history(1).first()
@@ -132,10 +132,64 @@ def test_target_skips_a_committed_batch_and_unchanged_data(spark, batch, tmp_pat
     assert target.upsert(batch()).version == 2
 
 
+SEASONS = Table(
+    name="seasons", prefix="s", raw="game STRING, season BIGINT, score BIGINT", partitions=("season",),
+    fields=(key("game", TEXT), col("season", COUNT), col("score", COUNT)),
+)
+
+
+@pytest.fixture
+def seasons(spark, tmp_path):
+    target = SnapshotTable(spark, str(tmp_path / "seasons"), SEASONS, buckets=2)
+
+    def put(*rows):
+        df = spark.createDataFrame(
+            [(*r, "f") for r in rows], "game STRING, season BIGINT, score BIGINT, _snapshot_at TIMESTAMP, _source_file STRING"
+        )
+        return target.upsert(df.withColumn("_ingested_at", F.current_timestamp()).select(*SEASONS.columns))
+
+    put(*((f"g{i}", 2030 + i % 3, i, T1) for i in range(60)), ("none", None, 5, T1))
+    return target, put
+
+
+def test_a_batch_rewrites_only_the_season_it_changes(seasons):
+    target, put = seasons
+    first = target.commit()
+    second = put(("g0", 2030, 100, T2), ("new", 2030, 7, T2), ("g1", 2031, 1, T1))
+    moved = {p for p in second.places if second.places[p] != first.places.get(p)}
+    assert moved and all(p.startswith("season=2030/") for p in moved)
+    assert {r.game: r.score for r in target.read().collect()} == {
+        **{f"g{i}": i for i in range(60)}, "none": 5, "g0": 100, "new": 7,
+    }
+
+
+def test_a_replay_writes_no_file(seasons, tmp_path):
+    target, put = seasons
+    before = sorted(p for p in (tmp_path / "seasons" / "data").rglob("*.parquet"))
+    replay = put(*((f"g{i}", 2030 + i % 3, -i, T1) for i in range(60)))
+    assert replay.version == 2 and sorted((tmp_path / "seasons" / "data").rglob("*.parquet")) == before
+
+
+def test_a_key_may_move_to_another_season(seasons):
+    target, put = seasons
+    put(("none", 2031, 6, T2), ("g2", None, 8, T2))
+    rows = {r.game: (r.season, r.score) for r in target.read().collect()}
+    assert len(rows) == target.read().count() == 61 and rows["none"] == (2031, 6) and rows["g2"] == (None, 8)
+
+
+def test_a_season_filter_reads_its_partition_only(seasons, spark):
+    target, _ = seasons
+    plan = target.read().where("season = 2031")._jdf.queryExecution().executedPlan().toString()
+    assert "season#" in plan.split("PartitionFilters: [")[1].split("]")[0]
+    found = target.read().where("season = 2031 AND game = 'g1'").select("_metadata.file_path").distinct().count()
+    assert 1 == found < len(target.read().inputFiles())
+    assert SnapshotTable(spark, target.path).read().where("season IS NULL").count() == 1
+
+
 def test_half_written_data_is_never_read(spark, batch, tmp_path):
     target = SnapshotTable(spark, str(tmp_path / "team"), TEAM, buckets=4)
     target.upsert(batch(("k7", "seven", T2, "f")))
-    junk = tmp_path / "team" / "data" / "00000002-lost" / "_bucket=0"
+    junk = tmp_path / "team" / "data" / "attempt_=00000002-lost" / "_bucket=0"
     junk.mkdir(parents=True)
     (junk / "part-0.parquet").write_bytes(b"not parquet")
     (tmp_path / "team" / "_commits" / ".00000002.json.draft").write_text("{")
