@@ -16,8 +16,7 @@ from snaplake.llm.workload import table, tokenizer_path
 
 def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows the classifier scores 0.5 or more; learned from the labelled rows outside the held-out third."""
-    labelled = quality.training_rows(docs, table(spark, sf_dir, "labels"))
-    return quality.keep_good(docs, quality.train(labelled))
+    return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

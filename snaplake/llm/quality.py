@@ -5,8 +5,8 @@ follow each other, and whether the word repeats the one before), weighted by TF-
 leading singular directions of a sample of labelled rows. Each text's cosines with all vectors of the
 sample are computed exactly, block by block; its nearest neighbours vote with their similarity.
 
-The sample is at most ``SAMPLE`` labelled rows, the ones whose text hashes lowest, so no fold or order
-of the input decides. It is all that is broadcast.
+The sample is at most ``SAMPLE`` labelled rows, the ones whose ids hash lowest, so no order of the input
+decides. It is all that is broadcast.
 
 Edge cases: null and word-less texts get the sample's share of label 1; without labels every score is 0.5.
 A row with several labels takes part once per distinct label; null labels do not take part. Label, language, source and
@@ -107,10 +107,18 @@ def fit(x: np.ndarray, labels: np.ndarray) -> Model:
     return model._replace(projection=projection, vectors=_unit(weighted @ projection).astype(np.float32))
 
 
-def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
-    """``labelled`` has ``text`` and ``label``; at most ``sample`` rows of it are used."""
-    chosen = labelled.where("label IS NOT NULL").select("text", F.col("label").cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("text"), "text", "label").limit(sample)
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text",
+          label_column: str = "quality") -> Model:
+    """Fit on at most ``sample`` labelled documents outside the held-out third, those whose ids hash lowest.
+
+    The sample is chosen among ids; only its texts are brought together. Of rows with equal ids the least text counts.
+    """
+    known = labels.where(~held_out(id_column)).select(F.col(id_column).alias("id"), F.col(label_column).cast("int").alias("label"))
+    known = known.where("id IS NOT NULL AND label IS NOT NULL").distinct()
+    source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
+    known = known.join(source.select("id"), "id", "left_semi")
+    chosen = known.orderBy(F.xxhash64("id"), "id", "label").limit(sample)
+    texts = source.join(F.broadcast(chosen), "id").groupBy("id", "label").agg(F.min("text").alias("text")).select("text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -118,7 +126,7 @@ def train(labelled: DataFrame, sample: int = SAMPLE) -> Model:
             rows = [x.tobytes() for block in found for x in block]
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], names=["x", "label"])
 
-    found = chosen.mapInArrow(run, "x binary, label int").toArrow()
+    found = texts.mapInArrow(run, "x binary, label int").toArrow()
     x = np.frombuffer(b"".join(found["x"].to_pylist()), np.float32).reshape(-1, WORDS + SHAPES)
     return fit(x, found["label"].to_numpy())
 
@@ -144,19 +152,13 @@ def score(docs: DataFrame, model: Model, id_column: str = "doc_id", text_column:
     return source.mapInArrow(run, f"id {kind}, score double, predicted int").withColumnRenamed("id", id_column)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", label_column: str = "quality") -> DataFrame:
-    """Labelled texts outside the held-out third: CRC-32 of the id as text, modulo 3, is not 1."""
-    known = labels.where(~held_out(id_column) & F.col(id_column).isNotNull()).select(F.col(id_column), F.col(label_column).alias("label")).distinct()
-    return docs.select(id_column, "text").join(known, id_column).select("text", "label")
-
-
 def held_out(id_column: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(id_column).cast("string"), F.lit("")).cast("binary")) % 3 == 1
 
 
 def score_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """Learn from the labelled rows outside the held-out third, score all rows."""
-    scored = score(docs, train(training_rows(docs, labels), sample))
+    scored = score(docs, train(docs, labels, sample))
     return scored.withColumn("held_out", held_out()).select("doc_id", "held_out", "score", "predicted")
 
 
