@@ -10,6 +10,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 
 from snaplake.spec import Table
 
@@ -25,11 +26,22 @@ def _extreme_row(
 
     The order leads a struct of the whole row, so one aggregate finds the row and brings it along,
     ties are broken by content, and the keys stay grouping columns: a filter on them moves below.
+    Maps have no order; they travel as their sorted entries.
     """
     others = [c for c in df.columns if c not in keys and c not in order]
-    row = F.struct(*(F.col(f"`{c}`") for c in (*order, *others)))
+    maps = {f.name for f in df.schema if isinstance(f.dataType, MapType)}
+
+    def packed(name: str) -> Column:
+        c = F.col(f"`{name}`")
+        return F.sort_array(F.map_entries(c)).alias(name) if name in maps else c
+
+    def unpacked(name: str) -> Column:
+        c = F.col("_row")[name]
+        return (F.map_from_entries(c) if name in maps else c).alias(name)
+
+    row = F.struct(*map(packed, (*order, *others)))
     found = df.groupBy(*keys).agg(pick(row).alias("_row"))
-    return found.select(*(F.col(c) if c in keys else F.col("_row")[c].alias(c) for c in df.columns))
+    return found.select(*(F.col(c) if c in keys else unpacked(c) for c in df.columns))
 
 
 def latest_rows(df: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from snaplake.operators.merge import assert_unique
 from snaplake.plans.parsers import parse
 from snaplake.sources.snapshots import read_snapshots, stream_snapshots
 from snaplake.sources.target import Commit, SnapshotTable
@@ -33,10 +34,17 @@ def upsert_batches(target: SnapshotTable) -> Callable[[DataFrame, int], None]:
     return apply
 
 
+def check_keys(target: SnapshotTable) -> None:
+    """After a load: every key stands once; only the key columns are read."""
+    assert_unique(target.read().select(*target.table.keys), target.table.keys)
+
+
 def ingest_batch(spark: SparkSession, target: SnapshotTable, landing: str, **options: str) -> Commit:
-    """Merge all landing files there are, without a checkpoint: a backfill or a repair."""
+    """Merge all landing files there are, without a checkpoint: a backfill or a repair. Keys are checked after."""
     records = read_snapshots(spark, target.table, landing, **options)
-    return target.upsert(parse(target.table, records))
+    commit = target.upsert(parse(target.table, records))
+    check_keys(target)
+    return commit
 
 
 def ingest_available(
@@ -47,7 +55,7 @@ def ingest_available(
     files_per_batch: int | None = FILES_PER_BATCH,
     **options: str,
 ) -> StreamingQuery:
-    """Merge all files that have arrived under ``landing`` since the last call, then stop.
+    """Merge all files that have arrived under ``landing`` since the last call, check the keys, then stop.
 
     ``checkpoint`` belongs to this table alone. ``files_per_batch`` bounds a micro-batch (None: all files
     that have arrived are one); ``options`` go to the JSON reader.
@@ -61,4 +69,5 @@ def ingest_available(
         .start()
     )
     query.awaitTermination()
+    check_keys(target)
     return query

@@ -324,3 +324,35 @@ def struct_flatten(spark, sf_dir):
     flat = N.flatten_struct(players)
     years = F.col("`experience.years`").cast("bigint").alias("experience.years")
     return flat.select("id", years, "`birthPlace.city`", "`hand.type`")
+
+
+_LINE = "STRUCT<number: BIGINT, part: STRING, stats: ARRAY<STRUCT<name: STRING, value: STRING, displayValue: STRING>>>"
+
+
+@query("order_lines_nested", """
+    SELECT CAST(l_orderkey AS VARCHAR) AS order_id, CAST(l_linenumber AS BIGINT) AS number, CAST(l_partkey AS VARCHAR) AS part,
+        CAST(l_quantity AS BIGINT) AS quantity, CASE WHEN l_linenumber % 2 = 0 THEN l_returnflag END AS returned
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+""")
+def order_lines_nested(spark, sf_dir):
+    """Orders with their lines as JSON, nested by a shuffle on the order, parsed and unnested again.
+
+    Arrays are of uneven length, and every second line lacks a stat.
+    """
+    lines = landing.table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey", """struct(bigint(l_linenumber) AS number, string(l_partkey) AS part, array_compact(array(
+            struct('quantity' AS name, string(bigint(l_quantity)) AS value, string(l_quantity) AS displayValue),
+            if(l_linenumber % 2 = 0, struct('returned' AS name, l_returnflag AS value, l_returnflag AS displayValue), NULL))) AS stats) AS line"""
+    )
+    nested = lines.groupBy("l_orderkey").agg(F.sort_array(F.collect_list("line")).alias("lines"))
+    orders = landing.table(spark, sf_dir, "orders").select("o_orderkey")
+    payload = nested.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(
+        F.to_json(F.struct(F.col("o_orderkey").cast("string").alias("id"), "lines")).alias("payload")
+    )
+    parsed_ = payload.select(F.from_json("payload", f"id STRING, lines ARRAY<{_LINE}>").alias("o"))
+    each = N.unnest(parsed_.select("o.id", "o.lines"), "lines", "l")
+    return each.select(
+        F.col("id").alias("order_id"), "l.number", "l.part",
+        N.named_value("l.stats", "quantity", "value").cast("bigint").alias("quantity"),
+        N.named_value("l.stats", "returned", "value").alias("returned"),
+    )

@@ -7,6 +7,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
+from snaplake.functions.scalars import excerpt
 from snaplake.plans import search as S
 from snaplake.plans.query import guarded_sql, run_query
 from snaplake.session import work_dir
@@ -95,6 +96,43 @@ def table_views(spark, sf_dir):
     return result
 
 
+@query("table_list", " UNION ALL ".join(f"SELECT '{name}' AS name, (SELECT count(*) FROM {name}) > 0 AS filled" for name in landing.TABLES))
+def table_list(spark, sf_dir):
+    """The listing, and whether each listed path has rows."""
+    catalog = _catalog(spark, sf_dir, *landing.TABLES)
+    filled = None
+    for row in catalog.list_tables().collect():  # one row per table
+        one = catalog.spark.read.parquet(row["path"]).limit(1).agg(F.count(F.lit(1)) > 0)
+        one = one.toDF("filled").select(F.lit(row["table"]).alias("name"), "filled")
+        filled = one if filled is None else filled.unionByName(one)
+    return filled
+
+
+@query("table_columns", " UNION ALL ".join(
+    f"SELECT '{name}' AS table_name, column_name, CAST(sum(n) AS BIGINT) AS filled FROM ("
+    f"UNPIVOT (SELECT CAST(count(COLUMNS(*)) AS BIGINT) FROM {name}) ON COLUMNS(*) INTO NAME column_name VALUE n)"
+    f" GROUP BY column_name"
+    for name in landing.TABLES
+))
+def table_columns(spark, sf_dir):
+    """The columns each table is described with, and how many values each has."""
+    catalog = _catalog(spark, sf_dir, *landing.TABLES)
+    result = None
+    for name in catalog.names:
+        columns = [c["name"] for c in catalog.describe_table(name)["columns"]]
+        counted = catalog.table(name).agg(*(F.count(f"`{c}`").alias(c) for c in columns))
+        pairs = F.array(*(F.struct(F.lit(c).alias("column_name"), F.col(f"`{c}`").alias("filled")) for c in columns))
+        one = counted.select(F.inline(pairs)).select(F.lit(name).alias("table_name"), "column_name", "filled")
+        result = one if result is None else result.unionByName(one)
+    return result
+
+
+@query("excerpts", "SELECT doc_id, substr(text, 1, 100) AS excerpt FROM documents")
+def excerpts(spark, sf_dir):
+    """What a report shows of a text: its first 100 characters (the cut is the feature)."""
+    return landing.table(spark, sf_dir, "documents").select("doc_id", excerpt("text").alias("excerpt"))
+
+
 @query("table_refresh", f"""
     SELECT 'before' AS moment, CAST(count(*) AS BIGINT) AS n, CAST(sum(event_id) AS BIGINT) AS id_sum
     FROM ({_newest_sql("event_type IN ('click', 'signup', 'view')")})

@@ -20,7 +20,7 @@ from snaplake.session import work_dir
 from snaplake.sources.snapshots import write_landing
 from snaplake.sources.target import SnapshotTable
 from snaplake.spec import COUNT, RATE, TEXT, Table, col, key
-from snaplake.streaming.ingest import ingest_available
+from snaplake.streaming.ingest import ingest_available, ingest_batch
 from snaplake.tables import TABLES
 from snaplake.workload import landing
 from snaplake.workload.parsing import GAMES_SQL, landed, parsed
@@ -266,6 +266,27 @@ def key_uniqueness(spark, sf_dir):
     return result
 
 
+@query("load_uniqueness", "SELECT count(*) AS row_count, count(DISTINCT event_id) AS key_count FROM events")
+def load_uniqueness(spark, sf_dir):
+    """Rows against keys of a table that was just loaded; the load itself fails if they differ."""
+    root = work_dir(spark, "load")
+    events = landing.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value", "props")
+    write_landing(events, f"{root}/landing/{EVENT_LOG.prefix}", records_per_file=1_000_000)
+    target = SnapshotTable(spark, f"{root}/table", EVENT_LOG)
+    ingest_batch(spark, target, f"{root}/landing", multiLine="false")
+    return key_counts(target.read(), EVENT_LOG.keys)
+
+
+@query("latest_line_per_part", """
+    SELECT l_partkey, l_orderkey, l_linenumber, l_quantity FROM lineitem
+    QUALIFY row_number() OVER (
+        PARTITION BY l_partkey ORDER BY l_shipdate DESC, l_orderkey DESC, l_linenumber DESC, l_quantity DESC) = 1
+""")
+def latest_line_per_part(spark, sf_dir):
+    lines = landing.table(spark, sf_dir, "lineitem").select("l_partkey", "l_shipdate", "l_orderkey", "l_linenumber", "l_quantity")
+    return latest_rows(lines, ["l_partkey"], "l_shipdate", "l_orderkey", "l_linenumber").drop("l_shipdate")
+
+
 @query("null_keys_counted", """
     SELECT count(*) AS row_count, count(CASE WHEN event_type <> 'error' THEN event_id END) AS key_count FROM events
 """)

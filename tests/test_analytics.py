@@ -1,3 +1,4 @@
+import json
 from datetime import datetime, timezone
 
 import pytest
@@ -81,6 +82,7 @@ GRADES = [
     ("numeric", None, "46", False, "wrong_value"), ("numeric", "-9", "-9.5", True, None),
     ("exact_string", "DEN", "It was **den**.", True, None), ("exact_string", " SF ", "__S_F__", True, None),
     ("exact_string", "KC", "Denver", False, "wrong_value"), ("exact_string", "a_b", "a_b", False, "wrong_value"),
+    ("numeric", "n/a", "0", False, "grade_error"), ("numeric", "12 wins", "12", False, "grade_error"),
     ("exact_string", None, "  ", True, None), ("exact_string", None, "x", False, "wrong_value"),
     ("refusal", None, "I don't have that", True, None), ("refusal", None, "Sure: 12", False, "bad_refusal"),
     ("essay", "x", "x", False, "unknown_match_type"), ("numeric", None, None, False, "crash"),
@@ -110,3 +112,34 @@ def test_verdicts_and_reports(spark):
     assert {tuple(r) for r in C.by_failure(judged).collect()} == {("crash", 2), ("wrong_value", 1)}
     before, after = C.by_category(judged.filter("category = 'c1'")), C.by_category(judged.filter("category = 'c2'"))
     assert {tuple(r) for r in C.compare(before, after).collect()} == {("c1", 1, 0, -1), ("c2", 0, 0, 0)}
+
+
+# What the stored results of four runs add up to: category, questions, correct ones in each run (fixed values).
+STORED = (
+    ("single_table_lookup", 3, (0, 0, 3, 3)),
+    ("standings", 5, (1, 1, 4, 5)),
+    ("game_results", 4, (2, 3, 0, 3)),
+    ("player_aggregate", 5, (0, 0, 3, 3)),
+    ("team_aggregate", 3, (0, 0, 1, 1)),
+    ("schema_trap", 4, (0, 0, 1, 0)),
+    ("injury_news", 1, (0, 0, 0, 0)),
+    ("refusal", 3, (1, 1, 2, 0)),
+)
+
+
+def test_roll_up_of_stored_results(spark, tmp_path):
+    runs = ("baseline", "fixed", "fixed_v2", "baseline_rerun")
+    for k, label in enumerate(runs):
+        questions = []
+        for category, n, good in STORED:
+            for i in range(n):
+                bad = {"correct": False, "failure": "wrong_value", "answer": "x"}
+                verdicts = [{"correct": True, "failure": None}] + ([] if i < good[k] else [bad, {"correct": False, "failure": "crash"}, bad])
+                questions.append({"id": f"{category}-{i}", "category": category, "expected": i, "verdicts": verdicts})
+        questions.append({"id": "unasked", "category": "none", "verdicts": []})
+        (tmp_path / f"{label}.json").write_text(json.dumps({"label": label, "total": 0, "questions": questions}, indent=2))
+    judged = C.stored_verdicts(spark, str(tmp_path))
+    got = {(r["label"], r["category"]): (r["total"], r["correct"]) for r in C.by_category(judged, "label").collect()}
+    want = {(label, category): (n, good[k]) for k, label in enumerate(runs) for category, n, good in STORED}
+    assert got == want | {(label, "none"): (1, 1) for label in runs}
+    assert {r["failure"] for r in C.by_failure(judged).collect()} == {"wrong_value"}

@@ -231,6 +231,12 @@ def test_latest_first_and_top_n_against_brute_force(spark):
         assert got == want
 
 
+def test_latest_carries_maps(spark):
+    df = spark.sql("SELECT 1 AS k, 1 AS s, map('a', 1, 'b', 2) AS m UNION ALL SELECT 1, 2, NULL UNION ALL SELECT 2, 1, map('c', 3)")
+    assert {r.k: r.m for r in latest_rows(df, ["k"], "s").collect()} == {1: None, 2: {"c": 3}}
+    assert {r.k: r.m for r in first_rows(df, ["k"], "s").collect()} == {1: {"a": 1, "b": 2}, 2: {"c": 3}}
+
+
 def test_latest_combines_before_the_shuffle_and_takes_key_filters(spark, tmp_path):
     spark.range(100).selectExpr("id % 7 AS team_id", "id", "id AS f").write.parquet(str(tmp_path / "x"))
     df = spark.read.parquet(str(tmp_path / "x"))
