@@ -8,6 +8,7 @@ drops contaminated rows. The last stage packs what is left into sequences.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from snaplake.llm import decontaminate, packing, quality, repeats, simhash
 from snaplake.llm.store import importable, stored
@@ -25,8 +26,9 @@ def unlike(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def unrepeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows; strings of 200 bytes that stand twice are cut out of every text."""
-    return repeats.remove_repeats(docs)
+    """All rows; strings of 200 bytes that stand twice are cut out of every text, and n_chars follows."""
+    cut = repeats.remove_repeats(docs)
+    return cut.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), "n_chars"))
 
 
 def uncontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

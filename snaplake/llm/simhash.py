@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snaplake.llm.store import stored
-from snaplake.llm.text import LOWER, Texts, blank, blocks
+from snaplake.llm.text import LOWER, Texts, blank, blocks, mix, spread
 
 SHINGLE = 3
 RADIUS = 3
@@ -34,6 +34,8 @@ SEED = 42
 #: The top trees are fitted on at most so many fingerprints; what they cut holds for all.
 SAMPLE = 1 << 14
 SHARD = 1 << 13
+#: A shard of more rows than this (prints so close together that no tree cuts them) is compared in blocks of it.
+LARGEST = 1 << 17
 LEAF = 256
 COMPARE = 1 << 22
 
@@ -201,14 +203,29 @@ def links(nodes: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard: i
     leaf = max(8, shard * len(fitted) // max(size, 1))
     tops = spark.sparkContext.broadcast([Top(fitted >> shift & mask, leaf, reach) for shift, mask in _HALVES])
 
-    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = batch.column(0).to_numpy()
-            for tree, (shift, mask) in enumerate(_HALVES):
-                row, place, home = tops.value[tree].route(found.view(np.uint64) >> shift & mask)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(row), tree)), pa.array(place), pa.array(found[row]), pa.array(home)], names=["tree", "shard", "fingerprint", "home"]
-                )
+    def route(parts: dict[tuple[int, int], int]):
+        """``parts`` has the shards to be compared in so many parts, each part at home against each part visiting."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                found = batch.column(0).to_numpy()
+                for tree, (shift, mask) in enumerate(_HALVES):
+                    row, place, home = tops.value[tree].route(found.view(np.uint64) >> shift & mask)
+                    n = np.array([parts.get((tree, k), 1) for k in range(tops.value[tree].shards)])[place]
+                    own = (mix(found[row].view(np.uint64)) % n.astype(np.uint64)).astype(np.int64)
+                    again, other = spread(n)
+                    row, place, home, own = row[again], place[again], home[again], own[again]
+                    at_home = home & (other == own)
+                    out = [(row, place, other * LARGEST + own, at_home)]  # visiting each part, at home in its own
+                    more = np.flatnonzero(home & (other != own))  # at home against the parts that visit
+                    out.append((row[more], place[more], own[more] * LARGEST + other[more], home[more]))
+                    for row_, place_, block, home_ in out:
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(row_), tree)), pa.array(place_), pa.array(block), pa.array(found[row_]), pa.array(home_)],
+                            names=["tree", "shard", "block", "fingerprint", "home"],
+                        )
+
+        return run
 
     def search(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         shift, mask = _HALVES[key[0]]
@@ -217,8 +234,12 @@ def links(nodes: DataFrame, radius: int = RADIUS, sample: int = SAMPLE, shard: i
         edges = np.array(shard_links(whole >> shift & mask, whole, rows["home"].to_numpy(bool), radius, reach), np.int64).reshape(-1, 2)
         return pd.DataFrame({"a": found[edges[:, 0]], "b": found[edges[:, 1]]})
 
-    routed = nodes.select("fingerprint").mapInArrow(route, "tree long, shard long, fingerprint long, home boolean")
-    return routed.groupBy("tree", "shard").applyInPandas(search, "a long, b long")
+    def routed(parts: dict[tuple[int, int], int]) -> DataFrame:
+        return nodes.select("fingerprint").mapInArrow(route(parts), "tree long, shard long, block long, fingerprint long, home boolean")
+
+    sizes = routed({}).groupBy("tree", "shard").agg(F.count("*").alias("n")).where(F.col("n") > LARGEST)
+    parts = {(r.tree, r.shard): -(-r.n // LARGEST) for r in sizes.collect()}  # at most as many as the sample has shards
+    return routed(parts).groupBy("tree", "shard", "block").applyInPandas(search, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:

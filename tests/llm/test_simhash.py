@@ -24,12 +24,13 @@ def labels(prints, radius=3):
         label = new
 
 
-def test_groups_equal_brute_force(make_docs, small_rows):
+def test_groups_equal_brute_force(make_docs, small_rows, monkeypatch):
     rows = sorted(small_rows, key=lambda r: (r[0] is None, r[0] or 0))
     prints = np.array([print_of(t) for _, t in rows], np.uint64)
     label = labels(prints)
     want = sorted(((i, f"{p:016x}", rows[k][0]) for (i, _), p, k in zip(rows, prints.tolist(), label, strict=True)), key=repr)
-    for shard in (sh.SHARD, 8):
+    for shard, largest in ((sh.SHARD, sh.LARGEST), (8, sh.LARGEST), (30, 7)):
+        monkeypatch.setattr(sh, "LARGEST", largest)
         got = sh.near_duplicates(make_docs(small_rows, extra=True), shard=shard).collect()
         assert sorted((tuple(r) for r in got), key=repr) == want
 
