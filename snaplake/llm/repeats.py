@@ -76,8 +76,8 @@ def _anchors(part: Texts, length: int, gram: int):
     return text, first, last, anchor, grams[anchor], whole
 
 
-#: Groups of more members than this are settled string by string instead of in one task.
-HOT = 2000
+#: Groups with more open members than this are settled string by string instead of in one task.
+HOT = 1 << 15
 
 
 def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -105,15 +105,21 @@ def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def settle(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of all anchors: (row, place) whose strings are all repeats; (row, place, gram, hot) still open."""
+    """Of all anchors: (row, place) whose strings are all repeats; (row, place, gram, hot) still open.
+
+    Counts are stored before they are joined back: with plain exchanges on both sides Spark can split a hot key.
+    """
     groups = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most"))
-    groups = groups.where("n > 1").select("gram", (F.col("least") == F.col("most")).alias("one"), (F.col("n") > HOT).alias("hot"))
+    groups = stored(groups.where("n > 1").select("gram", (F.col("least") == F.col("most")).alias("one")), "groups")
     repeated = stored(found.join(groups, "gram"), "repeated")
     mixed = repeated.where("NOT one")
     classes = mixed.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("member"))
+    classes = stored(classes, "classes")
     judged = mixed.join(classes, ["gram", "whole"])
     settled = repeated.where("one").select("row", "place").union(judged.where("n > 1").select("row", "place"))
-    return settled, judged.where(F.struct("row", "place") == F.col("member")).select("row", "place", "gram", "hot")
+    still = classes.select("gram", "member.row", "member.place")
+    large = still.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("gram", F.lit(True).alias("hot"))
+    return settled, still.join(large, "gram", "left").select("row", "place", "gram", F.coalesce("hot", F.lit(False)).alias("hot"))
 
 
 def _open_contexts(length: int):
@@ -208,7 +214,7 @@ def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     cold = opened.where("bytes IS NOT NULL").select("key", "row", "first", "last", "bytes")
     cold = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_settle_groups(length), "row long, first long, last long")
     hot = opened.where("bytes IS NULL")
-    twice = hot.groupBy("key", "other").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    twice = stored(hot.groupBy("key", "other").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "strings")
     hot = hot.join(twice, ["key", "other"]).select("row", "first", "last")
     first = F.shiftright("place", 24)
     settled = settled.select("row", first.alias("first"), (first + F.shiftright("place", 12).bitwiseAND(0xFFF)).alias("last"))
