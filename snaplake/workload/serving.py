@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from dataclasses import replace
 
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from snaplake.functions.scalars import excerpt
 from snaplake.plans import search as S
 from snaplake.plans.query import guarded_sql, run_query
+from snaplake.plans.service import QueryService, load_catalog
 from snaplake.session import work_dir
 from snaplake.sources.catalog import Catalog, ensure_table, profile
 from snaplake.sources.target import SnapshotTable
@@ -270,6 +272,39 @@ def search_team_name(spark, sf_dir):
     return S.matching_news(_news(spark, sf_dir), team="00001", days=3, now=_now(), teams=teams).select("id")
 
 
+@query("search_service", f"""
+    SELECT title, player_id, team_id, link FROM ({NEWS_SQL}) n WHERE team_id IN (
+        SELECT concat('SRC', s_suppkey) FROM supplier WHERE s_name ILIKE '%0000%') {_ORDER_SQL} LIMIT 20
+""")
+def search_service(spark, sf_dir):
+    """The search of the query service by a part of the team's name, over a configured catalog (its cap is the feature)."""
+    root = work_dir(spark, "service")
+    _news(spark, sf_dir).write.parquet(f"{root}/news")
+    teams = silver(spark, sf_dir, "teams").withColumn("abbreviation", F.concat(F.lit("SRC"), "team_id"))
+    teams.write.parquet(f"{root}/teams")
+    config = json.dumps({"tables": {"injury_news": f"{root}/news", "teams": f"{root}/teams"}})
+    found = QueryService(load_catalog(spark, config)).search_news(team="0000", days=100_000, limit=20)["results"]
+    kinds = "title STRING, player_id BIGINT, team_id STRING, link STRING"
+    return spark.createDataFrame([tuple(r[c.split()[0]] for c in kinds.split(", ")) for r in found], kinds)
+
+
+@query("service_alias", """
+    SELECT l_returnflag, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT u.event_id) AS BIGINT) AS newest
+    FROM lineitem JOIN (
+        SELECT user_id, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
+    ) u ON l_suppkey = u.user_id GROUP BY l_returnflag
+""")
+def service_alias(spark, sf_dir):
+    """A merged table and a parquet table under configured names, joined by SQL of the service's guard."""
+    target = SnapshotTable(spark, work_dir(spark, "alias"), USER_STATE)
+    target.upsert(_states(spark, sf_dir))
+    config = json.dumps({"tables": {"people": target.path, "parts_sold": f"{sf_dir}/lineitem.parquet"}})
+    return guarded_sql(load_catalog(spark, config), """
+        SELECT l_returnflag, count(*) AS n, count(DISTINCT event_id) AS newest
+        FROM parts_sold JOIN people ON l_suppkey = user_id GROUP BY l_returnflag
+    """)
+
+
 @query("recent_first", f"{_RESULT_SQL} FROM ({NEWS_SQL}) n WHERE {_SINCE_SQL} {_ORDER_SQL} LIMIT 1")
 def recent_first(spark, sf_dir):
     """No filter: the newest article; a limit below 1 means 1."""
