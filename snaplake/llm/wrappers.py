@@ -6,7 +6,8 @@ side has becomes an optional part, what stands several times in a row becomes a
 elements or groups of up to four), and differing text becomes a slot. Wrappers are merged inside each
 task first, then in salted groups of a host, then by host, so a host with a third of all pages arrives
 as few small rows. In the finished wrapper the slots of the article are told from menus, notices and the
-rest once per host, by the tags, names and share of link text of its parts; pages are read with that.
+rest once per host, by the tags, names and share of link text of its parts, and text that is the same on
+every page is part of the template, no slot; pages are read with that.
 
 Edge cases: null or empty html gives the empty text; a null url belongs to the host "", like a url without
 one; a page without the wrapper's article (cut off, or of another kind) is read by its own wrapper.
@@ -30,6 +31,8 @@ from snaplake.llm.store import stored
 SALTS = 16
 HELD_HOSTS = 2000
 LINK_SHARE = 0.6
+#: Text that is the same wherever it stands belongs to the template if it stands on so many pages.
+TEMPLATE_PAGES = 5
 
 INLINE = frozenset(
     ("a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q",
@@ -48,6 +51,7 @@ WORDS_OUT = frozenset(
      "notice", "notices", "pagination", "pager", "popup", "promo", "promotion", "recommended", "related", "replies", "reply", "respond", "share",
      "sharing", "sidebar", "social", "sponsor", "sponsored", "subscribe", "toolbar", "widget", "widgets")
 )
+HEADERS = frozenset(("header", "masthead"))
 KEPT_WHATEVER_NAME = frozenset(("html", "body", "main", "article"))
 
 _TOKEN = re.compile(
@@ -61,15 +65,18 @@ _WORD = re.compile(r"[a-z]+")
 OPEN, CLOSE, TEXT, BREAK = range(4)
 
 
-def _signature(name: str, attributes: str) -> tuple[str, bool]:
-    """How the wrapper names an element (tag, class, id and role without digits), and whether it is out by name."""
-    out = name in TAGS_OUT
+def _signature(name: str, attributes: str, within: bool) -> tuple[str, bool]:
+    """How the wrapper names an element (tag, class, id and role without digits), and whether it is out by name.
+
+    ``within`` tells that it stands in an article, where a header holds the headline.
+    """
+    out = name in TAGS_OUT or name == "header" and not within
     if not attributes or "=" not in attributes and "hidden" not in attributes:
         return name, out
     found = {k.lower(): v.strip("\"'").lower() for k, v in _ATTRIBUTE.findall(attributes)}
     words = set(_WORD.findall(f"{found.get('class', '')} {found.get('id', '')}"))
     if name not in KEPT_WHATEVER_NAME:
-        out |= bool(words & WORDS_OUT)
+        out |= bool(words & WORDS_OUT - HEADERS if within else words & WORDS_OUT)
     elif name == "article":
         out |= "comment" in words
     out |= found.get("role") in ROLES_OUT or "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
@@ -107,8 +114,7 @@ def events(page: str) -> Iterator[tuple]:
         for _ in range(ended):
             stack.pop()
             yield (CLOSE,)
-        sign, out = _signature(name, m[4])
-        yield OPEN, sign, out or name == "header" and "article" not in stack and "main" not in stack
+        yield OPEN, *_signature(name, m[4], "article" in stack or "main" in stack)
         stack.append(name)
     if at < len(page):
         yield TEXT, page[at:], links > 0
@@ -128,7 +134,8 @@ def _ended_by(name: str, stack: list[str]) -> int:
 
 
 # A part of a wrapper: [signature, optional, repeated, pages, characters, characters in links, out, parts];
-# "#" is a text slot, a signature in parentheses a group of neighbours that repeats together.
+# "#" is a text slot, whose parts are its text as long as that is the same everywhere, else nothing; a
+# signature in parentheses is a group of neighbours that repeats together.
 SIGN, OPTIONAL, REPEATED, PAGES, CHARS, LINKED, OUT, PARTS = range(8)
 
 
@@ -148,6 +155,7 @@ def page_wrapper(page: str) -> list:
             parts = stack[-1][PARTS]
             if not parts or parts[-1][SIGN] != "#":
                 parts.append(["#", 0, 0, 1, 0, 0, 0, []])
+            parts[-1][PARTS].append(event[1].strip()[:200])
             parts[-1][CHARS] += n
             parts[-1][LINKED] += n if event[2] else 0
     root[PARTS] = fold(root[PARTS])
@@ -157,6 +165,8 @@ def page_wrapper(page: str) -> list:
 def merge(a: list, b: list) -> list:
     """One part for two of the same signature."""
     sums = [a[i] + b[i] for i in (PAGES, CHARS, LINKED)]
+    if a[SIGN] == "#":
+        return ["#", a[OPTIONAL] | b[OPTIONAL], 0, *sums, 0, a[PARTS] if a[PARTS] == b[PARTS] else []]
     return [a[SIGN], a[OPTIONAL] | b[OPTIONAL], a[REPEATED] | b[REPEATED], *sums, a[OUT] | b[OUT], align(a[PARTS], b[PARTS])]
 
 
@@ -243,7 +253,7 @@ def choose(wrapper: list) -> dict:
 
     def mass(part: list) -> tuple[int, int]:
         chars, linked = part[CHARS], part[LINKED]
-        for p in part[PARTS]:
+        for p in part[PARTS] if part[SIGN] != "#" else ():
             if not p[OUT]:
                 c, k = mass(p)
                 chars, linked = chars + c, linked + k
@@ -265,6 +275,10 @@ def choose(wrapper: list) -> dict:
                 yield from walk(p, here)
 
     found = list(walk(wrapper, ""))
+    told: dict[str, bool] = {}  # whether all there is at a path is text of the template
+    for p, path in found:
+        fixed = bool(p[PARTS]) and all(s[SIGN] == "#" and s[PARTS] and s[PAGES] >= TEMPLATE_PAGES for s in p[PARTS])
+        told[path] = told.get(path, True) and fixed and not p[REPEATED]
     tag = lambda part: part[SIGN].split(" ")[0]
     named = [(p, path) for p, path in found if tag(p) == "article"] or [(p, path) for p, path in found if tag(p) == "main" or p[SIGN].endswith(" main")]
     main = [path for part, path in named if mass(part)[0]]
@@ -276,6 +290,11 @@ def choose(wrapper: list) -> dict:
             inside = [(p, path) for p, path in inside if tag(p) in ("div", "section", "main", "td", "table", "tbody", "tr", "center")]
             total = mass(here[0])[0]
             here = next(((p, path) for p, path in inside if mass(p)[0] > 0.5 * total), None)
+    mine = {path for path in told if any(path == m or path.startswith(m + ">") for m in main)}
+    texts = {path for p, path in found if path in mine and any(s[SIGN] == "#" for s in p[PARTS])}
+    template = {path for path in mine if told[path]}
+    if texts - template:  # else the pages are copies of each other, and all of it is the article
+        outside += sorted(template)
     return {"main": main, "out": outside}
 
 

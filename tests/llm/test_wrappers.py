@@ -24,7 +24,7 @@ def test_sequences_align_to_optional_and_repeated_parts():
 
 def test_article_by_inference(workers):
     body = ["<p>One<br>two <i>th</i>ree" + " words" * 30, "<p>a &lt; b&nbsp;c</p><ul><li>item</ul>", "<blockquote><p>q</p></blockquote>"]
-    rows = [(i, f"https://Host.example/{i}", LAYOUT % (i, "".join(body[: 1 + i % 3]))) for i in range(9)]
+    rows = [(i, f"https://Host.example/{i}", LAYOUT % (i, "".join(body[: 1 + i % 3]).replace("item", f"item {i}"))) for i in range(9)]
     rows += [(90, None, None), (91, "https://Host.example/e", ""), (92, "no url", "plain text"), (93, "https://host.example/odd", "<article>own")]
     rows += [(94, "https://host.example/cut", rows[0][2][:-300]), rows[0]]
     pages = workers.createDataFrame([(*r, "c", "h") for r in rows], "page_id long, url string, html string, chosen string, host string")
@@ -32,13 +32,23 @@ def test_article_by_inference(workers):
     for r in w.extract(pages).collect():
         assert r.n_chars == len(r.text)
         assert got.setdefault(r.page_id, r.text) == r.text
-    one, two, three = "One two three" + " words" * 30, "a < b c item", "q"
+    one, three = "One two three" + " words" * 30, "q"
     for i in range(9):
-        assert got[i] == " ".join([f"T{i} & more", one, two, three][: 2 + i % 3])
+        assert got[i] == " ".join([f"T{i} & more", one, f"a < b c item {i}", three][: 2 + i % 3])
     assert got[90] == got[91] == "" and got[93] == "own" and got[94].startswith("T0 & more One")
     assert w.extract(pages.limit(0)).count() == 0
 
 
+def test_text_of_every_page_is_template(workers):
+    page = "<body><div id=a><p class=lead>%s</p><p>%s and some more of it</p><p class=end>Write to us at any time</p></div></body>"
+    rows = [(i, "https://one.example/", page % (f"lead {i // 2}", f"text {i}")) for i in range(6)]
+    rows += [(10 + i, f"https://{'few' if i < 3 else 'copies'}.example/", page % ("same", "same")) for i in range(9)]
+    got = {r.page_id: r.text for r in w.extract(workers.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"lead {i // 2} text {i} and some more of it" for i in range(6)} | {
+        10 + i: "same same and some more of it Write to us at any time" for i in range(9)
+    }
+
+
 def test_given_pages_equal_a_plain_reading(workers):
     pages = workers.read.parquet(f"{SF}/pages.parquet")
 
