@@ -91,4 +91,6 @@ def at_latest_snapshot(df: DataFrame, owner: str, snapshot: str) -> DataFrame:
 
 
 def preview_latest(df: DataFrame, order: str, rows: int = 20) -> DataFrame:
-    return df.orderBy(F.col(order).desc()).limit(rows)
+    """The newest rows; of equally new ones those with the lesser content hash (maps left out of it)."""
+    content = (F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, MapType))
+    return df.orderBy(F.col(order).desc(), F.xxhash64(*content)).limit(rows)

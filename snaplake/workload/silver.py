@@ -24,7 +24,8 @@ def silver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     if place not in _WRITTEN or not Folder(spark, _WRITTEN[place]).names():
         path = work_dir(spark, f"silver-{name}")
         rows = dedupe_latest(parsed(spark, sf_dir, name), table)
-        rows.hint("rebalance", *table.partitions).write.partitionBy(*table.partitions).parquet(path)
+        rows = rows.hint("rebalance", *table.partitions).sortWithinPartitions(*table.partitions, *table.keys)
+        rows.write.partitionBy(*table.partitions).parquet(path)
         _WRITTEN[place] = path
     schema = StructType([StructField(f.name, f.dataType) for f in table.schema])
     return spark.read.schema(schema).parquet(_WRITTEN[place]).select(*table.columns)
