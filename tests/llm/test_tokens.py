@@ -18,6 +18,7 @@ WORD = public_tokenizers.path("word_bpe_49k.json")
 def texts(small_rows):
     rnd = random.Random(2)
     letters = "ab1'.,!sé ́tdveIİ…日\n<|    ß"
+    letters += "\u00a0\u2003\x85\x1c\u0301\u0345\u03a3AK"
     return [t for _, t in small_rows] + ["".join(rnd.choice(letters) for _ in range(60)) for _ in range(1500)] + ["a" * 999, "=" * 500]
 
 
