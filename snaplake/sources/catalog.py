@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DataType, MapType, NumericType, StringType
+from pyspark.sql.types import DataType, MapType, NumericType, StringType, StructType
 
 from snaplake.session import prepare
 from snaplake.sources.files import Folder
@@ -33,6 +34,7 @@ class Catalog:
         self.spark = prepare(spark.newSession())
         self._sources = dict(sources)
         self._shown: dict[str, int] = {}
+        self._schemas: dict[str, tuple[tuple, StructType]] = {}
         self.refresh()
 
     @property
@@ -42,12 +44,22 @@ class Catalog:
     def refresh(self) -> list[str]:
         """Point each view at what there is now; returns the names of the merged tables that moved.
 
-        Parquet sources have no version: their files are listed anew.
+        Parquet sources have no version: their files are listed anew, their schema is read again if the
+        folder itself has changed.
         """
+        return self._refresh(self._sources)
+
+    def _refresh(self, names: Iterable[str]) -> list[str]:
         moved = []
-        for name, source in self._sources.items():
+        for name in names:
+            source = self._sources[name]
             if not isinstance(source, SnapshotTable):
-                self.spark.read.parquet(source).createOrReplaceTempView(name)
+                stamp = Folder(self.spark, source).stamp()
+                known = self._schemas.get(name)
+                reader = self.spark.read.schema(known[1]) if known and known[0] == stamp else self.spark.read
+                df = reader.parquet(source)
+                df.createOrReplaceTempView(name)
+                self._schemas[name] = (stamp, df.schema)
                 self._shown[name] = 0
                 continue
             version = source.version()
@@ -76,7 +88,7 @@ class Catalog:
 
     def describe_table(self, name: str) -> dict:
         source = self._source(name)
-        self.refresh()
+        self._refresh([name])
         df = self.table(name)
         held = source if isinstance(source, SnapshotTable) else None
         return {
