@@ -11,8 +11,9 @@ significant first:
    stays in the game for the others.
 3. what is left, the edges of repeated passages: each single string. Equal groups are exactly the repeats.
 
-Groups are counted with map-side combination and joined back, so neither a passage that a third of all
-texts hold nor a group of many copies meets in one task. Digits are compared by 64-bit hashes, together
+Places of a text with the same two digits (a line it repeats) are one row from the start. Groups are counted
+with map-side combination and joined back, so neither a passage that a third of all texts hold nor a group
+of many copies meets in one task. Digits are compared by 64-bit hashes, together
 128 bits and more. What is removed is the union of the repeated strings, judged on the input.
 
 Edge cases: null is the empty text (null stays null in ``remove_repeats``); texts shorter than ``length``
@@ -84,8 +85,20 @@ def _keyed(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text")).withColumn("row", F.xxhash64("id", "text"))
 
 
+def _by_class(text: np.ndarray, gram: np.ndarray, whole: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, pa.ListArray]:
+    """The first anchor of each text, gram and whole, and the places of the others (null without any)."""
+    key = mix(gram ^ whole * np.uint64(0x9E3779B97F4A7C15) ^ text.astype(np.uint64) * np.uint64(0xD1342543DE82EF95))
+    order = np.argsort(key, kind="stable")
+    begin = np.concatenate(([True], key[order][1:] != key[order][:-1]))[: len(order)]
+    starts = np.flatnonzero(begin)
+    others = np.diff(np.append(starts, len(order))) - 1
+    offsets = pa.array(np.concatenate(([0], np.cumsum(others))), pa.int32())
+    return order[starts], pa.ListArray.from_arrays(offsets, pa.array(place[order[~begin]]), mask=pa.array(others == 0))
+
+
 def anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
-    """(row, place, gram, whole) of every anchor; place packs first start, last start and anchor."""
+    """(row, place, more, gram, whole) of all anchors; a place packs first start, last start and anchor."""
+    names = ["row", "place", "more", "gram", "whole"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,10 +106,11 @@ def anchors(keyed: DataFrame, length: int, gram: int) -> DataFrame:
             for part in blocks(batch.column(0), limit=1 << 18):
                 text, first, last, anchor, gram_hash, whole = _anchors(part, length, gram)
                 place = (first - part.starts[text]) << 24 | (last - first) << 12 | (anchor - first)
-                made = (row[part.first + text], place, gram_hash.view(np.int64), whole.view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in made], names=["row", "place", "gram", "whole"])
+                one, more = _by_class(text, gram_hash, whole, place)
+                made = (row[part.first + text[one]], place[one], more, gram_hash[one].view(np.int64), whole[one].view(np.int64))
+                yield pa.RecordBatch.from_arrays([x if x is more else pa.array(x) for x in made], names=names)
 
-    return keyed.select("text", "row").mapInArrow(run, "row long, place long, gram long, whole long")
+    return keyed.select("text", "row").mapInArrow(run, "row long, place long, more array<long>, gram long, whole long")
 
 
 def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -105,18 +119,20 @@ def _unpacked(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def settle(found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of all anchors: (row, place) whose strings are all repeats; (row, place, gram, hot) still open.
+    """Of all anchors: (row, places) whose strings are all repeats; (row, place, gram, hot) still open.
 
     Counts are stored before they are joined back: with plain exchanges on both sides Spark can split a hot key.
     """
-    groups = found.groupBy("gram").agg(F.count("*").alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most"))
+    times = F.sum(1 + F.coalesce(F.array_size("more"), F.lit(0)))
+    groups = found.groupBy("gram").agg(times.alias("n"), F.min("whole").alias("least"), F.max("whole").alias("most"))
     groups = stored(groups.where("n > 1").select("gram", (F.col("least") == F.col("most")).alias("one")), "groups")
     repeated = stored(found.join(groups, "gram"), "repeated")
     mixed = repeated.where("NOT one")
-    classes = mixed.groupBy("gram", "whole").agg(F.count("*").alias("n"), F.min(F.struct("row", "place")).alias("member"))
+    classes = mixed.groupBy("gram", "whole").agg(times.alias("n"), F.min(F.struct("row", "place")).alias("member"))
     classes = stored(classes, "classes")
-    judged = mixed.join(classes, ["gram", "whole"])
-    settled = repeated.where("one").select("row", "place").union(judged.where("n > 1").select("row", "place"))
+    several = mixed.join(classes.where("n > 1"), ["gram", "whole"])
+    places = F.concat(F.array("place"), F.coalesce("more", F.array().cast("array<bigint>"))).alias("places")
+    settled = repeated.where("one").select("row", places).union(several.select("row", places))
     still = classes.select("gram", "member.row", "member.place")
     large = still.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > HOT).select("gram", F.lit(True).alias("hot"))
     return settled, still.join(large, "gram", "left").select("row", "place", "gram", F.coalesce("hot", F.lit(False)).alias("hot"))
@@ -205,7 +221,7 @@ def _settle_groups(length: int):
 
 
 def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame:
-    """(row, runs): for each text with repeats, the first and last starts of its repeated strings."""
+    """(row, runs): for each text with repeats, places that hold the first and last starts of its repeated strings."""
     settled, still = settle(anchors(keyed, length, gram))
     places = still.groupBy("row").agg(F.collect_list(F.struct("place", "gram", "hot")).alias("places"))
     texts = keyed.join(places, "row").select("id", "text", "row", "places")
@@ -216,10 +232,9 @@ def spans(keyed: DataFrame, length: int = LENGTH, gram: int = GRAM) -> DataFrame
     hot = opened.where("bytes IS NULL")
     twice = stored(hot.groupBy("key", "other").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "strings")
     hot = hot.join(twice, ["key", "other"]).select("row", "first", "last")
-    first = F.shiftright("place", 24)
-    settled = settled.select("row", first.alias("first"), (first + F.shiftright("place", 12).bitwiseAND(0xFFF)).alias("last"))
-    runs_of = settled.union(cold).union(hot)
-    return runs_of.groupBy("row").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
+    place = F.shiftleft("first", 24).bitwiseOR(F.shiftleft(F.col("last") - F.col("first"), 12))
+    opened = cold.union(hot).select("row", F.array(place).alias("places"))
+    return settled.union(opened).groupBy("row").agg(F.flatten(F.collect_list("places")).alias("runs"))
 
 
 def _covered(part: Texts, first: np.ndarray, last: np.ndarray, at: np.ndarray, length: int) -> np.ndarray:
@@ -235,8 +250,8 @@ def _covered(part: Texts, first: np.ndarray, last: np.ndarray, at: np.ndarray, l
 def _runs_of(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """First starts, last starts and the offsets of each row's; a null list is empty."""
     at = np.concatenate(([0], np.cumsum(np.asarray(pc.fill_null(pc.list_value_length(column), 0), np.int64))))
-    flat = column.flatten()
-    return flat.field(0).to_numpy(), flat.field(1).to_numpy(), at
+    first, last, _ = _unpacked(column.flatten().to_numpy())
+    return first, last, at
 
 
 def report(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", length: int = LENGTH, gram: int = GRAM) -> DataFrame:
