@@ -31,7 +31,7 @@ from snaplake.llm.store import stored
 from snaplake.llm.text import BYTES, LOWER, Texts, blank, blocks, owner, runs
 
 ORDER = 5
-MODEL_ENTRIES = 1 << 24
+MODEL_ENTRIES = 1 << 23
 FREQUENT = 1 << 19
 END = 0xFF  # never a byte of UTF-8: the end of a text, and what stands before its start
 END_TOKEN = -1

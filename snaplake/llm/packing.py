@@ -57,7 +57,7 @@ class Encoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.ids, self.at = Known(1 << 20), np.zeros(0, np.uint32), np.zeros(1, np.int64)
+        self.known, self.ids, self.at = Known(1 << 19), np.zeros(0, np.uint32), np.zeros(1, np.int64)
 
     def _encode(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
