@@ -101,10 +101,11 @@ def fit(x: np.ndarray, labels: np.ndarray) -> Model:
         return Model(np.ones(WORDS + SHAPES, np.float32), np.zeros((WORDS + SHAPES, 1), np.float32), np.zeros((0, 1), np.float32), labels, 0.5)
     idf = np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))).astype(np.float32) + 1
     model = Model(idf, np.zeros((0, 0)), np.zeros((0, 0)), labels, float(labels.mean()))
-    weighted = model.weighted(x)
-    _, directions = np.linalg.eigh(weighted.T @ weighted)
+    parts = [x[i : i + ROWS] for i in range(0, len(x), ROWS)]  # block by block, so the driver holds the sample once
+    _, directions = np.linalg.eigh(sum(w.T @ w for w in map(model.weighted, parts)))
     projection = np.ascontiguousarray(directions[:, ::-1][:, :DIMENSIONS], np.float32)
-    return model._replace(projection=projection, vectors=_unit(weighted @ projection).astype(np.float32))
+    vectors = np.vstack([_unit(model.weighted(part) @ projection) for part in parts])
+    return model._replace(projection=projection, vectors=vectors.astype(np.float32))
 
 
 def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: str = "doc_id", text_column: str = "text",
@@ -127,7 +128,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_column: s
             yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary()), batch.column(1)], names=["x", "label"])
 
     found = texts.mapInArrow(run, "x binary, label int").toArrow()
-    x = np.frombuffer(b"".join(found["x"].to_pylist()), np.float32).reshape(-1, WORDS + SHAPES)
+    data = found["x"].combine_chunks().buffers()[2] if len(found) else b""
+    x = np.frombuffer(data, np.float32, len(found) * (WORDS + SHAPES)).reshape(-1, WORDS + SHAPES)
     return fit(x, found["label"].to_numpy())
 
 
