@@ -16,7 +16,7 @@ table gives no rows. Only the id and text columns are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -82,17 +82,19 @@ def _bit_counts(hashes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(bits, starts, axis=0, dtype=np.int64)
 
 
-def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """(id, fingerprint as a signed long) of every row."""
+def fingerprints(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE, more: Sequence[str] = ()) -> DataFrame:
+    """(id, fingerprint as a signed long) of every row, and its columns ``more``, which are longs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = [fingerprints_of(part, shingle) for part in blocks(batch.column(1), pad=1, limit=1 << 18)]
             found = np.concatenate(found) if found else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64))], names=["id", "fingerprint"])
+            columns = [batch.column(0), pa.array(found.view(np.int64)), *batch.columns[2:]]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "fingerprint", *more])
 
-    source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, fingerprint long")
+    source = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"), *more)
+    kind = source.schema["id"].dataType.simpleString()
+    return source.mapInArrow(run, ", ".join([f"id {kind}, fingerprint long", *(f"{c} long" for c in more)]))
 
 
 def distance(a: np.ndarray, b) -> np.ndarray:
@@ -260,14 +262,19 @@ def components(edges: DataFrame) -> DataFrame:
         forest = stored(small.select("e.a", "e.b").where("a <> b").distinct(), "edges")
 
 
+def _rooted(prints: DataFrame, least, radius: int, sample: int, shard: int) -> DataFrame:
+    """(fingerprint, least of its rows, root of its group) of every distinct fingerprint."""
+    nodes = stored(prints.groupBy("fingerprint").agg(F.min(least).alias("least")), "nodes")
+    roots = stored(components(links(nodes, radius, sample, shard)), "roots")
+    rooted = nodes.join(roots, nodes["fingerprint"] == roots["node"], "left")
+    return rooted.select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE,
                     radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
     """Per row: id, fingerprint (16 hex digits) and component_id, the least id of its group."""
     prints = stored(fingerprints(docs, id_column, text_column, shingle), "fingerprints")
-    nodes = stored(prints.groupBy("fingerprint").agg(F.min("id").alias("least")), "nodes")
-    roots = stored(components(links(nodes, radius, sample, shard)), "roots")
-    rooted = nodes.join(roots, nodes["fingerprint"] == roots["node"], "left")
-    rooted = rooted.select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
+    rooted = _rooted(prints, F.col("id"), radius, sample, shard)
     label = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(label, "root").select("fingerprint", "component_id")
     return prints.join(classes, "fingerprint").select(
@@ -275,9 +282,15 @@ def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str
     )
 
 
-def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **parameters) -> DataFrame:
-    """One document of each group, every column as it was: the one with the group's least id, of equal ones any one."""
-    groups = near_duplicates(docs.select(id_column, text_column), id_column, text_column, **parameters)
-    stay = groups.where(F.col(id_column).eqNullSafe(F.col("component_id"))).select(F.col(id_column).alias("_stay")).distinct()
-    kept = docs.join(stay, F.col(id_column).eqNullSafe(F.col("_stay")), "left_semi")
-    return kept
+def keep_one(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = SHINGLE,
+             radius: int = RADIUS, sample: int = SAMPLE, shard: int = SHARD) -> DataFrame:
+    """One row of each group, every column as it was: one with the group's least id (null is the greatest).
+
+    Rows are told apart by 128 bits of hashes of id and text; of rows equal in both any one stays.
+    """
+    key = {"_key": F.xxhash64(id_column, text_column), "_check": F.xxhash64(F.lit(SEED), text_column, id_column)}
+    keyed = docs.withColumns(key)
+    prints = stored(fingerprints(keyed, id_column, text_column, shingle, [*key]), "fingerprints")
+    rooted = _rooted(prints, F.struct(F.col("id").isNull().alias("absent"), "id", *key), radius, sample, shard)
+    stay = rooted.groupBy("root").agg(F.min("least").alias("least")).select(*(f"least.{c}" for c in key))
+    return keyed.join(stay, [*key], "left_semi").dropDuplicates([*key]).drop(*key)

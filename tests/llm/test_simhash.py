@@ -84,3 +84,11 @@ def test_keep_one(make_docs, small_rows):
     assert kept.columns == docs.columns
     assert {r.doc_id for r in kept.collect()} == {r.component_id for r in groups}
     assert sh.keep_one(make_docs([])).count() == 0
+
+
+def test_keep_one_counts_rows(make_docs):
+    """Repeated rows, null ids alone and beside others, and one id in two groups: one row of each group stays."""
+    one, two, three = ("".join(f"{w}{i} " for i in range(40)) for w in ("ab", "cd", "ef"))
+    rows = [(1, one), (1, one), (2, one), (None, two), (None, two), (None, two), (None, one), (3, three), (None, three), (3, two + three), (3, two + three)]
+    kept = sh.keep_one(make_docs(rows, extra=True)).select("doc_id", "text").collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(1, one), (None, two), (3, three), (3, two + three)], key=repr)
