@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -134,11 +135,16 @@ def _ended_by(name: str, stack: list[str]) -> int:
 
 
 # A part of a wrapper: [signature, optional, repeated, pages, characters, characters in links, out, parts];
-# "#" is a text slot, whose parts are its text as long as that is the same everywhere, else nothing; a
+# "#" is a text slot, whose parts stand for its whole text as long as that is the same everywhere, else nothing; a
 # signature in parentheses is a group of neighbours that repeats together.
 SIGN, OPTIONAL, REPEATED, PAGES, CHARS, LINKED, OUT, PARTS = range(8)
 
 
+def _digest(text: str) -> str:
+    """Length and 128-bit hash: equal for equal whole texts only."""
+    return f"{len(text)}:{xxhash.xxh3_128_hexdigest(text.encode('utf-8', 'surrogatepass'))}"
+
+
 def page_wrapper(page: str) -> list:
     """The wrapper of one page."""
     root = ["", 0, 0, 1, 0, 0, 0, []]
@@ -155,7 +161,7 @@ def page_wrapper(page: str) -> list:
             parts = stack[-1][PARTS]
             if not parts or parts[-1][SIGN] != "#":
                 parts.append(["#", 0, 0, 1, 0, 0, 0, []])
-            parts[-1][PARTS].append(event[1].strip()[:200])
+            parts[-1][PARTS].append(_digest(event[1].strip()))
             parts[-1][CHARS] += n
             parts[-1][LINKED] += n if event[2] else 0
     root[PARTS] = fold(root[PARTS])

@@ -59,3 +59,11 @@ def test_given_pages_equal_a_plain_reading(workers):
 
     want = {r.page_id: plain(r.html) for r in pages.collect()}
     assert {r.page_id: r.text for r in w.extract(pages).collect()} == want
+
+
+def test_equal_beginnings_are_not_equal_texts(workers):
+    page = "<body><div id=a><h2>Title %d</h2><p class=lead>%s and then part %d</p></div></body>"
+    lead = "Series introduction. " * 12
+    rows = [(i, "https://series.example/", page % (i, lead, i)) for i in range(8)]
+    got = {r.page_id: r.text for r in w.extract(workers.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: f"Title {i} {lead}and then part {i}".replace("  ", " ") for i in range(8)}
