@@ -7,7 +7,8 @@ elements or groups of up to four), and differing text becomes a slot. Wrappers a
 task first, then in salted groups of a host, then by host, so a host with a third of all pages arrives
 as few small rows. In the finished wrapper the slots of the article are told from menus, notices and the
 rest once per host, by the tags, names and share of link text of its parts, and text that is the same on
-every page is part of the template, no slot; pages are read with that.
+(nearly) every page is part of the template, no slot; pages are read with that. Inside an article or main
+element only tags and names tell; text in repeated parts is never template.
 
 Edge cases: null or empty html gives the empty text; a null url belongs to the host "", like a url without
 one; a page without the wrapper's article (cut off, or of another kind) is read by its own wrapper.
@@ -32,7 +33,9 @@ from snaplake.llm.store import stored
 SALTS = 16
 HELD_HOSTS = 2000
 LINK_SHARE = 0.6
-#: Text that is the same wherever it stands belongs to the template if it stands on so many pages.
+#: Text that is the same wherever it stands belongs to the template if it stands on this share of the host's pages.
+TEMPLATE_SHARE = 0.9
+#: Fewer pages than this do not tell template from text.
 TEMPLATE_PAGES = 5
 
 INLINE = frozenset(
@@ -168,20 +171,20 @@ def page_wrapper(page: str) -> list:
     return root
 
 
-def merge(a: list, b: list) -> list:
-    """One part for two of the same signature."""
-    sums = [a[i] + b[i] for i in (PAGES, CHARS, LINKED)]
+def merge(a: list, b: list, one_page: bool = False) -> list:
+    """One part for two of the same signature, from different pages or from one."""
+    sums = [max(a[PAGES], b[PAGES]) if one_page else a[PAGES] + b[PAGES], *(a[i] + b[i] for i in (CHARS, LINKED))]
     if a[SIGN] == "#":
         return ["#", a[OPTIONAL] | b[OPTIONAL], 0, *sums, 0, a[PARTS] if a[PARTS] == b[PARTS] else []]
-    return [a[SIGN], a[OPTIONAL] | b[OPTIONAL], a[REPEATED] | b[REPEATED], *sums, a[OUT] | b[OUT], align(a[PARTS], b[PARTS])]
+    return [a[SIGN], a[OPTIONAL] | b[OPTIONAL], a[REPEATED] | b[REPEATED], *sums, a[OUT] | b[OUT], align(a[PARTS], b[PARTS], one_page)]
 
 
 def fold(parts: list) -> list:
-    """Neighbours of equal signature become one repeated part; then groups of two to four that follow themselves."""
+    """Neighbours in a page of equal signature become one repeated part; then groups of two to four that follow themselves."""
     out: list = []
     for part in parts:
         if out and out[-1][SIGN] == part[SIGN] != "#":
-            out[-1] = merge(out[-1], part)
+            out[-1] = merge(out[-1], part, one_page=True)
             out[-1][REPEATED] = 1
         else:
             out.append(part)
@@ -195,7 +198,7 @@ def fold(parts: list) -> list:
                 continue
             body, n = out[i : i + size], 1
             while signs[i + n * size : i + (n + 1) * size] == unit:
-                body = [merge(x, y) for x, y in zip(body, out[i + n * size : i + (n + 1) * size], strict=True)]
+                body = [merge(x, y, one_page=True) for x, y in zip(body, out[i + n * size : i + (n + 1) * size], strict=True)]
                 n += 1
             out[i : i + n * size] = [_group(body, 1)]
             signs[i : i + n * size] = [out[i][SIGN]]
@@ -218,10 +221,10 @@ def _grouped_like(parts: list, other: list) -> list:
     return parts
 
 
-def align(a: list, b: list) -> list:
+def align(a: list, b: list, one_page: bool = False) -> list:
     """Longest common alignment of two sequences; what has no partner becomes optional."""
     if [p[SIGN] for p in a] == [p[SIGN] for p in b]:
-        return [merge(x, y) for x, y in zip(a, b, strict=True)]
+        return [merge(x, y, one_page) for x, y in zip(a, b, strict=True)]
     a, b = _grouped_like(a, b), _grouped_like(b, a)
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
@@ -231,7 +234,7 @@ def align(a: list, b: list) -> list:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and a[i][SIGN] == b[j][SIGN]:
-            out.append(merge(a[i], b[j]))
+            out.append(merge(a[i], b[j], one_page))
             i, j = i + 1, j + 1
             continue
         if j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
@@ -265,37 +268,44 @@ def choose(wrapper: list) -> dict:
                 chars, linked = chars + c, linked + k
         return chars, linked
 
-    def walk(part: list, path: str) -> Iterator[tuple[list, str]]:
+    def walk(part: list, path: str, whole, within: bool = False) -> Iterator[tuple[list, str]]:
+        """Parts with their paths; parts of links are left out, but not within parts that are ``whole``."""
         for p in part[PARTS]:
             if p[OUT]:
                 continue
             if p[SIGN].startswith("("):
-                yield from walk(p, path)
+                repeated.update(map(id, p[PARTS]) if p[REPEATED] or id(p) in repeated else ())
+                yield from walk(p, path, whole, within)
             elif p[SIGN] != "#":
                 here = f"{path}>{p[SIGN]}"
                 chars, linked = mass(p)
-                if p[SIGN].split(" ")[0] in ("ul", "ol", "div", "table", "section") and linked > LINK_SHARE * chars:
+                if not within and not whole(p) and tag(p) in ("ul", "ol", "div", "table", "section") and linked > LINK_SHARE * chars:
                     outside.append(here)
                     continue
                 yield p, here
-                yield from walk(p, here)
+                repeated.update(map(id, p[PARTS]) if p[REPEATED] or id(p) in repeated else ())
+                yield from walk(p, here, whole, within or whole(p))
 
-    found = list(walk(wrapper, ""))
+    tag = lambda part: part[SIGN].split(" ")[0]
+    repeated: set[int] = set()  # parts that lie in a repeated one
+    for whole in (lambda p: tag(p) == "article", lambda p: tag(p) == "main" or p[SIGN].endswith(" main")):
+        outside.clear()
+        found = list(walk(wrapper, "", whole))
+        main = [path for p, path in found if whole(p) and mass(p)[0]]
+        if main:
+            return {"main": main, "out": outside}
+    least = max(TEMPLATE_PAGES, TEMPLATE_SHARE * wrapper[PAGES])
     told: dict[str, bool] = {}  # whether all there is at a path is text of the template
     for p, path in found:
-        fixed = bool(p[PARTS]) and all(s[SIGN] == "#" and s[PARTS] and s[PAGES] >= TEMPLATE_PAGES for s in p[PARTS])
-        told[path] = told.get(path, True) and fixed and not p[REPEATED]
-    tag = lambda part: part[SIGN].split(" ")[0]
-    named = [(p, path) for p, path in found if tag(p) == "article"] or [(p, path) for p, path in found if tag(p) == "main" or p[SIGN].endswith(" main")]
-    main = [path for part, path in named if mass(part)[0]]
-    if not main:
-        here = next(((p, path) for p, path in found if tag(p) == "body"), None)
-        while here is not None:  # down to the part whose own text, not that of one part of it, is most of the text
-            main = [here[1]]
-            inside = [(p, path) for p, path in found if path.startswith(here[1] + ">") and ">" not in path[len(here[1]) + 1 :]]
-            inside = [(p, path) for p, path in inside if tag(p) in ("div", "section", "main", "td", "table", "tbody", "tr", "center")]
-            total = mass(here[0])[0]
-            here = next(((p, path) for p, path in inside if mass(p)[0] > 0.5 * total), None)
+        fixed = bool(p[PARTS]) and all(s[SIGN] == "#" and s[PARTS] and s[PAGES] >= least for s in p[PARTS])
+        told[path] = told.get(path, True) and fixed and not p[REPEATED] and id(p) not in repeated
+    here = next(((p, path) for p, path in found if tag(p) == "body"), None)
+    while here is not None:  # down to the part whose own text, not that of one part of it, is most of the text
+        main = [here[1]]
+        inside = [(p, path) for p, path in found if path.startswith(here[1] + ">") and ">" not in path[len(here[1]) + 1 :]]
+        inside = [(p, path) for p, path in inside if tag(p) in ("div", "section", "main", "td", "table", "tbody", "tr", "center")]
+        total = mass(here[0])[0]
+        here = next(((p, path) for p, path in inside if mass(p)[0] > 0.5 * total), None)
     mine = {path for path in told if any(path == m or path.startswith(m + ">") for m in main)}
     texts = {path for p, path in found if path in mine and any(s[SIGN] == "#" for s in p[PARTS])}
     template = {path for path in mine if told[path]}

@@ -67,3 +67,29 @@ def test_equal_beginnings_are_not_equal_texts(workers):
     rows = [(i, "https://series.example/", page % (i, lead, i)) for i in range(8)]
     got = {r.page_id: r.text for r in w.extract(workers.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert got == {i: f"Title {i} {lead}and then part {i}".replace("  ", " ") for i in range(8)}
+
+
+def host_text(pages):
+    """The texts of pages of one host."""
+    wrapper = w.page_wrapper(pages[0])
+    for page in pages[1:]:
+        wrapper = w.merge(wrapper, w.page_wrapper(page))
+    return [w.main_text(page, w.choose(wrapper)) for page in pages]
+
+
+def test_repeated_and_rare_text_is_no_template():
+    items = "<body><div id=a><h2>Head %d</h2><ul>" + "<li><p>same</p><b>x</b></li>" * 5 + "</ul><p>Own text %d</p></div></body>"
+    assert host_text([items % (1, 1)]) == ["Head 1 " + "same x " * 5 + "Own text 1"]
+    assert host_text([items % (i, i) for i in range(7)]) == [f"Head {i} " + "same x " * 5 + f"Own text {i}" for i in range(7)]
+    groups = "<body><div id=a>" + "<h3>Answer</h3><p>because %d</p>" * 5 + "</div></body>"
+    assert host_text([groups % (1, 2, 3, 4, 5)]) == [" ".join(f"Answer because {k}" for k in range(1, 6))]
+    rare = [f"<body><div id=a><p class=lead>Lead {i}</p>{'<blockquote>A quote</blockquote>' * (i < 6)}<div>Own {i}</div></div></body>" for i in range(40)]
+    assert host_text(rare) == [f"Lead {i} {'A quote ' * (i < 6)}Own {i}" for i in range(40)]
+    often = [f"<body><div id=a><p class=lead>Lead {i}</p><div>Own {i}</div>{'<p class=end>Write us</p>' * (i > 1)}</div></body>" for i in range(40)]
+    assert host_text(often) == [f"Lead {i} Own {i}" for i in range(40)]
+
+
+def test_an_article_is_read_whole():
+    for tag in ("article", "main"):
+        page = f"<body><div><a href=/>Home and other links of this site</a></div><{tag}><h2>Same</h2><p>Own %d</p><ul><li><a href=/>A source</a></ul></{tag}></body>"
+        assert host_text([page % i for i in range(6)]) == [f"Same Own {i} A source" for i in range(6)]
