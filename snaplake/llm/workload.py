@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaplake.llm import bpe, decontaminate, licenses, lm, packing, quality, repeats, simhash, syncmers, wrappers
+from snaplake.llm import bpe, decontaminate, licenses, lm, packing, quality, repair, repeats, simhash, syncmers, wrappers
 from snaplake.llm.store import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -143,3 +143,9 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_fingerprints")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return syncmers.fingerprint_pairs(table(spark, sf_dir, "documents"))
+
+
+@query("op11_repair_conversations")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    given = table(spark, sf_dir, "conversations")
+    return repair.repair_report(repair.damaged(given), given)
