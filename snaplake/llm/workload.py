@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaplake.llm import bpe, decontaminate, licenses, lm, packing, quality, repair, repeats, replies, simhash, syncmers, wrappers
+from snaplake.llm import bpe, decontaminate, licenses, lm, packing, prefixes, quality, repair, repeats, replies, simhash, syncmers, wrappers
 from snaplake.llm.store import importable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -174,3 +174,40 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     odd = spark.createDataFrame([(-1, 0, "user", _ODD_SAID), (-1, 1, "assistant", _ODD_SAID)], "conv_id long, turn long, role string, text string")
     links, texts = replies.as_chains(given.unionByName(odd))
     return replies.read_back(replies.format_branches(links, texts)).withColumnRenamed("tree", "conv_id")
+
+
+# crc32 by its polynomial, bit by bit, as DuckDB has no such function
+_CRC_SQL = """
+crc AS (
+    WITH RECURSIVE step AS (
+        SELECT conv_id, s, 1 AS k, 4294967295::BIGINT AS c FROM (SELECT DISTINCT conv_id, conv_id::VARCHAR AS s FROM conversations)
+        UNION ALL
+        SELECT conv_id, s, k + 1, list_reduce(list_prepend(xor(c, ascii(s[k])::BIGINT), range(8)::BIGINT[]),
+            lambda x, y: CASE WHEN x % 2 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)
+        FROM step WHERE k <= length(s))
+    SELECT conv_id, xor(c, 4294967295) AS crc FROM step WHERE k = length(s) + 1)
+"""
+
+TRIE_SQL = f"""
+WITH {_CRC_SQL},
+own AS (SELECT conv_id, list({{'r': coalesce(role, ''), 't': coalesce(text, '')}} ORDER BY turn NULLS FIRST,
+            sha256(concat(length(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, '')))) AS turns
+        FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+whole AS (SELECT o.conv_id, list_concat(coalesce(b.turns[1:(crc % 9)], []), o.turns[(crc % 9) + 1:]) AS turns
+          FROM own o JOIN crc USING (conv_id) LEFT JOIN own b ON b.conv_id = o.conv_id - o.conv_id % 5),
+pre AS (SELECT conv_id, len(turns) AS whole, unnest(range(len(turns) + 1)) AS depth, turns FROM whole),
+node AS (SELECT depth, turns[1:depth] AS p, min(conv_id) AS conv_id, count(*) AS n_convs,
+             coalesce(max(octet_length(encode(turns[depth].t))), 0) AS n_bytes,
+             sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (whole = depth), '')) AS ends_sha256
+         FROM pre GROUP BY 1, 2),
+linked AS (SELECT n.*, u.conv_id AS parent_conv_id FROM node n LEFT JOIN node u ON u.depth = n.depth - 1 AND u.p = n.p[1:n.depth - 1]),
+counted AS (SELECT l.*, (SELECT count(*) FROM linked c WHERE c.depth = l.depth + 1 AND c.parent_conv_id = l.conv_id) AS n_children FROM linked l),
+below AS (SELECT a.conv_id, a.depth, count(*) FILTER (d.n_children = 0) AS n_leaves, sum((d.n_convs - 1) * d.n_bytes)::BIGINT AS saved_tokens
+          FROM counted a JOIN counted d ON d.depth >= a.depth AND d.p[1:a.depth] = a.p GROUP BY 1, 2)
+SELECT conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256 FROM counted JOIN below USING (conv_id, depth)
+"""
+
+
+@query("op13_prefix_trie", TRIE_SQL)
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefixes.prefix_trie(table(spark, sf_dir, "conversations"))
