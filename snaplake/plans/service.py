@@ -9,7 +9,6 @@ from pyspark.sql import SparkSession
 from snaplake.plans.query import DEFAULT_ROWS, run_query
 from snaplake.plans.search import DEFAULT_ARTICLES, DEFAULT_DAYS, search_envelope
 from snaplake.sources.catalog import Catalog
-from snaplake.sources.files import Folder
 from snaplake.sources.target import SnapshotTable
 from snaplake.tables import INJURY_NEWS
 
@@ -20,13 +19,12 @@ TEAMS_NAME = "teams"
 def load_catalog(spark: SparkSession, config: str) -> Catalog:
     """A catalog from JSON text ``{"tables": {name: path}}``.
 
-    A path that holds commits is an upsert target, under whatever name; any other is parquet.
+    A path with a declaration is an upsert target, under whatever name; any other is parquet.
     """
     tables = json.loads(config).get("tables") or {}
 
     def source(path: str) -> str | SnapshotTable:
-        committed = Folder(spark, f"{path}/_commits").names(".json")
-        return SnapshotTable(spark, path) if committed else path
+        return SnapshotTable(spark, path) if SnapshotTable.stands_at(spark, path) else path
 
     return Catalog(spark, {name: source(path) for name, path in tables.items()})
 

@@ -6,7 +6,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 from snaplake.sources.files import Folder
 
@@ -70,6 +70,13 @@ def work_dir(spark: SparkSession, label: str) -> str:
     return f"{_work_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The rows as they are now, in a table that later changes of their sources do not reach."""
+    path = work_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def remove_work(spark: SparkSession) -> None:
     """Delete this application's intermediate data; whatever was read from it is gone, too."""
     Folder(spark, _work_root(spark)).delete()

@@ -1,4 +1,4 @@
-"""Named tables for SQL: current versions as views, their description, history and profile."""
+"""Named tables for SQL: current rows as views, their description, loads and profile."""
 
 from __future__ import annotations
 
@@ -64,7 +64,7 @@ class Catalog:
                 continue
             version = source.version()
             if self._shown.get(name) != version:
-                source.read(version, self.spark).createOrReplaceTempView(name)
+                source.read(self.spark).createOrReplaceTempView(name)
                 self._shown[name] = version
                 moved.append(name)
         return moved
@@ -108,7 +108,7 @@ class Catalog:
         source = self._source(name)
         if not isinstance(source, SnapshotTable):
             raise ValueError(f"table {name!r} keeps no history")
-        return source.history(limit)
+        return source.loads(limit)
 
 
 def profile(df: DataFrame) -> DataFrame:

@@ -1,52 +1,52 @@
-"""A keyed parquet table that takes upserts: place directories plus one commit file per version.
-
-A place is a value of the table's partition columns and a bucket of its keys. ``data/attempt_=<id>/
-<partition>=<value>/_bucket=<n>/*.parquet`` holds rows sorted by key, ``_commits/<version>.json`` says
-which attempt holds each place in that version. An upsert first finds which rows of the batch change
-anything, by a scan of the held keys and snapshots in the batch's buckets; it then rewrites the places
-those rows are in or leave, and none if there are no such rows. Data without a commit file is never
-read: a job lost half way leaves the table as it was. One writer per table at a time.
+"""A keyed parquet table that takes upserts, as partition folders that Spark finds and overwrites.
+
+A place is a value of the table's partition columns and a bucket of its keys: ``data/<partition>=<value>/
+_bucket=<n>/*.parquet``, rows sorted by key. An upsert joins the batch's keys with the held keys of its
+buckets, finds which rows change anything and which places those rows are in or leave, and writes the places anew
+with dynamic partition overwrite; a batch that changes nothing writes no file. All of that stays in Spark: no list of
+keys or places comes to the driver. A key that moves to another season leaves its old place; a place that loses rows so
+keeps a row without a key, which readers skip, as an overwrite cannot make a place empty.
+
+A job lost before its commit changes nothing. One lost while Spark moves finished places in leaves some places new
+and some old; the same batch, which a stream hands over again, puts that right, since every place that holds a row the
+newest one has overtaken is written again. One writer per table at a time. A query that runs while a place it
+reads is replaced may fail and can be repeated: read before, or write down, what must outlive an upsert.
 """
 
 from __future__ import annotations
 
 import json
-import uuid
-from dataclasses import dataclass, field
-from datetime import datetime, timezone
+from dataclasses import dataclass
+from functools import cached_property
 
-from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, IntegralType, StructField, StructType
+from pyspark.sql.types import DateType, IntegerType, IntegralType, StructField, StructType
 
 from snaplake.operators.latest import dedupe_latest
 from snaplake.operators.merge import bucket_of, require_keys
 from snaplake.sources.files import Folder
 from snaplake.spec import Table
 
-BUCKET, ATTEMPT = "_bucket", "attempt_"
-NULL_PLACE = "__HIVE_DEFAULT_PARTITION__"  # fixed value: how Spark's writers name a NULL
+BUCKET, PLACE = "_bucket", "_place"
+DECLARATION = "_table.json"
 ROWS_PER_FILE = 1_000_000
 
-HISTORY_SCHEMA = """
-    version BIGINT, committed_at TIMESTAMP, operation STRING, writer STRING, batch_id BIGINT,
-    rows_inserted BIGINT, rows_updated BIGINT, rows_total BIGINT, buckets_written BIGINT
-"""
+LOADS = "loaded_at TIMESTAMP, rows_inserted BIGINT, rows_updated BIGINT"
 
 
 @dataclass(frozen=True)
-class Commit:
-    version: int
-    buckets: int
-    rows_total: int = 0
-    places: dict[str, str] = field(default_factory=dict)
-    batches: dict[str, int] = field(default_factory=dict)
+class Load:
+    """What an upsert did to the table."""
+
+    rows_inserted: int = 0
+    rows_updated: int = 0
 
 
 class SnapshotTable:
     """``table`` may be left out to read what is there under whatever name.
 
-    ``buckets`` counts per partition and is fixed with the first commit; without it, it follows the rows
+    ``buckets`` counts per partition and is fixed with the first rows; without it, it follows the rows
     of the first batch. Later growth makes several files of a bucket.
     """
 
@@ -54,53 +54,67 @@ class SnapshotTable:
         self.spark = spark
         self.table = table
         self.path = path.rstrip("/")
-        self.buckets = buckets
-        self._commits = Folder(spark, f"{self.path}/_commits")
+        self.data = f"{self.path}/data"
+        self._asked = buckets
 
-    def version(self) -> int:
-        """Number of the newest commit, 0 before the first."""
-        return max((int(name.split(".")[0]) for name in self._commits.names(".json")), default=0)
+    @staticmethod
+    def stands_at(spark: SparkSession, path: str) -> bool:
+        return Folder(spark, path).holds(DECLARATION)
 
-    def _record(self, version: int) -> dict:
-        return json.loads(self._commits.read(f"{version:08d}.json"))
+    @cached_property
+    def _declared(self) -> dict:
+        return json.loads(Folder(self.spark, self.path).read(DECLARATION))
 
-    def commit(self, version: int | None = None) -> Commit:
-        version = self.version() if version is None else version
-        if version == 0:
-            return Commit(0, self.buckets or 0)
-        found = self._record(version)
-        return Commit(version, found["buckets"], found["rows_total"], found["places"], found["batches"])
+    def _declare(self, rows: int) -> None:
+        table = self.table
+        held = {
+            "schema": table.schema.jsonValue(),
+            "note": table.note,
+            "keys": list(table.keys),
+            "partitions": list(table.partitions),
+            "buckets": self._asked or max(1, -(-rows // ROWS_PER_FILE)),
+        }
+        Folder(self.spark, self.path).create(DECLARATION, json.dumps(held))
 
     @property
     def schema(self) -> StructType:
-        return self.table.schema if self.table else StructType.fromJson(self._record(self.version())["schema"])
+        return self.table.schema if self.table else StructType.fromJson(self._declared["schema"])
 
     @property
     def note(self) -> str:
-        return self.table.note if self.table else self._record(self.version())["note"]
+        return self.table.note if self.table else self._declared["note"]
 
     @property
     def partitions(self) -> tuple[str, ...]:
-        return self.table.partitions if self.table else tuple(self._record(self.version())["partitions"])
+        return self.table.partitions if self.table else tuple(self._declared["partitions"])
 
-    def read(self, version: int | None = None, spark: SparkSession | None = None) -> DataFrame:
-        return self._rows(self.commit(version).places, spark).select(*self.schema.fieldNames())
+    @property
+    def keys(self) -> tuple[str, ...]:
+        return self.table.keys if self.table else tuple(self._declared["keys"])
+
+    def version(self) -> int:
+        """How many upserts have changed the table."""
+        return len(Folder(self.spark, f"{self.path}/_loads").names(".json"))
 
-    def _rows(self, places: dict[str, str], spark: SparkSession | None = None) -> DataFrame:
-        """The rows of some places, with their bucket."""
+    def read(self, spark: SparkSession | None = None) -> DataFrame:
+        return self._held(spark).select(*self.schema.fieldNames())
+
+    def _held(self, spark: SparkSession | None = None, hollow: bool = False) -> DataFrame:
+        """All rows with their bucket and place; ``hollow`` adds the rows without a key."""
         spark = spark or self.spark
-        schema = StructType([StructField(f.name, f.dataType) for f in self.schema])
-        data = f"{self.path}/data"
-        paths = [f"{data}/{ATTEMPT}={attempt}/{place}" for place, attempt in sorted(places.items())]
-        if not paths:
-            return spark.createDataFrame([], schema).withColumn(BUCKET, F.lit(0))
-        return spark.read.schema(schema).option("basePath", data).parquet(*paths)
-
-    def upsert(self, batch: DataFrame, writer: str | None = None, batch_id: int | None = None) -> Commit:
-        """Merge parsed rows. A (writer, batch_id) already committed is skipped."""
-        before = self.commit()
-        if writer and batch_id is not None and batch_id <= before.batches.get(writer, -1):
-            return before
+        kinds = StructType([StructField(f.name, f.dataType) for f in self.schema] + [StructField(BUCKET, IntegerType())])
+        found = Folder(spark, self.path).holds("data")
+        rows = spark.read.schema(kinds).parquet(self.data) if found else spark.createDataFrame([], kinds)
+        rows = rows.withColumn(PLACE, self._place(F.col(BUCKET)))
+        return rows if hollow else rows.where(F.col(self.keys[0]).isNotNull())
+
+    def _place(self, bucket: Column) -> Column:
+        """A place as text: an expression of partition columns only, so that Spark can prune by it."""
+        names = (F.coalesce(F.col(name).cast("string"), F.lit("")) for name in self.partitions)
+        return F.concat_ws("/", *names, bucket.cast("string"))
+
+    def upsert(self, batch: DataFrame) -> Load:
+        """Merge parsed rows: new keys are inserted, known ones give way to strictly newer snapshots."""
         table = self.table
         for name in table.partitions:
             if not isinstance(table.schema[name].dataType, (IntegralType, DateType)):
@@ -108,94 +122,81 @@ class SnapshotTable:
         checked = require_keys(batch.select(*table.columns), table)
         fresh = dedupe_latest(checked, table).persist()
         try:
-            if not before.buckets:
-                before = Commit(before.version, max(1, -(-fresh.count() // ROWS_PER_FILE)))
-            changed = self._changed(before, fresh).persist()
+            if not self.stands_at(self.spark, self.path):
+                self._declare(fresh.count())
+            changed = self._changed(fresh).persist()
             try:
-                return self._write(before, fresh, changed, writer, batch_id)
+                new = F.col("_comes")
+                found = changed.agg(
+                    F.count(F.lit(1)).alias("places"),
+                    F.count_if(new & F.col("_held").isNull()).alias("inserted"),
+                    F.count_if(new & F.col("_held").isNotNull()).alias("updated"),
+                ).first()
+                load = Load(found.inserted, found.updated)
+                if found.places:
+                    self._overwrite(changed)
+                    self._log(load)
+                return load
             finally:
                 changed.unpersist()
         finally:
             fresh.unpersist()
 
-    def _changed(self, before: Commit, fresh: DataFrame) -> DataFrame:
-        """The rows that are new or strictly newer, with the place they are for and the one they leave."""
-        table = self.table
-        bucket = bucket_of(table.keys, before.buckets)
-        placed = fresh.withColumn("_to", F.struct(*table.partitions, bucket.alias(BUCKET)))
-        buckets = {r[0] for r in placed.select(f"_to.{BUCKET}").distinct().collect()}  # at most the bucket count
-        mine = {p: a for p, a in before.places.items() if int(p.rpartition("=")[2]) in buckets}
-        held = self._rows(mine).select(
-            *table.keys,
-            F.col(table.snapshot_column).alias("_held_at"),
-            F.struct(*table.partitions, BUCKET).alias("_from"),
-        )
-        newer = F.col("_held_at").isNotNull() & (F.col(table.snapshot_column) > F.col("_held_at"))
-        return placed.join(held, list(table.keys), "left").where(F.col("_from").isNull() | newer)
+    def _changed(self, fresh: DataFrame) -> DataFrame:
+        """Batch rows that matter, with ``_to``, the place they are for, and ``_gone``, the places their key leaves.
 
-    def _place(self, at: Row) -> str:
-        return "/".join(f"{name}={NULL_PLACE if at[name] is None else at[name]}" for name in (*self.table.partitions, BUCKET))
-
-    def _write(
-        self, before: Commit, fresh: DataFrame, changed: DataFrame, writer: str | None, batch_id: int | None
-    ) -> Commit:
+        ``_comes``: the row is new or strictly newer. A row that is neither matters only if its key stands more
+        than once, after a job lost half way.
+        """
         table = self.table
-        moves = changed.groupBy("_to", "_from").agg(F.count(F.lit(1)).alias("n")).collect()  # at most places x places
-        if not moves and fresh.isEmpty():
-            return before
-        inserted = sum(r.n for r in moves if r["_from"] is None)
-        updated = sum(r.n for r in moves) - inserted
-        touched = sorted({self._place(at) for r in moves for at in (r["_to"], r["_from"]) if at is not None})
-        attempt = f"{before.version + 1:08d}-{uuid.uuid4().hex}"
-        places = dict(before.places)
-        if touched:
-            self._rewrite(before, changed, touched, f"{self.path}/data/{ATTEMPT}={attempt}")
-            data = Folder(self.spark, f"{self.path}/data/{ATTEMPT}={attempt}")
-            for place in touched:
-                if data.holds(place):
-                    places[place] = attempt
-                else:  # all its rows have moved
-                    places.pop(place, None)
-        batches = before.batches
-        if writer and batch_id is not None:
-            batches = {**batches, writer: batch_id}
-        after = Commit(before.version + 1, before.buckets, before.rows_total + inserted, places, batches)
-        record = {
-            "version": after.version,
-            "committed_at": datetime.now(timezone.utc).isoformat(timespec="milliseconds"),
-            "operation": "UPSERT",
-            "writer": writer,
-            "batch_id": batch_id,
-            "rows_inserted": inserted,
-            "rows_updated": updated,
-            "rows_total": after.rows_total,
-            "buckets_written": len(touched),
-            "buckets": after.buckets,
-            "places": after.places,
-            "batches": after.batches,
-            "schema": table.schema.jsonValue(),
-            "note": table.note,
-            "partitions": list(table.partitions),
-        }
-        self._commits.create(f"{after.version:08d}.json", json.dumps(record))
-        return after
-
-    def _rewrite(self, before: Commit, changed: DataFrame, touched: list[str], path: str) -> None:
-        """The touched places anew: what they held, less the changed keys, and the changed rows."""
+        keys, at = list(table.keys), F.col(table.snapshot_column)
+        placed = fresh.withColumn(BUCKET, bucket_of(table.keys, self._declared["buckets"]))
+        placed = placed.withColumn("_to", self._place(F.col(BUCKET)))
+        # the comparison says nothing; a join prunes partitions only by a side that has a filter
+        asked = placed.where(F.col(BUCKET) >= 0).select(BUCKET, *keys)
+        mine = self._held().select(*keys, BUCKET, PLACE, at.alias("_held_at")).join(asked, [BUCKET, *keys], "left_semi")
+        best = F.max(F.struct(F.col("_held_at").isNull(), "_held_at", PLACE))
+        held = mine.groupBy(*keys).agg(best.alias("_held"), F.collect_set(PLACE).alias("_places"))
+        joined = placed.join(held, keys, "left")
+        comes = F.col("_held").isNull() | F.coalesce(at > F.col("_held._held_at"), F.lit(False))
+        leaves = F.when(comes, F.col("_places")).otherwise(F.array_remove("_places", F.col("_held")[PLACE]))
+        leaves = F.coalesce(leaves, F.array().cast("array<string>"))
+        out = joined.select(*table.columns, BUCKET, "_to", "_held", comes.alias("_comes"), leaves.alias("_gone"))
+        return out.where(F.col("_comes") | (F.size("_gone") > 0))
+
+    def _overwrite(self, changed: DataFrame) -> None:
+        """The touched places anew: what they held, less what leaves, and what comes."""
         table = self.table
-        held = self._rows({p: before.places[p] for p in touched if p in before.places}).select(*table.columns, BUCKET)
-        stay = held.join(changed.select(*table.keys), list(table.keys), "left_anti")
-        rows = stay.unionByName(changed.select(*table.columns, F.col(f"_to.{BUCKET}").alias(BUCKET)))
-        per_place = before.rows_total // max(1, len(before.places))
-        part = F.pmod(F.xxhash64(F.lit(1), *table.keys), F.lit(1 + per_place // ROWS_PER_FILE))
-        place = [*table.partitions, BUCKET]
-        rows = rows.repartition(*place, part).sortWithinPartitions(*place, *table.keys)
-        rows.write.partitionBy(*place).parquet(path)
-
-    def history(self, limit: int = 10) -> DataFrame:
-        """Newest commits first; ``limit`` is held between 1 and 100."""
-        rows = max(1, min(limit, 100))
-        if self.version() == 0:
-            return self.spark.createDataFrame([], HISTORY_SCHEMA)
-        commits = self.spark.read.schema(HISTORY_SCHEMA).json(f"{self.path}/_commits")
-        return commits.orderBy(F.col("version").desc()).limit(rows)
+        keys, place = list(table.keys), [*table.partitions, BUCKET]
+        comes, to = F.col("_comes"), F.array("_to")
+        touched = F.when(comes, F.array_union("_gone", to)).otherwise(F.col("_gone"))
+        touched = changed.select(F.explode(touched).alias(PLACE)).distinct().where(F.col(PLACE) >= "")
+        gone = changed.select(*keys, F.explode("_gone").alias(PLACE))
+        stay = self._held().join(touched, PLACE, "left_semi").join(gone, [*keys, PLACE], "left_anti")
+        added = changed.where(comes).select(*table.columns, BUCKET)
+        left = F.when(comes, F.array_except("_gone", to)).otherwise(F.col("_gone"))
+        left = changed.select(F.explode(left).alias(PLACE)).distinct().where(F.col(PLACE) >= "")
+        hollow = self._held(hollow=True).join(left, PLACE, "left_semi").select(*place).distinct()
+        rows = stay.select(*table.columns, BUCKET).unionByName(added).unionByName(hollow, allowMissingColumns=True)
+        rows = rows.hint("rebalance", *place).sortWithinPartitions(*place, *keys)
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", ROWS_PER_FILE)
+        writer.partitionBy(*place).parquet(self.data)
+
+    def _log(self, load: Load) -> None:
+        row = self.spark.range(0, 1, 1, 1).select(
+            F.current_timestamp().alias("loaded_at"),
+            F.lit(load.rows_inserted).alias("rows_inserted"),
+            F.lit(load.rows_updated).alias("rows_updated"),
+        )
+        row.write.mode("append").json(f"{self.path}/_loads")
+
+    def loads(self, limit: int = 10) -> DataFrame:
+        """The newest upserts that changed the table, with running numbers; ``limit`` is held between 1 and 100."""
+        if not self.version():
+            return self.spark.createDataFrame([], f"version BIGINT, {LOADS}, rows_total BIGINT")
+        loads = self.spark.read.schema(LOADS).json(f"{self.path}/_loads")  # a row for each upsert
+        loads = loads.selectExpr(
+            "CAST(row_number() OVER (ORDER BY loaded_at) AS BIGINT) AS version", "*",
+            "sum(rows_inserted) OVER (ORDER BY loaded_at) AS rows_total",
+        )
+        return loads.orderBy(F.col("version").desc()).limit(max(1, min(limit, 100)))

@@ -1,7 +1,7 @@
 """Snapshot ingest as a stream: every file once, parsed map-only, merged batch by batch.
 
-A restarted stream may hand over a batch a second time. That changes nothing: the target skips a
-batch it has committed, and an equal snapshot never replaces a row anyway.
+A restarted stream may hand over a batch a second time. That changes nothing: an equal snapshot never
+replaces a row.
 """
 
 from __future__ import annotations
@@ -14,22 +14,17 @@ from pyspark.sql.streaming import StreamingQuery
 from snaplake.operators.merge import assert_unique
 from snaplake.plans.parsers import parse
 from snaplake.sources.snapshots import read_snapshots, stream_snapshots
-from snaplake.sources.target import Commit, SnapshotTable
+from snaplake.sources.target import Load, SnapshotTable
 
 
 FILES_PER_BATCH = 1000
 
 
 def upsert_batches(target: SnapshotTable) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function. Batches count per streaming query, so a batch is known by both.
-
-    The query's id comes with its checkpoint: a checkpoint made anew, also at the same path, has a
-    new one, and its batch 0 is not taken for the old one's.
-    """
+    """A ``foreachBatch`` function; a batch that comes again finds nothing to change."""
 
     def apply(batch: DataFrame, batch_id: int) -> None:
-        query = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
-        target.upsert(batch, writer=query, batch_id=batch_id)
+        target.upsert(batch)
 
     return apply
 
@@ -39,12 +34,12 @@ def check_keys(target: SnapshotTable) -> None:
     assert_unique(target.read().select(*target.table.keys), target.table.keys)
 
 
-def ingest_batch(spark: SparkSession, target: SnapshotTable, landing: str, **options: str) -> Commit:
+def ingest_batch(spark: SparkSession, target: SnapshotTable, landing: str, **options: str) -> Load:
     """Merge all landing files there are, without a checkpoint: a backfill or a repair. Keys are checked after."""
     records = read_snapshots(spark, target.table, landing, **options)
-    commit = target.upsert(parse(target.table, records))
+    load = target.upsert(parse(target.table, records))
     check_keys(target)
-    return commit
+    return load
 
 
 def ingest_available(

@@ -12,7 +12,7 @@ from snaplake.functions.scalars import excerpt
 from snaplake.plans import search as S
 from snaplake.plans.query import guarded_sql, run_query
 from snaplake.plans.service import QueryService, load_catalog
-from snaplake.session import work_dir
+from snaplake.session import work_dir, written
 from snaplake.sources.catalog import Catalog, ensure_table, profile
 from snaplake.sources.target import SnapshotTable
 from snaplake.tables import TABLES
@@ -148,7 +148,7 @@ def table_refresh(spark, sf_dir):
     target.upsert(first)
     catalog = Catalog(spark, {"user_state": target})
     totals = "SELECT '{0}' AS moment, count(*) AS n, sum(event_id) AS id_sum FROM user_state"
-    before = guarded_sql(catalog, totals.format("before"))
+    before = written(guarded_sql(catalog, totals.format("before")), "before")
     target.upsert(second)
     after = guarded_sql(catalog, totals.format("after"))
     return before.unionByName(after)

@@ -16,7 +16,7 @@ from snaplake.operators.latest import (
 )
 from snaplake.operators.merge import key_counts, merge_latest
 from snaplake.plans.parsers import parse
-from snaplake.session import work_dir
+from snaplake.session import work_dir, written
 from snaplake.sources.snapshots import write_landing
 from snaplake.sources.target import SnapshotTable
 from snaplake.spec import COUNT, RATE, TEXT, Table, col, key
@@ -161,8 +161,8 @@ def upsert_replay(spark, sf_dir):
     """The same batches once more change nothing."""
     target = _target(spark)
     batches = _two_batches(_states(spark, sf_dir))
-    for number, batch in enumerate((*batches, *batches)):
-        target.upsert(batch, writer="replay", batch_id=number)
+    for batch in (*batches, *batches):
+        target.upsert(batch)
     return _shown(target.read())
 
 
@@ -176,11 +176,11 @@ def upsert_replay(spark, sf_dir):
     FROM s LEFT JOIN t ON s.user_id = t.user_id
 """)
 def table_history(spark, sf_dir):
-    """What each upsert inserted and updated, from the commits."""
+    """What each upsert inserted and updated, from the log of loads."""
     target = _target(spark)
     for batch in _two_batches(_states(spark, sf_dir)):
         target.upsert(batch)
-    return target.history().select("version", "rows_inserted", "rows_updated", "rows_total")
+    return target.loads().select("version", "rows_inserted", "rows_updated", "rows_total")
 
 
 @query("table_versions", f"""
@@ -190,16 +190,18 @@ def table_history(spark, sf_dir):
     SELECT 'after', count(*), CAST(sum(event_id) AS BIGINT) FROM ({_newest_sql('TRUE')})
 """)
 def table_versions(spark, sf_dir):
-    """An earlier version stays readable after the next upsert."""
+    """Totals of the table after each of two upserts; the first are written down, as the second replaces files."""
     target = _target(spark)
-    for batch in _two_batches(_states(spark, sf_dir)):
-        target.upsert(batch)
+    first, second = _two_batches(_states(spark, sf_dir))
 
-    def totals(version, moment):
-        sums = target.read(version).agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("id_sum"))
+    def totals(moment):
+        sums = target.read().agg(F.count(F.lit(1)).alias("n"), F.sum("event_id").alias("id_sum"))
         return sums.select(F.lit(moment).alias("moment"), "n", "id_sum")
 
-    return totals(1, "before").unionByName(totals(2, "after"))
+    target.upsert(first)
+    before = written(totals("before"), "totals")
+    target.upsert(second)
+    return before.unionByName(totals("after"))
 
 
 @query("stream_upsert", "SELECT event_id, user_id, event_type, value, props FROM events")

@@ -1,9 +1,11 @@
 import itertools
 import random
 from datetime import datetime, timezone
+from pathlib import Path
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snaplake.operators.latest import dedupe_latest, first_rows, latest_rows, top_n_per_group
@@ -11,7 +13,7 @@ from snaplake.operators.merge import assert_unique, key_counts, merge_latest, me
 from snaplake.plans.parsers import PARSERS
 from snaplake.sources.files import Folder
 from snaplake.sources.snapshots import read_snapshots
-from snaplake.sources.target import SnapshotTable
+from snaplake.sources.target import Load, SnapshotTable
 from snaplake.spec import COUNT, TEXT, Table, col, key
 from snaplake.tables import TABLES
 from tests.payloads import SUMMARIES
@@ -106,30 +108,43 @@ def test_composite_key(spark, land, tmp_path):
     assert_unique(target.read(), table.keys)
 
 
-def test_target_versions_history_and_untouched_buckets(spark, batch, tmp_path):
+def files(target):
+    """Data files by their place."""
+    root = Path(target.data)
+    found = {}
+    for p in root.rglob("*.parquet"):
+        found.setdefault(str(p.parent.relative_to(root)), set()).add(p.name)
+    return found
+
+
+def replaced(before, after):
+    return {place for place in before.keys() | after.keys() if before.get(place) != after.get(place)}
+
+
+def test_target_loads_and_untouched_buckets(spark, batch, tmp_path):
     target = SnapshotTable(spark, str(tmp_path / "team"), TEAM, buckets=16)
-    assert target.version() == 0 and target.read().count() == 0 and target.history().count() == 0
-    first = target.upsert(batch(*((str(i), f"v{i}", T1, "a") for i in range(40))))
-    second = target.upsert(batch(("3", "new", T2, "b"), ("99", "added", T2, "b")))
-    assert (second.version, second.rows_total) == (2, 41)
-    moved = {p for p in second.places if second.places[p] != first.places.get(p)}
-    assert 1 <= len(moved) <= 2
-    assert target.read(1).count() == 40 and target.read().count() == 41
-    newest = target.history(1).first()
-    assert (newest["version"], newest["rows_inserted"], newest["rows_updated"]) == (2, 1, 1)
-    assert newest["buckets_written"] == len(moved)
-    assert [r["version"] for r in target.history(0).collect()] == [2]
-
-
-def test_target_skips_a_committed_batch_and_unchanged_data(spark, batch, tmp_path):
-    target = SnapshotTable(spark, str(tmp_path / "team"), TEAM, buckets=4)
-    rows = batch(("k7", "seven", T2, "f"))
-    target.upsert(rows, writer="w", batch_id=0)
-    assert target.upsert(rows, writer="w", batch_id=0).version == 1
-    replay = target.upsert(rows, writer="other", batch_id=0)
-    assert replay.version == 2 and replay.places == target.commit(1).places
-    assert len(Folder(spark, f"{target.path}/data").names()) == 1
-    assert target.upsert(batch()).version == 2
+    assert target.version() == 0 and target.loads().count() == 0
+    target.upsert(batch(*((str(i), f"v{i}", T1, "a") for i in range(40))))
+    before = files(target)
+    assert target.upsert(batch(("3", "new", T2, "b"), ("99", "added", T2, "b"))) == Load(1, 1)
+    assert 1 <= len(replaced(before, files(target))) <= 2
+    assert target.read().count() == 41 and target.version() == 2
+    newest = target.loads(1).first()
+    assert (newest.version, newest.rows_inserted, newest.rows_updated, newest.rows_total) == (2, 1, 1, 41)
+    assert [r.version for r in target.loads(0).collect()] == [2]
+
+
+def test_no_list_of_keys_or_places_is_collected(spark, batch, tmp_path, monkeypatch):
+    """All that comes to the driver is one row of counts."""
+    target = SnapshotTable(spark, str(tmp_path / "team"), TEAM, buckets=16)
+    rows, more = batch(*((str(i), "v", T1, "a") for i in range(40))), batch(*((str(i), "w", T2, "a") for i in range(30, 50)))
+    got = []
+    collect = DataFrame.collect
+    monkeypatch.setattr(DataFrame, "collect", lambda df: got.append(collect(df)) or got[-1])
+    monkeypatch.setattr(DataFrame, "toPandas", None)
+    monkeypatch.setattr(DataFrame, "toArrow", None)
+    assert (target.upsert(rows), target.upsert(more)) == (Load(40, 0), Load(10, 10))
+    assert all(len(rows) == 1 for rows in got)
 
 
 SEASONS = Table(
@@ -154,20 +169,20 @@ def seasons(spark, tmp_path):
 
 def test_a_batch_rewrites_only_the_season_it_changes(seasons):
     target, put = seasons
-    first = target.commit()
-    second = put(("g0", 2030, 100, T2), ("new", 2030, 7, T2), ("g1", 2031, 1, T1))
-    moved = {p for p in second.places if second.places[p] != first.places.get(p)}
+    before = files(target)
+    assert put(("g0", 2030, 100, T2), ("new", 2030, 7, T2), ("g1", 2031, 1, T1)) == Load(1, 1)
+    moved = replaced(before, files(target))
     assert moved and all(p.startswith("season=2030/") for p in moved)
     assert {r.game: r.score for r in target.read().collect()} == {
         **{f"g{i}": i for i in range(60)}, "none": 5, "g0": 100, "new": 7,
     }
 
 
-def test_a_replay_writes_no_file(seasons, tmp_path):
+def test_a_replay_writes_no_file(seasons):
     target, put = seasons
-    before = sorted(p for p in (tmp_path / "seasons" / "data").rglob("*.parquet"))
-    replay = put(*((f"g{i}", 2030 + i % 3, -i, T1) for i in range(60)))
-    assert replay.version == 2 and sorted((tmp_path / "seasons" / "data").rglob("*.parquet")) == before
+    before = files(target)
+    assert put(*((f"g{i}", 2030 + i % 3, -i, T1) for i in range(60))) == Load() == put()
+    assert files(target) == before and target.version() == 1
 
 
 def test_a_key_may_move_to_another_season(seasons):
@@ -177,6 +192,43 @@ def test_a_key_may_move_to_another_season(seasons):
     assert len(rows) == target.read().count() == 61 and rows["none"] == (2031, 6) and rows["g2"] == (None, 8)
 
 
+def test_a_place_may_lose_its_last_row_and_fill_again(seasons, spark):
+    target, put = seasons
+    assert put(("none", 2040, 6, T2)) == put(("none", 2041, 6, T3)) == Load(0, 1)
+    count = lambda: {r.season: r["count"] for r in target.read().groupBy("season").count().collect()}
+    assert count() == {2030: 20, 2031: 20, 2032: 20, 2041: 1}
+    put(("other", 2040, 1, T1))
+    assert count() == {2030: 20, 2031: 20, 2032: 20, 2041: 1, 2040: 1}
+    hollow = spark.read.parquet(target.data).where("game IS NULL")
+    assert {r.season for r in hollow.collect()} <= {None, 2040}
+
+
+def test_a_move_lost_half_way_is_put_right_by_the_same_batch(seasons, tmp_path):
+    """The new place has come in, the old one still holds the key: the batch comes again."""
+    target, put = seasons
+    old = {p: p.read_bytes() for p in Path(target.data).rglob("*.parquet")}
+    move = ("g3", 2055, 9, T2)
+    put(move)
+    stood = [p for p in old if p.parent.parent.name == "season=2030" and not p.exists()]
+    for p in stood:
+        for q in p.parent.glob("*.parquet"):
+            q.unlink()
+        p.write_bytes(old[p])
+        for crc in p.parent.glob(".*.crc"):
+            crc.unlink()
+    assert stood and target.read().where("game = 'g3'").count() == 2
+    assert put(move) == Load()
+    assert [(r.season, r.score) for r in target.read().where("game = 'g3'").collect()] == [(2055, 9)]
+    assert target.read().count() == 61
+
+
+def test_upserts_prune_places_they_cannot_touch(seasons, spark):
+    target, _ = seasons
+    df = spark.createDataFrame([("g0", 2030, 1, "f", T2, T1)], SEASONS.schema)
+    plan = target._changed(dedupe_latest(df, SEASONS))._jdf.queryExecution().executedPlan().toString()
+    assert "dynamicpruning" in plan.lower()
+
+
 def test_a_season_filter_reads_its_partition_only(seasons, spark):
     target, _ = seasons
     plan = target.read().where("season = 2031")._jdf.queryExecution().executedPlan().toString()
@@ -189,13 +241,13 @@ def test_a_season_filter_reads_its_partition_only(seasons, spark):
 def test_half_written_data_is_never_read(spark, batch, tmp_path):
     target = SnapshotTable(spark, str(tmp_path / "team"), TEAM, buckets=4)
     target.upsert(batch(("k7", "seven", T2, "f")))
-    junk = tmp_path / "team" / "data" / "attempt_=00000002-lost" / "_bucket=0"
+    junk = tmp_path / "team" / "data" / ".spark-staging-lost" / "_bucket=0"
     junk.mkdir(parents=True)
     (junk / "part-0.parquet").write_bytes(b"not parquet")
-    (tmp_path / "team" / "_commits" / ".00000002.json.draft").write_text("{")
+    (tmp_path / "team" / "_loads" / ".part-0.json.draft").write_text("{")
     assert target.version() == 1 and target.read().count() == 1
     with pytest.raises(FileExistsError):
-        Folder(spark, f"{target.path}/_commits").create("00000001.json", "{}")
+        Folder(spark, target.path).create("_table.json", "{}")
 
 
 def test_statement_for_merge_capable_catalogs(spark):
