@@ -20,7 +20,7 @@ from snaplake.session import work_dir, written
 from snaplake.sources.snapshots import write_landing
 from snaplake.sources.target import SnapshotTable
 from snaplake.spec import COUNT, RATE, TEXT, Table, col, key
-from snaplake.streaming.ingest import ingest_available, ingest_batch
+from snaplake.streaming.ingest import ingest_available, ingest_batch, unreadable
 from snaplake.tables import TABLES
 from snaplake.workload import landing
 from snaplake.workload.parsing import GAMES_SQL, landed, parsed
@@ -38,6 +38,12 @@ EVENT_LOG = Table(
     fields=(key("event_id", COUNT), col("user_id", COUNT), *_REST),
 )
 
+DOCUMENT_LOG = Table(
+    name="document_log", prefix="documents",
+    raw="doc_id BIGINT, lang STRING, source STRING, n_chars BIGINT, text STRING",
+    fields=(key("doc_id", COUNT), col("lang", TEXT), col("source", TEXT), col("n_chars", COUNT), col("text", TEXT)),
+)
+
 FIRST_TYPES = ("click", "signup", "view")
 _FIRST_SQL = "event_type IN ('click', 'signup', 'view')"
 
@@ -218,6 +224,28 @@ def stream_upsert(spark, sf_dir):
     return target.read().select("event_id", "user_id", "event_type", "value", "props")
 
 
+_CUT_LINE_SQL = """concat('{"doc_id":', doc_id, ',"source":"', source, '","n_chars":')"""
+
+
+@query("json_quarantine", f"""
+    SELECT doc_id, lang, source, n_chars, md5(text) AS digest, CAST(NULL AS VARCHAR) AS unreadable
+    FROM documents WHERE doc_id % 7 <> 3
+    UNION ALL
+    SELECT NULL, NULL, NULL, NULL, NULL, {_CUT_LINE_SQL} FROM documents WHERE doc_id % 7 = 3
+""")
+def json_quarantine(spark, sf_dir):
+    """All documents landed as JSON lines, every seventh cut off half way: a stream loads the whole ones and keeps the others."""
+    root = work_dir(spark, "quarantine")
+    documents = landing.table(spark, sf_dir, "documents")
+    cut = F.concat(F.lit('{"doc_id":'), "doc_id", F.lit(',"source":"'), "source", F.lit('","n_chars":'))
+    line = F.when(F.col("doc_id") % 7 == 3, cut).otherwise(F.to_json(F.struct("doc_id", "lang", "source", "n_chars", "text")))
+    documents.select(line.alias("value")).write.text(f"{root}/landing/{DOCUMENT_LOG.prefix}")
+    target = SnapshotTable(spark, f"{root}/table", DOCUMENT_LOG)
+    ingest_available(spark, target, f"{root}/landing", f"{root}/checkpoint", multiLine="false")
+    good = target.read().select("doc_id", "lang", "source", "n_chars", F.md5("text").alias("digest"))
+    return good.unionByName(unreadable(target).select(F.col("text").alias("unreadable")), allowMissingColumns=True)
+
+
 @query("stream_games", GAMES_SQL)
 def stream_games(spark, sf_dir):
     """Game summaries from landing files to the games table in one availableNow stream."""
