@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import or_
 
+from pyspark.errors import PySparkException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -56,15 +57,19 @@ def search_news(news: DataFrame, *, limit: int = DEFAULT_ARTICLES, **filters) ->
     return newest.limit(max(1, min(limit, MAX_ARTICLES))).select(*RESULT_COLUMNS)
 
 
-def search_envelope(news: DataFrame, *, limit: int = DEFAULT_ARTICLES, **filters) -> dict:
-    """The search as a plain dict; a failure is reported in it rather than raised."""
+def search_envelope(news: DataFrame, *, limit: int = DEFAULT_ARTICLES, index=None, **filters) -> dict:
+    """The search as a plain dict; what Spark refuses or fails at is reported in it rather than raised.
+
+    With an ``index`` of the news (``postings.NewsIndex``) the articles are found by way of it.
+    """
     asked = {k: filters.get(k, "") for k in ("query_text", "player", "team")}
     envelope = {"query": asked["query_text"], "player": asked["player"], "team": asked["team"]}
     cap = max(1, min(limit, MAX_ARTICLES))
     try:
-        ordered = matching_news(news, **filters).orderBy(F.col("created_at").desc(), F.col("id").desc())
+        matching = index.matching(**filters) if index else matching_news(news, **filters)
+        ordered = matching.orderBy(F.col("created_at").desc(), F.col("id").desc())
         found = ordered.select(*RESULT_COLUMNS).limit(cap + 1).collect()
-    except Exception as error:  # noqa: BLE001 - the caller gets every failure as text
+    except PySparkException as error:
         return {"error": f"query failed: {error}", **envelope}
     results = [row.asDict() for row in found[:cap]]
     for result in results:

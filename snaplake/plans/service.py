@@ -6,6 +6,7 @@ import json
 
 from pyspark.sql import SparkSession
 
+from snaplake.plans.postings import NewsIndex
 from snaplake.plans.query import DEFAULT_ROWS, run_query
 from snaplake.plans.search import DEFAULT_ARTICLES, DEFAULT_DAYS, search_envelope
 from snaplake.sources.catalog import Catalog
@@ -30,8 +31,11 @@ def load_catalog(spark: SparkSession, config: str) -> Catalog:
 
 
 class QueryService:
-    def __init__(self, catalog: Catalog):
+    """``news_index``, if given, is an index of the catalog's news table."""
+
+    def __init__(self, catalog: Catalog, news_index: NewsIndex | None = None):
         self.catalog = catalog
+        self.news_index = news_index
 
     def list_tables(self) -> list[dict]:
         return [row.asDict() for row in self.catalog.list_tables().collect()]
@@ -58,7 +62,7 @@ class QueryService:
         news = self.catalog.table(INJURY_NEWS.name)
         teams = self.catalog.table(TEAMS_NAME) if TEAMS_NAME in self.catalog.names else None
         return search_envelope(
-            news, query_text=query_text, player=player, team=team, days=days, limit=limit, teams=teams
+            news, query_text=query_text, player=player, team=team, days=days, limit=limit, teams=teams, index=self.news_index
         )
 
 

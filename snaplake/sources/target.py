@@ -97,10 +97,10 @@ class SnapshotTable:
         return len(Folder(self.spark, f"{self.path}/_loads").names(".json"))
 
     def read(self, spark: SparkSession | None = None) -> DataFrame:
-        return self._held(spark).select(*self.schema.fieldNames())
+        return self.placed(spark).select(*self.schema.fieldNames())
 
-    def _held(self, spark: SparkSession | None = None, hollow: bool = False) -> DataFrame:
-        """All rows with their bucket and place; ``hollow`` adds the rows without a key."""
+    def placed(self, spark: SparkSession | None = None, hollow: bool = False) -> DataFrame:
+        """All rows with their bucket and place (``_bucket``, ``_place``); ``hollow`` adds the rows without a key."""
         spark = spark or self.spark
         kinds = StructType([StructField(f.name, f.dataType) for f in self.schema] + [StructField(BUCKET, IntegerType())])
         found = Folder(spark, self.path).holds("data")
@@ -108,6 +108,10 @@ class SnapshotTable:
         rows = rows.withColumn(PLACE, self._place(F.col(BUCKET)))
         return rows if hollow else rows.where(F.col(self.keys[0]).isNotNull())
 
+    def with_bucket(self, rows: DataFrame) -> DataFrame:
+        """Rows that have the keys, with the bucket they belong to."""
+        return rows.withColumn(BUCKET, bucket_of(self.keys, self._declared["buckets"]))
+
     def _place(self, bucket: Column) -> Column:
         """A place as text: an expression of partition columns only, so that Spark can prune by it."""
         names = (F.coalesce(F.col(name).cast("string"), F.lit("")) for name in self.partitions)
@@ -150,11 +154,11 @@ class SnapshotTable:
         """
         table = self.table
         keys, at = list(table.keys), F.col(table.snapshot_column)
-        placed = fresh.withColumn(BUCKET, bucket_of(table.keys, self._declared["buckets"]))
+        placed = self.with_bucket(fresh)
         placed = placed.withColumn("_to", self._place(F.col(BUCKET)))
         # the comparison says nothing; a join prunes partitions only by a side that has a filter
         asked = placed.where(F.col(BUCKET) >= 0).select(BUCKET, *keys)
-        mine = self._held().select(*keys, BUCKET, PLACE, at.alias("_held_at")).join(asked, [BUCKET, *keys], "left_semi")
+        mine = self.placed().select(*keys, BUCKET, PLACE, at.alias("_held_at")).join(asked, [BUCKET, *keys], "left_semi")
         best = F.max(F.struct(F.col("_held_at").isNull(), "_held_at", PLACE))
         held = mine.groupBy(*keys).agg(best.alias("_held"), F.collect_set(PLACE).alias("_places"))
         joined = placed.join(held, keys, "left")
@@ -172,11 +176,11 @@ class SnapshotTable:
         touched = F.when(comes, F.array_union("_gone", to)).otherwise(F.col("_gone"))
         touched = changed.select(F.explode(touched).alias(PLACE)).distinct().where(F.col(PLACE) >= "")
         gone = changed.select(*keys, F.explode("_gone").alias(PLACE))
-        stay = self._held().join(touched, PLACE, "left_semi").join(gone, [*keys, PLACE], "left_anti")
+        stay = self.placed().join(touched, PLACE, "left_semi").join(gone, [*keys, PLACE], "left_anti")
         added = changed.where(comes).select(*table.columns, BUCKET)
         left = F.when(comes, F.array_except("_gone", to)).otherwise(F.col("_gone"))
         left = changed.select(F.explode(left).alias(PLACE)).distinct().where(F.col(PLACE) >= "")
-        hollow = self._held(hollow=True).join(left, PLACE, "left_semi").select(*place).distinct()
+        hollow = self.placed(hollow=True).join(left, PLACE, "left_semi").select(*place).distinct()
         rows = stay.select(*table.columns, BUCKET).unionByName(added).unionByName(hollow, allowMissingColumns=True)
         rows = rows.hint("rebalance", *place).sortWithinPartitions(*place, *keys)
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", ROWS_PER_FILE)

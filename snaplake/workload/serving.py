@@ -10,12 +10,13 @@ from pyspark.sql import functions as F
 
 from snaplake.functions.scalars import excerpt
 from snaplake.plans import search as S
+from snaplake.plans.postings import NewsIndex
 from snaplake.plans.query import guarded_sql, run_query
 from snaplake.plans.service import QueryService, load_catalog
 from snaplake.session import work_dir, written
 from snaplake.sources.catalog import Catalog, ensure_table, profile
 from snaplake.sources.target import SnapshotTable
-from snaplake.tables import TABLES
+from snaplake.tables import INJURY_NEWS, TABLES
 from snaplake.workload import landing
 from snaplake.workload.parsing import NEWS_SQL, parsed
 from snaplake.workload.registry import plain, query
@@ -253,6 +254,30 @@ def search_matches(spark, sf_dir):
     return S.matching_news(_news(spark, sf_dir), query_text="100% @ _", days=30, now=_now()).select("id")
 
 
+_INDEXED_WORDS = ["License", "100%", "@", "_", "ß", "qzx~", "0.5"]
+
+
+def _any_word_sql(words) -> str:
+    like = (w.replace("\\", "\\\\").replace("%", "\\%").replace("_", "\\_") for w in words)
+    return " OR ".join(f"{c} ILIKE '%{w}%' ESCAPE '\\'" for w in like for c in ("title", "description"))
+
+
+@query("search_indexed", f"""
+    SELECT id, title FROM ({NEWS_SQL}) n WHERE created_at >= TIMESTAMP '2024-01-07' - INTERVAL 30 DAY
+        AND ({_any_word_sql(_INDEXED_WORDS)})
+""")
+def search_indexed(spark, sf_dir):
+    """Words of all lengths, with signs that LIKE takes for its own, looked up in postings that two loads have built."""
+    root = work_dir(spark, "postings")
+    news = _news(spark, sf_dir)
+    target = SnapshotTable(spark, f"{root}/news", INJURY_NEWS, buckets=16)
+    index = NewsIndex(target, f"{root}/index")
+    for half in (news.where("id % 2 = 0"), news.where("id % 2 = 1")):
+        target.upsert(half)
+        index.refresh(half)
+    return index.matching(query_text=" ".join(_INDEXED_WORDS), days=30, now=_now()).select("id", "title")
+
+
 @query("search_team", f"""
     {_RESULT_SQL} FROM ({NEWS_SQL}) n WHERE {_SINCE_SQL} AND team_id = 'SRC7' AND title ILIKE '%en report%'
     {_ORDER_SQL} LIMIT 8
