@@ -16,6 +16,7 @@ reads is replaced may fail and can be repeated: read before, or write down, what
 from __future__ import annotations
 
 import json
+from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import cached_property
 
@@ -25,6 +26,7 @@ from pyspark.sql.types import DateType, IntegerType, IntegralType, StructField,
 
 from snaplake.operators.latest import dedupe_latest
 from snaplake.operators.merge import bucket_of, require_keys
+from snaplake.operators.totals import SIGN, RunningTotals
 from snaplake.sources.files import Folder
 from snaplake.spec import Table
 
@@ -117,8 +119,12 @@ class SnapshotTable:
         names = (F.coalesce(F.col(name).cast("string"), F.lit("")) for name in self.partitions)
         return F.concat_ws("/", *names, bucket.cast("string"))
 
-    def upsert(self, batch: DataFrame) -> Load:
-        """Merge parsed rows: new keys are inserted, known ones give way to strictly newer snapshots."""
+    def upsert(self, batch: DataFrame, totals: Sequence[RunningTotals] = ()) -> Load:
+        """Merge parsed rows: new keys are inserted, known ones give way to strictly newer snapshots.
+
+        ``totals`` take the difference. They belong to a table from its first load on; a load that was lost half way
+        must come again before another one, as it does from a stream.
+        """
         table = self.table
         for name in table.partitions:
             if not isinstance(table.schema[name].dataType, (IntegralType, DateType)):
@@ -137,8 +143,12 @@ class SnapshotTable:
                     F.count_if(new & F.col("_held").isNotNull()).alias("updated"),
                 ).first()
                 load = Load(found.inserted, found.updated)
+                number = self.version() + 1
                 if found.places:
+                    for kept in totals:
+                        kept.record(self._differences(changed), number)
                     self._overwrite(changed)
+                if found.places or any(kept.pending(number) for kept in totals):
                     self._log(load)
                 return load
             finally:
@@ -168,6 +178,14 @@ class SnapshotTable:
         out = joined.select(*table.columns, BUCKET, "_to", "_held", comes.alias("_comes"), leaves.alias("_gone"))
         return out.where(F.col("_comes") | (F.size("_gone") > 0))
 
+    def _differences(self, changed: DataFrame) -> DataFrame:
+        """The rows that come (1) and those they replace (-1)."""
+        columns, comes = self.table.columns, changed.where("_comes")
+        leave = comes.select(*self.keys, F.col("_held")[PLACE].alias(PLACE)).where(F.col(PLACE) >= "")
+        old = self.placed().join(leave, [*self.keys, PLACE], "left_semi")
+        new = comes.select(*columns, F.lit(1).alias(SIGN))
+        return new.unionByName(old.select(*columns, F.lit(-1).alias(SIGN)))
+
     def _overwrite(self, changed: DataFrame) -> None:
         """The touched places anew: what they held, less what leaves, and what comes."""
         table = self.table

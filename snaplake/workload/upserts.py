@@ -15,6 +15,7 @@ from snaplake.operators.latest import (
     top_n_per_group,
 )
 from snaplake.operators.merge import key_counts, merge_latest
+from snaplake.operators.totals import RunningTotals
 from snaplake.plans.parsers import parse
 from snaplake.session import work_dir, written
 from snaplake.sources.snapshots import write_landing
@@ -172,6 +173,21 @@ def upsert_replay(spark, sf_dir):
     return _shown(target.read())
 
 
+@query("running_totals", f"""
+    SELECT event_type, CAST(count(*) AS BIGINT) AS n_rows, CAST(sum(event_id) AS BIGINT) AS event_id
+    FROM ({_NEWEST}) GROUP BY event_type
+""")
+def running_totals(spark, sf_dir):
+    """Users by their newest event, kept over three loads, of which the last is a replay; users move between groups."""
+    target = _target(spark)
+    totals = RunningTotals(spark, f"{target.path}/totals", ["event_type"], ["event_id"])
+    first, second = _two_batches(_states(spark, sf_dir))
+    for batch in (first, second, first):
+        target.upsert(batch, totals=[totals])
+        totals.fold()
+    return totals.read()
+
+
 @query("table_history", f"""
     WITH t AS ({_newest_sql(_FIRST_SQL)}), s AS ({_newest_sql(f'NOT {_FIRST_SQL}')})
     SELECT CAST(1 AS BIGINT) AS version, count(*) AS rows_inserted, CAST(0 AS BIGINT) AS rows_updated,
