@@ -1,10 +1,21 @@
-"""A folder on whatever file system Spark is configured for."""
+"""A folder on whatever file system Spark is configured for, and how its parquet files are told apart."""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import SparkSession
 
 
+def bloom_filters(columns: Iterable[str]) -> dict[str, str]:
+    """Writer options for columns that are looked up by value.
+
+    Rows of one key lie in a file among many whose least and greatest keys enclose it; a bloom filter of each row
+    group lets a look-up skip those that do not hold it. Columns that a file keeps as a dictionary need none and get none.
+    """
+    return {"parquet.bloom.filter.adaptive.enabled": "true"} | {f"parquet.bloom.filter.enabled#{c}": "true" for c in columns}
+
+
 class Folder:
     """Small control files; data goes through DataFrame readers and writers."""
 

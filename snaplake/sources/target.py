@@ -27,7 +27,7 @@ from pyspark.sql.types import DateType, IntegerType, IntegralType, StructField,
 from snaplake.operators.latest import dedupe_latest
 from snaplake.operators.merge import bucket_of, require_keys
 from snaplake.operators.totals import SIGN, RunningTotals
-from snaplake.sources.files import Folder
+from snaplake.sources.files import Folder, bloom_filters
 from snaplake.spec import Table
 
 BUCKET, PLACE = "_bucket", "_place"
@@ -122,6 +122,7 @@ class SnapshotTable:
     def upsert(self, batch: DataFrame, totals: Sequence[RunningTotals] = ()) -> Load:
         """Merge parsed rows: new keys are inserted, known ones give way to strictly newer snapshots.
 
+        Fails if a key that came does not stand exactly once afterwards. The same batch again puts a table right.
         ``totals`` take the difference. They belong to a table from its first load on; a load that was lost half way
         must come again before another one, as it does from a stream.
         """
@@ -148,6 +149,7 @@ class SnapshotTable:
                     for kept in totals:
                         kept.record(self._differences(changed), number)
                     self._overwrite(changed)
+                    self._check(fresh)
                 if found.places or any(kept.pending(number) for kept in totals):
                     self._log(load)
                 return load
@@ -202,7 +204,17 @@ class SnapshotTable:
         rows = stay.select(*table.columns, BUCKET).unionByName(added).unionByName(hollow, allowMissingColumns=True)
         rows = rows.hint("rebalance", *place).sortWithinPartitions(*place, *keys)
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("maxRecordsPerFile", ROWS_PER_FILE)
-        writer.partitionBy(*place).parquet(self.data)
+        writer.options(**bloom_filters(keys)).partitionBy(*place).parquet(self.data)
+
+    def _check(self, fresh: DataFrame) -> None:
+        """Every key of the batch stands once, in whatever place; only keys of its buckets are read."""
+        keys = [BUCKET, *self.keys]
+        came = self.with_bucket(fresh.select(*self.keys)).where(F.col(BUCKET) >= 0)
+        stands = self.placed().select(*keys).join(came, keys, "left_semi").groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+        rows, distinct = stands.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+        given = fresh.count()
+        if not rows == distinct == given:
+            raise ValueError(f"{rows} rows but {distinct} distinct keys ({', '.join(self.keys)}) after a load of {given}")
 
     def _log(self, load: Load) -> None:
         row = self.spark.range(0, 1, 1, 1).select(

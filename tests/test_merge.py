@@ -222,6 +222,25 @@ def test_a_move_lost_half_way_is_put_right_by_the_same_batch(seasons, tmp_path):
     assert target.read().count() == 61
 
 
+def test_a_key_that_stands_twice_after_a_load_is_found(seasons, monkeypatch):
+    """A second row of the key turns up in another season while the load is written."""
+    target, put = seasons
+    write = SnapshotTable._overwrite
+
+    def write_and_plant(self, changed):
+        write(self, changed)
+        other = self.placed().where("game = 'g0'").withColumn("season", F.lit(2099))
+        other.drop("_place").coalesce(1).write.mode("append").partitionBy("season", "_bucket").parquet(self.data)
+
+    with monkeypatch.context() as broken:
+        broken.setattr(SnapshotTable, "_overwrite", write_and_plant)
+        with pytest.raises(ValueError, match="2 rows but 1 distinct keys"):
+            put(("g0", 2030, 5, T2))
+    put(("g0", 2030, 5, T2))  # the same batch again
+    assert [(r.season, r.score) for r in target.read().where("game = 'g0'").collect()] in ([(2030, 5)], [(2099, 5)])
+    assert_unique(target.read(), target.keys)
+
+
 def test_upserts_prune_places_they_cannot_touch(seasons, spark):
     target, _ = seasons
     df = spark.createDataFrame([("g0", 2030, 1, "f", T2, T1)], SEASONS.schema)
