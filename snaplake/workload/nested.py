@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from snaplake.functions import nested as N
 from snaplake.functions import scalars as S
+from snaplake.session import work_dir
 from snaplake.workload import landing
 from snaplake.workload.parsing import landed
 from snaplake.workload.registry import plain, query
@@ -260,6 +261,30 @@ def wide_pivot_stats(spark, sf_dir):
     return wide.select("team_id", "wins", "losses", "divisionWins", "pointDifferential")
 
 
+@query("variant_stats", """
+    SELECT concat(c_custkey, '-', i) AS team_id, CAST(c_custkey % 18 + i AS BIGINT) AS wins,
+        CAST(17 - c_custkey % 18 AS VARCHAR) AS losses, '99' AS division_wins,
+        CASE WHEN c_custkey % 2 = 1 THEN CAST(17 - c_custkey % 18 + 100 AS VARCHAR) END AS late
+    FROM customer CROSS JOIN generate_series(1, 3) AS s(i) WHERE i <= 1 + c_custkey % 3
+""")
+def variant_stats(spark, sf_dir):
+    """Undeclared stats kept as VARIANT in two loads; the second brings one that nobody knew of, and nothing is rewritten."""
+    conferences = N.unnest(landing.standings_responses(spark, sf_dir).select("children"), "children", "c")
+    entries = N.unnest(conferences, "c.standings.entries", "e")
+    pairs = entries.select(F.col("e.team.id").alias("team_id"), F.transform("e.stats", lambda x: F.struct(x["name"], x["value"])).alias("stats"))
+    odd = F.split("team_id", "-")[0].cast("bigint") % 2 == 1
+    late = F.struct(F.lit("late").alias("name"), (N.last_named_value("stats", "losses", "value").cast("bigint") + 100).cast("string").alias("value"))
+    path = work_dir(spark, "variant")
+    for load in (pairs.where(~odd), pairs.where(odd).withColumn("stats", F.array_append("stats", late))):
+        load.select("team_id", N.pairs_as_variant("stats").alias("stats")).write.mode("append").parquet(path)
+    stats = spark.read.schema("team_id STRING, stats VARIANT").parquet(path)
+    return stats.select(
+        "team_id",
+        N.variant_field("stats", "wins", "bigint").alias("wins"),
+        *(N.variant_field("stats", name).alias(alias) for name, alias in (("losses", "losses"), ("divisionWins", "division_wins"), ("late", "late"))),
+    )
+
+
 @query("group_entries_pivot", """
     SELECT CAST(l_orderkey AS VARCHAR) AS game_id, w.who AS player_id, w.n_groups AS n_groups,
         w.receptions AS receptions, w.fumbles_lost AS fumbles_lost
