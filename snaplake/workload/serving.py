@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from snaplake.functions.scalars import excerpt
 from snaplake.plans import search as S
 from snaplake.plans.postings import NewsIndex
+from snaplake.plans.profiles import ProfileStore
 from snaplake.plans.query import guarded_sql, run_query
 from snaplake.plans.service import QueryService, load_catalog
 from snaplake.session import work_dir, written
@@ -21,7 +22,7 @@ from snaplake.workload import landing
 from snaplake.workload.parsing import NEWS_SQL, parsed
 from snaplake.workload.registry import plain, query
 from snaplake.workload.silver import silver
-from snaplake.workload.upserts import USER_STATE, _newest_sql, _states, _two_batches
+from snaplake.workload.upserts import USER_STATE, _halves, _newest_sql, _states, _two_batches
 
 
 def _catalog(spark, sf_dir, *names):
@@ -164,7 +165,7 @@ def _profile_sql(name: str, numeric: bool) -> str:
         CAST({number.format(f'min({name})')} AS DOUBLE) AS least, CAST({number.format(f'max({name})')} AS DOUBLE) AS most,
         {f'round(avg({name}), 4)' if numeric else number} AS avg,
         {f'round(stddev_samp({name}), 4)' if numeric else number} AS std,
-        TRUE AS near_unique, TRUE AS near_quartiles FROM orders"""
+        TRUE AS has_unique, TRUE AS has_quartiles FROM orders"""
 
 
 _ORDERS = (
@@ -173,37 +174,36 @@ _ORDERS = (
 )
 
 
-@query("table_profile", " UNION ALL ".join(_profile_sql(*c) for c in _ORDERS))
-def table_profile(spark, sf_dir):
-    """Every column of orders. Extremes of numbers are compared as numbers; the estimates are held
-    against exact figures: distinct values within a fifth, the ranks of the quartiles within 2 %."""
-    orders = landing.table(spark, sf_dir, "orders")
-    summary = profile(orders)
-    numbers = [name for name, numeric in _ORDERS if numeric]
-    estimates = {r.column_name: r for r in summary.collect()}  # one row per column
-    exact = orders.agg(
-        *(F.count_distinct(name).alias(f"{name}_n") for name, _ in _ORDERS),
-        *(
-            F.avg((F.col(name) <= F.lit(estimates[name][q])).cast("double")).alias(f"{name}_{q}")
-            for name in numbers for q in ("q25", "q50", "q75")
-        ),
-    ).first()
-
-    def near(name: str) -> tuple[str, bool, bool]:
-        unique = abs(estimates[name].approx_unique - exact[f"{name}_n"]) <= 0.2 * exact[f"{name}_n"]
-        wanted = {"q25": 0.25, "q50": 0.5, "q75": 0.75} if name in numbers else {}
-        return name, unique, all(abs(exact[f"{name}_{q}"] - p) <= 0.02 for q, p in wanted.items())
-
-    judged = spark.createDataFrame([near(name) for name, _ in _ORDERS], "column_name STRING, near_unique BOOLEAN, near_quartiles BOOLEAN")
-    numeric = F.col("column_name").isin(numbers)
-    return summary.join(judged, "column_name").select(
+def _profile_shown(summary):
+    numeric = F.col("column_name").isin([name for name, numeric in _ORDERS if numeric])
+    return summary.select(
         "column_name", "row_count", "null_count",
         F.when(~numeric, F.col("min")).alias("min"), F.when(~numeric, F.col("max")).alias("max"),
         F.when(numeric, F.col("min").cast("double")).alias("least"), F.when(numeric, F.col("max").cast("double")).alias("most"),
-        F.round("avg", 4).alias("avg"), F.round("std", 4).alias("std"), "near_unique", "near_quartiles",
+        F.round("avg", 4).alias("avg"), F.round("std", 4).alias("std"),
+        (F.col("approx_unique") > 0).alias("has_unique"),
+        (F.coalesce("q25", "q50", "q75").isNotNull() == numeric).alias("has_quartiles"),
     )
 
 
+@query("table_profile", " UNION ALL ".join(_profile_sql(*c) for c in _ORDERS))
+def table_profile(spark, sf_dir):
+    """Every column of orders, in one scan. Extremes of numbers are compared as numbers; the estimates, which SQL has no
+    equal for, are held against exact figures in the tests and only shown to be there."""
+    return _profile_shown(profile(landing.table(spark, sf_dir, "orders")))
+
+
+@query("profile_merged", " UNION ALL ".join(_profile_sql(*c) for c in _ORDERS))
+def profile_merged(spark, sf_dir):
+    """The same profile merged from those of years, which were made in two runs, the second for years that came later."""
+    orders = landing.table(spark, sf_dir, "orders").withColumn("year", F.year("o_orderdate"))
+    schema = orders.drop("year").schema
+    store = ProfileStore(spark, work_dir(spark, "profiles"), schema, ["year"])
+    for years in _halves(orders, F.col("year") < 1995):
+        store.refresh(years)
+    return _profile_shown(store.profile())
+
+
 @query("table_ddl", """
     SELECT CAST(s_suppkey AS VARCHAR) AS team_id, concat('T', s_suppkey) AS abbreviation, s_name AS display_name
     FROM supplier

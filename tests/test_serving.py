@@ -171,6 +171,21 @@ def test_profile(catalog):
     assert rows["name"]["avg"] is None and rows["name"]["approx_unique"] == 3 and rows["id"]["null_count"] == 0
 
 
+def test_profile_estimates_are_near_the_exact_figures(spark):
+    """Distinct values within a fifth, the ranks of the quartiles within 2 %."""
+    orders = spark.read.parquet("/root/testdata/sf0.01/orders.parquet")
+    estimates = {r.column_name: r for r in profile(orders).collect()}
+    numbers = {f.name for f in orders.schema if f.dataType.typeName() in ("long", "integer", "double")}
+    assert numbers
+    for f in orders.schema:
+        exact = orders.select(f.name).distinct().count()
+        assert abs(estimates[f.name].approx_unique - exact) <= 0.2 * exact
+        for q, p in (("q25", 0.25), ("q50", 0.5), ("q75", 0.75)) if f.name in numbers else ():
+            rank = orders.where(F.col(f.name) <= estimates[f.name][q]).count() / orders.count()
+            below = orders.where(F.col(f.name) < estimates[f.name][q]).count() / orders.count()
+            assert below - 0.02 <= p <= rank + 0.02
+
+
 def test_profile_of_maps_counts_only(spark):
     row = profile(spark.sql("SELECT map('a', 1) AS m UNION ALL SELECT NULL")).first()
     assert (row["column_name"], row["row_count"], row["null_count"], row["min"], row["approx_unique"]) == ("m", 2, 1, None, None)
