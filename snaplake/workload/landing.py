@@ -19,6 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def records(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The rows that landing records are made of, dealt out anew.
+
+    A record is many times as large as its row, so the splits of the files say little about the work, and few
+    large splits would keep few cores busy.
+    """
+    rows = table(spark, sf_dir, name)
+    return rows.repartition(*rows.columns[:2])  # the key and what tells its rows apart
+
+
 def _stat(name: str, value: str, display: str) -> str:
     return f"named_struct('name', '{name}', 'value', {value}, 'displayValue', {display})"
 
@@ -53,7 +63,7 @@ def team_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         'isActive', s_acctbal >= 0,
         'logos', array(named_struct('href', concat('http://x/', s_suppkey))),
         'links', array('a', 'b'))"""
-    return table(spark, sf_dir, "supplier").selectExpr(
+    return records(spark, sf_dir, "supplier").selectExpr(
         f"array(named_struct('leagues', array(named_struct('teams', array("
         f"named_struct('team', {team})))))) AS sports",
         "concat('supplier/', s_suppkey) AS _source_file",
@@ -83,7 +93,7 @@ def player_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
         'experience', named_struct('years', int(c_custkey % 20)),
         'hand', named_struct('type', IF(c_custkey % 3 = 0, 'LEFT', 'RIGHT')),
         'active', c_acctbal > 0, 'links', array('a'))"""
-    return table(spark, sf_dir, "customer").selectExpr(
+    return records(spark, sf_dir, "customer").selectExpr(
         f"array({athlete}) AS items",
         "concat('customer/', c_custkey) AS _source_file",
         "TIMESTAMP'2024-01-01 00:00:00' AS _snapshot_at",
@@ -111,7 +121,7 @@ def roster_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         group("defense", "sequence(1, 2)", "-d"),
         group("suspended", "filter(sequence(1, 1), x -> x > 1)", "-s"),
     )
-    return table(spark, sf_dir, "supplier").selectExpr(
+    return records(spark, sf_dir, "supplier").selectExpr(
         "named_struct('year', int(2015 + s_nationkey % 10), 'type', int(2)) AS season",
         f"named_struct('id', string(s_suppkey), 'abbreviation', concat('T', s_suppkey),"
         f" 'displayName', s_name, 'links', array('z')) AS team",
@@ -159,7 +169,7 @@ def standings_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     ids = "sequence(1, int(1 + c_custkey % 3))"
-    return table(spark, sf_dir, "customer").selectExpr(
+    return records(spark, sf_dir, "customer").selectExpr(
         "named_struct('year', int(2015 + c_custkey % 10)) AS season",
         _array(
             child("AFC", f"IF(c_nationkey % 2 = 0, {ids}, filter({ids}, x -> x < 0))"),
@@ -204,7 +214,7 @@ def schedule_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         'competitors', IF(o_orderkey % 2 = 0, array({home}, {away}), array({away}, {home})),
         'broadcasts', array('tv'), 'notes', array('n'), 'tickets', array('t'),
         'ticketsAvailable', true)"""
-    return table(spark, sf_dir, "orders").selectExpr(
+    return records(spark, sf_dir, "orders").selectExpr(
         "string(o_orderkey) AS id",
         f"concat({KICKOFF}, '12:00Z') AS date",
         "named_struct('year', int(year(o_orderdate) - IF(month(o_orderdate) <= 2, 1, 0))) AS season",
@@ -240,7 +250,7 @@ def game_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         'competitors', IF(o_orderkey % 2 = 0, array({home}, {away}), array({away}, {home})))"""
     season = """named_struct('year', int(year(o_orderdate) - IF(month(o_orderdate) <= 2, 1, 0)),
         'type', int(1 + o_custkey % 3))"""
-    return table(spark, sf_dir, "orders").selectExpr(
+    return records(spark, sf_dir, "orders").selectExpr(
         "o_orderkey AS game_id",
         f"named_struct('id', string(o_orderkey), 'season', {season},"
         f" 'week', int(month(o_orderdate)), 'competitions', array({competition})) AS header",
@@ -311,7 +321,7 @@ def team_box_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     teams = _array(side("away", BOX_AWAY, 0), side("home", BOX_HOME, 1))
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    return records(spark, sf_dir, "lineitem").selectExpr(
         "string(l_orderkey) AS game_id",
         f"named_struct('teams', {teams}) AS boxscore",
         f"{LINE_FILE} AS _source_file",
@@ -423,7 +433,7 @@ def player_box_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"named_struct('team', {_team(BOX_AWAY)}, 'statistics', {away})",
         f"named_struct('team', {_team(BOX_HOME)}, 'statistics', {home})",
     )
-    return table(spark, sf_dir, "lineitem").selectExpr(
+    return records(spark, sf_dir, "lineitem").selectExpr(
         "string(l_orderkey) AS game_id",
         _line_header(),
         f"named_struct('players', {players}) AS boxscore",
@@ -445,7 +455,7 @@ def news_payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
         'sport_id', 'NFL', 'categories', array(lang, source),
         'link', concat('https://x/', doc_id), 'desc', text,
         'impact', concat('  ', n_chars, ' characters '))"""
-    return table(spark, sf_dir, "documents").selectExpr(
+    return records(spark, sf_dir, "documents").selectExpr(
         "'NFL' AS sport", "'news' AS title", "bigint(1) AS count",
         f"array({item}) AS items",
         "concat('documents/', doc_id) AS _source_file",
