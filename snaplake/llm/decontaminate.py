@@ -26,7 +26,8 @@ WINDOW = 13
 #: A broadcast carries the windows of at most so many bytes of benchmark text. A larger benchmark is
 #: scanned block by block, each block within this bound.
 BENCHMARK_BYTES = 32 << 20
-FILTER_BITS = 22
+#: A filter before the search has so many places a window, and this power of two of them at most.
+FILTER_SHARE, FILTER_BITS = 64, 22
 
 _WORD = np.ones(256, dtype=bool)
 _WORD[[*range(0x00, 0x30), *range(0x3A, 0x61), *range(0x7B, 0x80)]] = False
@@ -62,10 +63,11 @@ class Windows:
         self.by_length = []
         for m, entries in sorted(found.items()):
             keys = np.array(sorted(entries), np.uint64)
-            maybe = np.zeros(1 << FILTER_BITS, bool)
-            maybe[keys >> np.uint64(64 - FILTER_BITS)] = True
+            shift = np.uint64(64 - min(FILTER_BITS, (FILTER_SHARE * len(keys)).bit_length()))
+            maybe = np.zeros(1 << (64 - int(shift)), bool)
+            maybe[keys >> shift] = True
             held = [entries[int(k)] for k in keys]
-            self.by_length.append((m, keys, maybe, [h[0] for h in held], [sorted(h[1]) for h in held]))
+            self.by_length.append((m, keys, shift, maybe, [h[0] for h in held], [sorted(h[1]) for h in held]))
 
     def hits(self, part: Texts) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
         """Of each text: its number of words, whether each word (of all texts) is hit, the items found."""
@@ -75,10 +77,10 @@ class Windows:
         edge = np.zeros(len(starts) + 1, np.int64)
         items: list[set[str]] = [set() for _ in part.starts]
         sums = ITEMS.sums(BYTES.spans(BYTES.sums(low), starts, ends)) if len(starts) else None
-        for m, keys, maybe, texts, ids in self.by_length if sums is not None else ():
+        for m, keys, shift, maybe, texts, ids in self.by_length if sums is not None else ():
             at = np.flatnonzero(np.arange(len(starts)) + m <= last)
             h = ITEMS.spans(sums, at, at + m)
-            near = maybe[h >> np.uint64(64 - FILTER_BITS)]
+            near = maybe[h >> shift]
             at, h = at[near], h[near]
             key = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
             same = keys[key] == h

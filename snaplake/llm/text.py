@@ -87,7 +87,7 @@ class Rolling:
 
     def _powers(self, n: int) -> None:
         if n > len(self._up):
-            n = max(n, 2 * BLOCK_BYTES)
+            n = 1 << (n - 1).bit_length()  # short texts need short tables, also on the driver
             self._up, self._down = (
                 np.cumprod(np.concatenate((np.ones(1, U64), np.full(n - 1, b, U64)))) for b in (self._base, self._inverse)
             )
