@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaplake.llm.text import BYTES, Known, Texts, blank, blocks, spread
+from snaplake.llm.text import Known, Texts, blank, blocks, span_keys, spread
 
 LIMIT = 1024
 #: How the vocabulary's library cuts a text before merging (fixed by the vocabulary).
@@ -143,7 +143,7 @@ class Merger:
         begin[part.starts[part.starts < part.ends]] = True
         starts = np.flatnonzero(begin)
         ends = np.append(starts[1:], len(part.data))
-        key = BYTES.spans(BYTES.sums(part.data), starts, ends)
+        key = span_keys(part.data, starts, ends)
         unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         slot, known = self.known.find(unique)
         if not known.all():

@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaplake.llm.text import BYTES, ITEMS, LOWER, Texts, blocks, owner, runs
+from snaplake.llm.text import ITEMS, LOWER, Texts, blocks, owner, runs, span_keys
 
 WINDOW = 13
 #: A broadcast carries the windows of at most so many bytes of benchmark text. A larger benchmark is
@@ -51,7 +51,7 @@ class Windows:
         for part in blocks(pa.array([r[1] for r in rows], pa.string()), pad=1):
             low, starts, ends, text = _words(part)
             words = [low[a:b].tobytes() for a, b in zip(starts, ends, strict=True)]
-            sums = ITEMS.sums(BYTES.spans(BYTES.sums(low), starts, ends))
+            sums = ITEMS.sums(span_keys(low, starts, ends))
             count = np.bincount(text, minlength=len(part.starts))
             first = np.cumsum(count) - count
             for i, n in enumerate(count):
@@ -76,7 +76,7 @@ class Windows:
         last = np.cumsum(count)[text]
         edge = np.zeros(len(starts) + 1, np.int64)
         items: list[set[str]] = [set() for _ in part.starts]
-        sums = ITEMS.sums(BYTES.spans(BYTES.sums(low), starts, ends)) if len(starts) else None
+        sums = ITEMS.sums(span_keys(low, starts, ends)) if len(starts) else None
         for m, keys, shift, maybe, texts, ids in self.by_length if sums is not None else ():
             at = np.flatnonzero(np.arange(len(starts)) + m <= last)
             h = ITEMS.spans(sums, at, at + m)

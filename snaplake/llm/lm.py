@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from snaplake.llm.store import stored
-from snaplake.llm.text import BYTES, LOWER, Texts, blank, blocks, owner, runs
+from snaplake.llm.text import LOWER, Texts, blank, blocks, owner, runs, span_keys
 
 ORDER = 5
 MODEL_ENTRIES = 1 << 23
@@ -56,7 +56,7 @@ def _tokens(part: Texts) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text of each word, end tokens left out."""
     low = LOWER[part.data]
     starts, ends = runs(~blank(low) & (low != END))
-    return BYTES.spans(BYTES.sums(low), starts, ends).view(np.int64), owner(part.starts, starts)
+    return span_keys(low, starts, ends).view(np.int64), owner(part.starts, starts)
 
 
 class _Tally:
@@ -280,7 +280,7 @@ def _scan(model, block: int, n_blocks: int, known):
         edges = np.concatenate(([0], np.cumsum(np.bincount(pairs[0], minlength=rows)))).astype(np.int32)
         low = LOWER[part.data]
         return [
-            BYTES.spans(BYTES.sums(low), part.starts, part.ends).view(np.int64),
+            span_keys(low, part.starts, part.ends).view(np.int64),
             np.bincount(text, minlength=rows),
             np.bincount(text[found], minlength=rows),
             np.bincount(text, weights=log, minlength=rows),

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from snaplake.llm.store import stored
-from snaplake.llm.text import BYTES, LOWER, Known, Texts, blank, blocks, spread
+from snaplake.llm.text import LOWER, Known, Texts, blank, blocks, span_keys, spread
 
 CAPACITY = 4096
 END = 1
@@ -79,7 +79,7 @@ class Encoder:
         starts = np.flatnonzero(cut) + 1
         stop = np.flatnonzero(~inside)
         ends = np.minimum(np.append(starts[1:], len(low)), stop[np.searchsorted(stop, starts)])
-        key = BYTES.spans(BYTES.sums(low), starts, ends)
+        key = span_keys(low, starts, ends)
         unique, first, inverse = np.unique(key, return_index=True, return_inverse=True)
         slot, known = self.known.find(unique)
         if not known.all():

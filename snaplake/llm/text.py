@@ -12,6 +12,7 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 BLOCK_BYTES = 1 << 20
 
@@ -108,6 +109,18 @@ BYTES = Rolling(0x9E3779B97F4A7C15, seed=11)
 ITEMS = Rolling(0xD1342543DE82EF95, seed=12)
 
 
+#: Sums of powers modulo 2^64 are equal for some unlike strings of regular make, from some 500 bytes on.
+LONG = 128
+
+
+def span_keys(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of spans of bytes as they are, by a hash of another kind for long ones."""
+    found = BYTES.spans(BYTES.sums(data), starts, ends)
+    for i in np.flatnonzero(ends - starts >= LONG):
+        found[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
+    return found
+
+
 def blank(data: np.ndarray) -> np.ndarray:
     """Where ASCII white space stands (space, tab to carriage return)."""
     return _BLANK[data]

@@ -56,3 +56,21 @@ def test_ids_equal_the_library(texts):
             ids, count = coder.encode(part)
             got += [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])]
         assert got == library(WORD, texts)
+
+
+def thue_morse(n, a, b):
+    """Two strings of n letters whose sums of powers modulo 2^64 are equal for every base."""
+    bits = [bin(k).count("1") % 2 for k in range(n)]
+    return "".join(b if x else a for x in bits), "".join(a if x else b for x in bits)
+
+
+@pytest.mark.parametrize("n", [64, 256, 1024, 2048])
+def test_strings_whose_sums_of_powers_are_equal_are_told_apart(n):
+    letters = "abinsxEQ09_éß"
+    pairs = [t for a in letters for b in letters if a < b for t in thue_morse(n, a, b)]
+    counter = bpe.Merger(BYTE)
+    got = np.concatenate([counter.count(p) for p in blocks(pa.array(pairs, pa.string()))])
+    assert got.tolist() == list(map(len, library(BYTE, pairs)))
+    encoder = packing.Encoder(WORD)
+    ids, count = encoder.encode(next(iter(blocks(pa.array(pairs, pa.string()), pad=1, limit=1 << 30))))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(count)[:-1])] == library(WORD, pairs)
