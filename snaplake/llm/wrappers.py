@@ -20,6 +20,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pandas as pd
@@ -68,6 +69,12 @@ _WORD = re.compile(r"[a-z]+")
 
 OPEN, CLOSE, TEXT, BREAK = range(4)
 
+#: Elements nested deeper than this are no parts of their own: their text is that of the part around them, in blocks
+#: of its own as before, and what is out by name stays out.
+DEPTH = 150
+#: Sequences of parts whose lengths have a larger product than this are aligned at parts that occur once in both.
+TABLE = 1 << 20
+
 
 def _signature(name: str, attributes: str, within: bool) -> tuple[str, bool]:
     """How the wrapper names an element (tag, class, id and role without digits), and whether it is out by name.
@@ -91,7 +98,16 @@ def _signature(name: str, attributes: str, within: bool) -> tuple[str, bool]:
 def events(page: str) -> Iterator[tuple]:
     """(OPEN, signature, out), (CLOSE,), (TEXT, raw, inside a link), (BREAK,) of a page, well-formed."""
     stack: list[str] = []
-    links, at = 0, 0
+    shown: list[bool] = []  # whether an element of the stack has been opened as a part
+    depth, articles, links, at = 0, 0, 0, 0
+
+    def ended() -> tuple:
+        nonlocal depth, articles
+        articles -= stack.pop() in ("article", "main")
+        was = shown.pop()
+        depth -= was
+        return (CLOSE if was else BREAK,)
+
     for m in _TOKEN.finditer(page):
         if m.start() > at:
             yield TEXT, page[at : m.start()], links > 0
@@ -109,21 +125,24 @@ def events(page: str) -> Iterator[tuple]:
             continue
         if m[2]:
             if name in stack:
-                while stack.pop() != name:
-                    yield (CLOSE,)
-                yield (CLOSE,)
+                while stack[-1] != name:
+                    yield ended()
+                yield ended()
             links = 0
             continue
-        ended = _ended_by(name, stack)
-        for _ in range(ended):
-            stack.pop()
-            yield (CLOSE,)
-        yield OPEN, *_signature(name, m[4], "article" in stack or "main" in stack)
+        for _ in range(_ended_by(name, stack)):
+            yield ended()
+        sign, out = _signature(name, m[4], articles > 0)
+        part = depth < DEPTH or depth == DEPTH and out  # below an element that is out nothing else matters
+        yield (OPEN, sign, out) if part else (BREAK,)
         stack.append(name)
+        shown.append(part)
+        depth += part
+        articles += name in ("article", "main")
     if at < len(page):
         yield TEXT, page[at:], links > 0
-    for _ in stack:
-        yield (CLOSE,)
+    while stack:
+        yield ended()
 
 
 #: Elements an opening tag ends, if it stands directly in them; any but inline tags end a paragraph.
@@ -221,12 +240,47 @@ def _grouped_like(parts: list, other: list) -> list:
     return parts
 
 
+def _anchors(a: list[str], b: list[str]) -> list[tuple[int, int]]:
+    """Places of equal signatures, ascending on both sides: equal ends, and between them a longest ascending run of
+    pairs of the k-th occurrences of a signature in both. Takes n log n steps."""
+    n, m, head, tail = len(a), len(b), 0, 0
+    while head < min(n, m) and a[head] == b[head]:
+        head += 1
+    while tail < min(n, m) - head and a[n - 1 - tail] == b[m - 1 - tail]:
+        tail += 1
+    where: dict[str, list[int]] = {}
+    for j in range(m - tail - 1, head - 1, -1):
+        where.setdefault(b[j], []).append(j)
+    pairs = [(i, where[a[i]].pop()) for i in range(head, n - tail) if where.get(a[i])]
+    tops: list[int] = []  # least ends of ascending runs by their length, and the pairs they end with
+    ends: list[int] = []
+    before: list[int] = []
+    for k, (_, j) in enumerate(pairs):
+        at = bisect_left(tops, j)
+        before.append(ends[at - 1] if at else -1)
+        tops[at : at + 1] = [j]
+        ends[at : at + 1] = [k]
+    run, k = [], ends[-1] if ends else -1
+    while k >= 0:
+        run.append(pairs[k])
+        k = before[k]
+    same = [(k, k) for k in range(head)]
+    return same + run[::-1] + [(n - k, m - k) for k in range(tail, 0, -1)]
+
+
 def align(a: list, b: list, one_page: bool = False) -> list:
     """Longest common alignment of two sequences; what has no partner becomes optional."""
     if [p[SIGN] for p in a] == [p[SIGN] for p in b]:
         return [merge(x, y, one_page) for x, y in zip(a, b, strict=True)]
     a, b = _grouped_like(a, b), _grouped_like(b, a)
     n, m = len(a), len(b)
+    if n * m > TABLE:
+        out, i, j = [], 0, 0
+        for x, y in [*_anchors([p[SIGN] for p in a], [p[SIGN] for p in b]), (n, m)]:
+            out += [[p[SIGN], 1, *p[REPEATED:]] for p in (*a[i:x], *b[j:y])]
+            out += [merge(a[x], b[y], one_page)] if x < n else []
+            i, j = x + 1, y + 1
+        return out
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
         for j in range(m - 1, -1, -1):
@@ -299,7 +353,7 @@ def choose(wrapper: list) -> dict:
     for p, path in found:
         fixed = bool(p[PARTS]) and all(s[SIGN] == "#" and s[PARTS] and s[PAGES] >= least for s in p[PARTS])
         told[path] = told.get(path, True) and fixed and not p[REPEATED] and id(p) not in repeated
-    here = next(((p, path) for p, path in found if tag(p) == "body"), None)
+    here = next(((p, path) for p, path in found if tag(p) == "body"), (wrapper, ""))  # a page may have no body tag
     while here is not None:  # down to the part whose own text, not that of one part of it, is most of the text
         main = [here[1]]
         inside = [(p, path) for p, path in found if path.startswith(here[1] + ">") and ">" not in path[len(here[1]) + 1 :]]
@@ -317,7 +371,8 @@ def choose(wrapper: list) -> dict:
 def main_text(page: str, chosen: dict) -> str | None:
     """The text of the chosen parts: blocks in page order, white space as one blank. None if no part is there."""
     main, outside = set(chosen["main"]), set(chosen["out"])
-    path, inside, skipped, seen = [""], 0, 0, False
+    path, skipped, seen = [""], 0, "" in main
+    inside = int(seen)
     block: list[str] = []
     found: list[str] = []
 

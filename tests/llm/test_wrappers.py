@@ -1,3 +1,4 @@
+import random
 import html
 import re
 
@@ -93,3 +94,49 @@ def test_an_article_is_read_whole():
     for tag in ("article", "main"):
         page = f"<body><div><a href=/>Home and other links of this site</a></div><{tag}><h2>Same</h2><p>Own %d</p><ul><li><a href=/>A source</a></ul></{tag}></body>"
         assert host_text([page % i for i in range(6)]) == [f"Same Own {i} A source" for i in range(6)]
+
+
+def test_deep_pages(workers):
+    """However deep a page is nested: no text is lost, and what is out by name stays out."""
+    deep = "<div>" * 10000 + "down here" + "<nav><p>menu<div>more</div></p></nav>" + "and <b>more</b>" + "</div>" * 5000 + "up again" + "</div>" * 5000
+    page = f"<html><body><article><h1>Title</h1>{deep}<p>end</p></article></body></html>"
+    plain = f"<html><body><h1>Title</h1>{deep}</body></html>"
+    rows = [(1, "http://a.b/1", page), (2, "http://a.b/2", page.replace("end", "close")), (3, "http://c.d/1", plain), (4, "http://e.f/", "<b>" * 20000 + "x" + "<p>y" * 20000)]
+    pages = workers.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in w.extract(pages).collect()}
+    assert got[1] == "Title down here and more up again end" and got[2].endswith("up again close")
+    assert got[3] == "down here and more up again" and got[4].startswith("x y y") and got[4].count("y") == 20000
+
+
+def test_wide_pages_are_aligned_in_bounded_time():
+    import time
+
+    rnd = random.Random(9)
+    wide = lambda: "<html><body>" + "".join(f'<div class="{rnd.choice("abcdefgh")}{rnd.choice("xyz")}"><p>{k}</p></div>' for k in range(20000)) + "</body></html>"
+    one, two = w.page_wrapper(wide()), w.page_wrapper(wide())
+    began = time.perf_counter()
+    both = w.merge(one, two)
+    assert time.perf_counter() - began < 20
+    assert both[w.PAGES] == 2
+
+
+def test_anchors_ascend_and_keep_equal_ends():
+    rnd = random.Random(10)
+    for _ in range(300):
+        a, b = ([rnd.choice("abcd") for _ in range(rnd.randint(0, 12))] for _ in range(2))
+        found = w._anchors(a, b)
+        assert all(a[i] == b[j] for i, j in found)
+        assert all(x[0] < y[0] and x[1] < y[1] for x, y in zip(found, found[1:], strict=False))
+        assert len(w._anchors(a, a)) == len(a)
+
+
+def test_long_sequences_keep_every_part(monkeypatch):
+    rnd = random.Random(11)
+    made = lambda: w.page_wrapper("".join(f"<{rnd.choice(['div', 'section', 'ul', 'table'])} id=q{rnd.choice('abc')}>t" for _ in range(1)) + "".join(f"<p class={rnd.choice('abcde')}>t{k}</p>" for k in range(12)))
+    pages = [made() for _ in range(6)]
+    signs = lambda part: {part[w.SIGN]} | {s for p in part[w.PARTS] if isinstance(p, list) for s in signs(p)}
+    monkeypatch.setattr(w, "TABLE", 0)
+    for x in pages:
+        for y in pages:
+            merged = w.merge(x, y)
+            assert {s for s in signs(x) | signs(y) if not s.startswith("(")} <= signs(merged)
