@@ -10,7 +10,8 @@ the same order in both, by the number compared.
 Edge cases: a text without anchors but not empty has one element, itself; the empty text (and null) has
 the empty fingerprint, like only another empty one (likeness 1). Equal texts have equal fingerprints.
 Documents follow each other by descending id; null ids come last, equal ids by text; the last is followed
-by the first. A single document is its own next one. Repeated rows are separate documents.
+by the first. A single document is its own next one. Repeated rows are separate documents. Very long texts are read
+whole, one block at a time each; places in them are never cut. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -92,8 +93,14 @@ def prints(texts: list[str]) -> list[Print]:
 
 
 def written(found: Print) -> str:
-    """Elements in ascending order, 8 hex digits each, with the place in 4 (places beyond stay at the last)."""
-    return "".join(f"{e:08x}{min(p, 0xFFFF):04x}" for e, p in found.items())
+    """Elements in ascending order with their places, 8 hex digits each: enough for the places of any text."""
+    return "".join(f"{e:08x}{p:08x}" for e, p in found.items())
+
+
+def read(fingerprint: str) -> Print:
+    """What ``written`` has written: likeness can be had from two stored fingerprints."""
+    parts = (fingerprint[i : i + 16] for i in range(0, len(fingerprint), 16))
+    return {int(x[:8], 16): int(x[8:], 16) for x in parts}
 
 
 def likeness(a: Print, b: Print) -> float:

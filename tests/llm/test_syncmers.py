@@ -1,5 +1,7 @@
 import hashlib
+import random
 
+import numpy as np
 import pyarrow as pa
 import pytest
 
@@ -57,3 +59,31 @@ def test_one_document_and_none(make_docs):
     (r,) = sy.fingerprint_pairs(make_docs([(1, "abcdefghi")])).collect()
     assert r.near_next == 1 and r.edited_sha256 == hashlib.sha256(b"abcdefabc").hexdigest()
     assert sy.fingerprint_pairs(make_docs([])).count() == 0
+
+
+def test_places_of_long_texts_are_whole_and_fingerprints_can_be_read_back():
+    rnd = random.Random(12)
+    long = "".join(rnd.choice("abcdefgh ") for _ in range(3 << 20))
+    moved = long[1 << 20 :] + long[: 1 << 20]  # the same strings, in another order
+    a, b = sy.prints([long, moved])
+    assert max(a.values()) > 0xFFFF
+    places = {long.encode().index(g) // 16 for g in _least_grams(long)}
+    assert set(a.values()) == places
+    for x, y in ((a, b), (a, a), (a, {})):
+        assert sy.read(sy.written(x)) == x and list(sy.read(sy.written(x))) == list(x)
+        assert sy.likeness(sy.read(sy.written(x)), sy.read(sy.written(y))) == sy.likeness(x, y)
+    assert 0.4 < sy.likeness(a, b) < 0.9
+
+
+def _least_grams(text):
+    """The grams with the least hashes among closed syncmers, found string by string."""
+    data = text.encode()
+    (part,) = blocks(pa.array([text]), limit=1 << 30)
+    sums = sy.BYTES.sums(part.data)
+    _, place, gram = sy.anchors(part)
+    first = {}
+    for p, g in zip(place.tolist(), gram.tolist(), strict=True):
+        first.setdefault(g, p)
+    assert sums is not None and len(first) == len(place)  # random text: no gram stands twice
+    with_hash = sorted((int(sy.mix(np.array([g], np.uint64))[0] >> np.uint64(32)), p) for g, p in first.items())
+    return [data[p : p + sy.K] for _, p in with_hash[: sy.SIZE]]
