@@ -1,6 +1,7 @@
 import json
 from datetime import datetime, timedelta, timezone
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -11,6 +12,7 @@ from snaplake.sources.catalog import Catalog, profile, reset_tables
 from snaplake.sources.target import SnapshotTable
 from snaplake.streaming.ingest import ingest_batch
 from snaplake.tables import TABLES
+from snaplake.workload import ORACLES, serving
 from tests.test_merge import T1, T2, TEAM, batch  # noqa: F401
 
 
@@ -186,6 +188,44 @@ def test_profile_estimates_are_near_the_exact_figures(spark):
             assert below - 0.02 <= p <= rank + 0.02
 
 
+@pytest.mark.parametrize("column, field, wrong", [
+    ("o_custkey", "approx_unique", "approx_unique * 2"), ("o_orderstatus", "approx_unique", "NULL"),
+    ("o_totalprice", "q25", "q50"), ("o_orderkey", "q50", "q75"), ("o_totalprice", "q75", "NULL"), ("o_orderdate", "q50", "1.0"),
+])
+def test_table_profile_shows_an_estimate_that_is_not_near(spark, monkeypatch, column, field, wrong):
+    """An estimate that is there, but wrong, is told from one near the exact figure."""
+    changed = F.expr(f"CASE WHEN column_name = '{column}' THEN {wrong} ELSE {field} END")
+    monkeypatch.setattr(serving, "profile", lambda df: profile(df).withColumn(field, changed))
+    shown = "near_unique" if field == "approx_unique" else "near_quartiles"
+    rows = serving.table_profile(spark, "/root/testdata/sf0.01").collect()
+    far = [(r.column_name, c) for r in rows for c in ("near_unique", "near_quartiles") if r[c] is not True]
+    assert len(rows) == 6 and far == [(column, shown)]
+
+
+@pytest.mark.parametrize("rows", ["o_orderkey < 0", "o_orderkey <= 3", "true"])
+def test_table_profile_of_odd_tables_equals_its_sql(spark, tmp_path, rows):
+    """No rows, few rows, one value throughout, one value in most rows, a column without values."""
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").where(rows).withColumns({
+        "o_custkey": F.lit(7).cast("long"), "o_totalprice": F.expr("IF(o_orderkey % 10 > 0, 5.5D, o_totalprice)"),
+        "o_orderpriority": F.lit(None).cast("string"),
+    })
+    orders.coalesce(1).write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW orders AS SELECT * FROM '{tmp_path}/orders.parquet/*.parquet'")
+    want = con.execute(ORACLES["table_profile"])
+    names = [d[0] for d in want.description]
+    got = serving.table_profile(spark, str(tmp_path)).select(*names).collect()
+    assert sorted(map(tuple, got)) == [pytest.approx(r) for r in sorted(want.fetchall())]
+
+
+@pytest.mark.parametrize("column", ["o_custkey", "o_totalprice"])
+def test_table_profile_of_a_number_without_values(spark, tmp_path, column):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    orders.withColumn(column, F.lit(None).cast(orders.schema[column].dataType)).write.parquet(f"{tmp_path}/orders.parquet")
+    row = serving.table_profile(spark, str(tmp_path)).where(F.col("column_name") == column).first()
+    assert (row.null_count, row.avg, row.near_unique, row.near_quartiles) == (row.row_count, None, True, True)
+
+
 def test_profile_of_maps_counts_only(spark):
     row = profile(spark.sql("SELECT map('a', 1) AS m UNION ALL SELECT NULL")).first()
     assert (row["column_name"], row["row_count"], row["null_count"], row["min"], row["approx_unique"]) == ("m", 2, 1, None, None)
