@@ -12,12 +12,15 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
-from snaplake.sources.files import bloom_filters
+from snaplake.sources.files import COMPACT, bloom_filters
 
 
 def write_bucketed(df: DataFrame, name: str, path: str, key: str, buckets: int, partitions: Sequence[str] = ()) -> DataFrame:
-    """Write the rows as table ``name`` at ``path``, and return the table."""
-    writer = df.repartition(buckets, key).write.format("parquet").options(**bloom_filters([key]))
+    """Write the rows as table ``name`` at ``path``, and return the table.
+
+    Rows that already lie by the key in so many partitions are written where they are; Spark then drops the shuffle.
+    """
+    writer = df.repartition(buckets, key).write.format("parquet").options(**bloom_filters([key]), **COMPACT)
     if partitions:
         writer = writer.partitionBy(*partitions)
     writer.bucketBy(buckets, key).sortBy(key).option("path", path).saveAsTable(name)

@@ -8,6 +8,12 @@ texts, duplicate stats, short arrays, empty groups, either side first, missing s
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from snaplake.sources.files import Folder
+
+# Source bytes a task: its records, taken apart into rows of some hundred bytes, are sorted in memory.
+TEAM_BOX_BYTES, PLAYER_BOX_BYTES = 2 << 20, 1 << 20
 
 TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
@@ -29,6 +35,23 @@ def records(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return rows.repartition(*rows.columns[:2])  # the key and what tells its rows apart
 
 
+def game_tasks(spark: SparkSession, sf_dir: str, task_bytes: int = TEAM_BOX_BYTES) -> int:
+    """Into how many tasks the records of games are dealt: more as the source grows, one for each core at least."""
+    size = Folder(spark, f"{sf_dir}/lineitem.parquet").size()
+    return max(spark.sparkContext.defaultParallelism, -(-size // task_bytes))
+
+
+def records_by_game(spark: SparkSession, sf_dir: str, name: str, game: str, tasks: int) -> DataFrame:
+    """The same rows dealt out by game, in ``game_id``, while they are still small.
+
+    All versions of a game's rows then come out of one task, and neither the newest of them nor a layout by game needs
+    another shuffle, of rows that are twenty times as large. A game with very many records stays in one task.
+    """
+    rows = table(spark, sf_dir, name)
+    dealt = rows.withColumn("game_id", F.col(game).cast("string")).drop(game).repartition(tasks, "game_id")
+    return dealt.withColumn(game, F.col("game_id").cast(rows.schema[game].dataType))
+
+
 def _stat(name: str, value: str, display: str) -> str:
     return f"named_struct('name', '{name}', 'value', {value}, 'displayValue', {display})"
 
@@ -250,8 +273,9 @@ def game_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
         'competitors', IF(o_orderkey % 2 = 0, array({home}, {away}), array({away}, {home})))"""
     season = """named_struct('year', int(year(o_orderdate) - IF(month(o_orderdate) <= 2, 1, 0)),
         'type', int(1 + o_custkey % 3))"""
-    return records(spark, sf_dir, "orders").selectExpr(
-        "o_orderkey AS game_id",
+    rows = records_by_game(spark, sf_dir, "orders", "o_orderkey", game_tasks(spark, sf_dir))
+    return rows.selectExpr(
+        "game_id",
         f"named_struct('id', string(o_orderkey), 'season', {season},"
         f" 'week', int(month(o_orderdate)), 'competitions', array({competition})) AS header",
         f"named_struct('venue', IF(o_orderpriority = '2-HIGH', NULL, named_struct("
@@ -321,8 +345,9 @@ def team_box_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         )
 
     teams = _array(side("away", BOX_AWAY, 0), side("home", BOX_HOME, 1))
-    return records(spark, sf_dir, "lineitem").selectExpr(
-        "string(l_orderkey) AS game_id",
+    rows = records_by_game(spark, sf_dir, "lineitem", "l_orderkey", game_tasks(spark, sf_dir))
+    return rows.selectExpr(
+        "game_id",
         f"named_struct('teams', {teams}) AS boxscore",
         f"{LINE_FILE} AS _source_file",
         "timestamp(l_shipdate) AS _snapshot_at",
@@ -433,8 +458,9 @@ def player_box_records(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"named_struct('team', {_team(BOX_AWAY)}, 'statistics', {away})",
         f"named_struct('team', {_team(BOX_HOME)}, 'statistics', {home})",
     )
-    return records(spark, sf_dir, "lineitem").selectExpr(
-        "string(l_orderkey) AS game_id",
+    rows = records_by_game(spark, sf_dir, "lineitem", "l_orderkey", game_tasks(spark, sf_dir, PLAYER_BOX_BYTES))
+    return rows.selectExpr(
+        "game_id",
         _line_header(),
         f"named_struct('players', {players}) AS boxscore",
         f"{LINE_FILE} AS _source_file",

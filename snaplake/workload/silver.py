@@ -15,11 +15,13 @@ from pyspark.sql.types import StructField, StructType
 from snaplake.operators.latest import dedupe_latest
 from snaplake.session import work_dir
 from snaplake.sources.bucketed import write_bucketed
-from snaplake.sources.files import Folder, bloom_filters
+from snaplake.sources.files import COMPACT, Folder, bloom_filters
 from snaplake.tables import TABLES
+from snaplake.workload.landing import game_tasks
 from snaplake.workload.parsing import parsed
 
 GAME_FACTS = ("games", "game_team_stats")  # joined by game
+BY_GAME = (*GAME_FACTS, "player_game_stats")  # their records are dealt out by game
 
 _WRITTEN: dict[tuple, tuple[str, str]] = {}  # where a table lies, and its name in the catalog, if it has one
 
@@ -32,11 +34,13 @@ def silver(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         rows = dedupe_latest(parsed(spark, sf_dir, name), table)
         if name in GAME_FACTS:
             listed = f"{name}_{uuid.uuid4().hex}"
-            buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as many tasks as a shuffle would have
+            buckets = game_tasks(spark, sf_dir)  # those the records are dealt into: rows are written where they are
             write_bucketed(rows, listed, path, "game_id", buckets, table.partitions)
         else:
-            rows = rows.hint("rebalance", *table.partitions).sortWithinPartitions(*table.partitions, *table.keys)
-            rows.write.options(**bloom_filters(table.keys)).partitionBy(*table.partitions).parquet(path)
+            if name not in BY_GAME:
+                rows = rows.hint("rebalance", *table.partitions)
+            rows = rows.sortWithinPartitions(*table.partitions, *table.keys)
+            rows.write.options(**bloom_filters(table.keys), **COMPACT).partitionBy(*table.partitions).parquet(path)
         _WRITTEN[place] = path, listed
     path, listed = _WRITTEN[place]
     if listed:
