@@ -20,6 +20,7 @@ from snaplake.sources.files import Folder
 from snaplake.sources.target import BUCKET, SnapshotTable
 
 RUN = 3
+EVERY_RUN = f"(?s)(?=(.{{{RUN}}}))."  # a dot is a whole character here, also one of two UTF-16 units or a line end
 LOOKED_UP = 10  # runs of a word that are considered: a list of so many is pushed into the scan
 RAREST = 3  # of these the postings are read
 
@@ -27,17 +28,16 @@ RAREST = 3  # of these the postings are read
 def with_runs(texts: DataFrame, text: str, name: str) -> DataFrame:
     """Adds the distinct runs of three characters in lower case; of a shorter text the text itself.
 
-    The letters are a column of their own, so that they are found once.
+    One expression walks the text: it looks three characters ahead and takes one, so no array of single characters is
+    made. A generator of one row brings the runs: as a mere expression they would be found again by each of the filters
+    that Spark derives from an explode.
     """
-    letters = F.array_remove(F.split(F.lower(text), ""), "")
-    both = lambda x, y: F.concat(x, y)  # noqa: E731 - NULL beyond the end of the shorter array
-    split = texts.withColumn("_letters", letters)
-    held, size = F.col("_letters"), F.size("_letters")
-    runs = held
-    for shift in range(1, RUN):
-        runs = F.zip_with(runs, F.slice(held, shift + 1, size), both)
-    whole = F.array(F.array_join(held, ""))
-    return split.withColumn(name, F.when(size < RUN, whole).otherwise(F.array_distinct(F.array_compact(runs)))).drop("_letters")
+
+    def of(lower: Column) -> Column:
+        runs = F.array_distinct(F.regexp_extract_all(lower, F.lit(EVERY_RUN), F.lit(1)))
+        return F.when(F.length(lower) < RUN, F.array(lower)).otherwise(runs)
+
+    return texts.select("*", F.explode(F.transform(F.array(F.lower(text)), of)).alias(name))
 
 
 class NewsIndex:

@@ -99,3 +99,12 @@ def test_the_service_searches_by_way_of_the_index(spark, index, monkeypatch):
     assert want["count"] == 20
     monkeypatch.setattr(S, "matching_news", None)
     assert indexed.search_news(**asked) == want
+
+
+def test_the_runs_of_a_text_are_found_once(spark):
+    """Not once more for each filter that an explode brings; NULL and short texts keep their row."""
+    df = spark.createDataFrame([("Abcd",), ("a\r\nb",), ("ab",), (None,)], "t STRING").repartition(2)
+    told = with_runs(df, "t", "runs")
+    plan = told.select(F.explode("runs"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("array_distinct") == 1
+    assert sorted(r.runs or [] for r in told.collect()) == [[], ["a\r\n", "\r\nb"], ["ab"], ["abc", "bcd"]]
