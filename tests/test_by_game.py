@@ -68,3 +68,16 @@ def test_the_tasks_follow_the_bytes_of_the_source(spark, source, monkeypatch):
     size = landing.Folder(spark, f"{source}/lineitem.parquet").size()
     assert size > 0 and landing.game_tasks(spark, source) == spark.sparkContext.defaultParallelism
     assert landing.game_tasks(spark, source, size // 9) == 10
+
+
+def test_written_games_and_box_scores_lie_in_as_many_places(spark, source):
+    """So they are joined where they lie; what is found agrees with a join of the parsed rows."""
+    box, games = (silver(spark, source, n) for n in ("game_team_stats", "games"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert not exchanges(box.join(games.where("season = 1998").select("game_id"), "game_id"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plain = current(spark, source, "game_team_stats", "turnovers").join(current(spark, source, "games", "season").where("season = 1998"), "game_id")
+    want = plain.agg(F.sum("turnovers"), F.count(F.lit(1))).first()
+    assert box.join(games.where("season = 1998").select("game_id"), "game_id").agg(F.sum("turnovers"), F.count(F.lit(1))).first() == want and want[1] > 0
